@@ -8,6 +8,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate `value` once and use it any number of times in `body`."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def normalize_separators(path: Column) -> Column:
     return F.translate(path, "\\", "/")
 
@@ -27,31 +32,27 @@ def components(path: Column) -> Column:
 
 def tidy(path: Column) -> Column:
     """Canonical form: no empty or '.' parts, no trailing slash, '.' when nothing is left."""
-    parts = F.filter(F.split(path, "/"), lambda p: (p != "") & (p != "."))
-    root = (
-        F.when(path.rlike("^//(?!/)"), F.lit("//"))
-        .when(path.startswith("/"), F.lit("/"))
-        .otherwise(F.lit(""))
-    )
-    whole = F.concat(root, F.array_join(parts, "/"))
-    return F.when(whole == "", F.lit(".")).otherwise(whole)
+
+    def join(p: Column) -> Column:
+        parts = F.filter(F.split(p, "/"), lambda x: (x != "") & (x != "."))
+        root = F.when(p.rlike("^//(?!/)"), F.lit("//")).when(p.startswith("/"), F.lit("/")).otherwise(F.lit(""))
+        return F.concat(root, F.array_join(parts, "/"))
+
+    return let(let(path, join), lambda whole: F.when(whole == "", F.lit(".")).otherwise(whole))
 
 
 def parent(path: Column) -> Column:
     """Parent of a tidy path; a root is its own parent and a bare name has parent '.'."""
-    cut = F.regexp_replace(path, "/[^/]*$", "")
-    return (
-        F.when(path.isin("/", "//", "."), path)
-        .when(path.rlike("^/[^/]*$"), F.lit("/"))
-        .when(path.rlike("^//[^/]*$"), F.lit("//"))
-        .when(~path.contains("/"), F.lit("."))
-        .otherwise(cut)
+    return let(
+        path,
+        lambda p: F.when(p.isin("/", "//", "."), p)
+        .when(~p.contains("/"), F.lit("."))
+        .otherwise(F.regexp_extract(p, "^(//?(?=[^/]*$)|.*(?=/))", 1)),
     )
 
 
 def base_name(path: Column) -> Column:
-    last = F.element_at(F.split(path, "/"), -1)
-    return F.when(path == ".", F.lit("")).otherwise(last)
+    return let(path, lambda p: F.when(p == ".", F.lit("")).otherwise(F.substring_index(p, "/", -1)))
 
 
 def child(directory: Column, name: Column) -> Column:
@@ -69,8 +70,8 @@ def clean_rules(rules: Column) -> Column:
     """Normalised rules; those whose old prefix is empty can match nothing."""
     tidy_rules = F.transform(
         rules,
-        lambda r: F.struct(
-            normalize_prefix(r["old"]).alias("old"), normalize_prefix(r["new"]).alias("new")
+        lambda r: F.named_struct(
+            F.lit("old"), normalize_prefix(r["old"]), F.lit("new"), normalize_prefix(r["new"])
         ),
     )
     return F.filter(tidy_rules, lambda r: r["old"] != "")
@@ -91,27 +92,41 @@ def longest_first(rules: Column) -> Column:
 
 def apply_rule(text: Column, old: Column, new: Column) -> Column:
     """Put `new` in place of the matching prefix `old`; a null `old` keeps the text as it came."""
-    normal = normalize_separators(text)
-    size = F.length(old)
-    return (
-        F.when(old.isNull(), text)
-        .when(normal == old, new)
-        .when(new == "", F.substring(normal, size + 2, F.length(normal)))
-        .otherwise(F.concat(new, F.substring(normal, size + 1, F.length(normal))))
+
+    def replaced(normal: Column) -> Column:
+        size = F.length(old)
+        return (
+            F.when(normal == old, new)
+            .when(new == "", F.substring(normal, size + 2, F.length(normal)))
+            .otherwise(F.concat(new, F.substring(normal, size + 1, F.length(normal))))
+        )
+
+    return F.when(old.isNull(), text).otherwise(let(normalize_separators(text), replaced))
+
+
+def first_match(text: Column, rules: Column) -> Column:
+    """The first of the cleaned rules that fits the text, as a struct, or null."""
+    return let(
+        normalize_separators(text),
+        lambda normal: F.get(
+            F.filter(
+                rules,
+                lambda r: normal.startswith(r["old"])
+                & ((normal == r["old"]) | normal.startswith(F.concat(r["old"], F.lit("/")))),
+            ),
+            F.lit(0),
+        ),
     )
 
 
+def rewrite_cleaned(text: Column, rules: Column) -> Column:
+    """Rewrite by rules that went through `clean_rules` already."""
+    return let(first_match(text, rules), lambda hit: apply_rule(text, hit["old"], hit["new"]))
+
+
 def rewrite_prefix(text: Column, rules: Column) -> Column:
     """First matching rule of a per-row rule array, matched at part boundaries."""
-    normal = normalize_separators(text)
-    hit = F.get(
-        F.filter(
-            clean_rules(rules),
-            lambda r: (normal == r["old"]) | normal.startswith(F.concat(r["old"], F.lit("/"))),
-        ),
-        F.lit(0),
-    )
-    return apply_rule(text, hit["old"], hit["new"])
+    return let(clean_rules(rules), lambda cleaned: rewrite_cleaned(text, cleaned))
 
 
 # One JSON text in pieces: a string with an optional key colon, or a run without quotes.
@@ -124,13 +139,19 @@ def map_json_strings(document: Column, change: Callable[[Column], Column]) -> Co
     Keys, numbers, layout and untouched strings keep their exact characters.
     """
 
+    def quote(value: Column) -> Column:
+        return let(F.to_json(F.array(value)), lambda boxed: F.substring(boxed, F.lit(2), F.length(boxed) - 2))
+
+    def changed_piece(token: Column) -> Column:
+        text = F.get_json_object(F.concat(F.lit("["), token, F.lit("]")), "$[0]")
+        return let(
+            text,
+            lambda old: let(change(old), lambda new: F.when(new == old, token).otherwise(quote(new))),
+        )
+
     def piece(token: Column) -> Column:
-        value = F.get_json_object(F.concat(F.lit("["), token, F.lit("]")), "$[0]")
-        changed = change(value)
-        boxed = F.to_json(F.array(changed))
-        quoted = F.substring(boxed, F.lit(2), F.length(boxed) - 2)
         is_value = token.startswith('"') & ~token.endswith(":")
-        return F.when(is_value & (changed != value), quoted).otherwise(token)
+        return F.when(is_value, changed_piece(token)).otherwise(token)
 
     pieces = F.regexp_extract_all(document, F.lit(_JSON_PIECE), F.lit(0))
     return F.array_join(F.transform(pieces, piece), "")

@@ -98,10 +98,10 @@ def evaluate(scored: DataFrame, by: Sequence[str]) -> DataFrame:
     error = F.col("forecast") - F.col("actual")
     sums = scored.select(
         *[F.col(c).cast("string").alias(c) for c in by],
-        exact.decimal(F.abs(error), 6).alias("abs_error"),
-        exact.decimal(error, 6).alias("error"),
+        exact.decimal(F.abs(error), 8, 24).alias("abs_error"),
+        exact.decimal(error, 8, 24).alias("error"),
         exact.decimal(error * error, 2, 24).alias("squared"),
-        exact.decimal(F.abs(F.try_divide(error, F.col("actual"))), 6).alias("relative"),
+        exact.decimal(F.abs(F.try_divide(error, F.col("actual"))), 8, 24).alias("relative"),
         exact.decimal(F.col("actual"), 2).alias("actual"),
     ).rollup(*by).agg(
         F.grouping_id().alias("level"),
@@ -131,7 +131,7 @@ def evaluate(scored: DataFrame, by: Sequence[str]) -> DataFrame:
 def blend_weights(scored: DataFrame, by: Sequence[str]) -> DataFrame:
     """Weight per group and member, inversely to its mean absolute error."""
     errors = scored.groupBy(*by, "member").agg(
-        F.sum(exact.decimal(F.abs(F.col("forecast") - F.col("actual")), 6)).alias("sa"),
+        F.sum(exact.decimal(F.abs(F.col("forecast") - F.col("actual")), 8, 24)).alias("sa"),
         F.count(F.lit(1)).alias("n"),
     )
     inverse = F.try_divide(exact.wide(F.col("n")), exact.wide(F.col("sa")))

@@ -81,3 +81,12 @@ def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataF
     """
     kept, size = measure(df)
     return F.broadcast(kept) if size <= max_bytes else kept
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Spread a plain scan over the cluster when its files give fewer tasks than cores.
+
+    For work that is heavy per row. Large inputs have splits enough and stay as they are.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
