@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from furrow.functions import exact
 from furrow.functions.calendar import month_of, year_of
+from furrow.session import broadcast_if_small
 
 CELL = ["crop_id", "region_id", "period"]
 
@@ -19,7 +20,7 @@ def conform(source: DataFrame, mapping: DataFrame) -> DataFrame:
     keys = (
         mapping.select(name.alias("name_key"), "crop_id").groupBy("name_key").agg(F.min("crop_id").alias("crop_id"))
     )
-    return source.withColumn("name_key", name).join(keys, "name_key", "left")
+    return source.withColumn("name_key", name).join(broadcast_if_small(keys), "name_key", "left")
 
 
 def unmapped(source: DataFrame, mapping: DataFrame) -> DataFrame:

@@ -90,13 +90,17 @@ def training_summary(samples: DataFrame, by: Sequence[str]) -> DataFrame:
     )
 
 
-def competition_overview(picks: DataFrame, region: str = "region", crop: str = "crop_id") -> DataFrame:
+def competition_overview(
+    picks: DataFrame, region: str = "region", crop: str = "crop_id", weight: str | None = None
+) -> DataFrame:
     """Per region: picks, distinct crops, leading crop and its share, concentration.
 
     Concentration is the sum of squared shares. It needs only the count per
-    (region, crop), which is combined before any shuffle.
+    (region, crop), which is combined before any shuffle. `weight` names a column
+    of counts when the picks come pre-counted.
     """
-    counts = picks.groupBy(region, crop).agg(F.count(F.lit(1)).alias("n"))
+    amount = F.sum(weight) if weight else F.count(F.lit(1))
+    counts = picks.groupBy(region, crop).agg(amount.alias("n"))
     n = F.col("n").cast("decimal(18,0)")
     return (
         counts.groupBy(region)

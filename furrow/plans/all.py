@@ -1,3 +1,3 @@
 """Imports every plan module, which registers its queries."""
 
-from furrow.plans import manifests, market, paths, scoring, settings  # noqa: F401
+from furrow.plans import feedback, files, manifests, market, paths, releases, scoring, settings  # noqa: F401

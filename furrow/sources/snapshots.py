@@ -59,17 +59,23 @@ def _copy_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["target"])
 
 
+def write_text_files(texts: DataFrame) -> int:
+    """Write (path, text) rows as UTF-8 files, each in one move; gives the number written."""
+    return texts.select("path", "text").mapInArrow(_write_texts, "path string").count()
+
+
 def write_manifest_files(repaired: DataFrame, release_root: str, document: str = "repaired") -> int:
     """Write one manifest per run below `release_root`; gives the number written.
 
-    Point it at a new root: a job must not replace the files it is reading.
+    The rows must not be read lazily from the files they replace.
     """
     root = release_root.rstrip("/")
-    texts = repaired.select(
-        F.concat(F.lit(root + "/"), "run_id", F.lit("/" + MANIFEST_NAME)).alias("path"),
-        F.col(document).alias("text"),
+    return write_text_files(
+        repaired.select(
+            F.concat(F.lit(root + "/"), "run_id", F.lit("/" + MANIFEST_NAME)).alias("path"),
+            F.col(document).alias("text"),
+        )
     )
-    return texts.mapInArrow(_write_texts, "path string").count()
 
 
 def write_manifest_dataset(repaired: DataFrame, path: str) -> None:
