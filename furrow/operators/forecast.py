@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from furrow.functions import exact
+from furrow.session import broadcast_if_small
 
 MEMBERS = ("trend", "last", "mean")
 
@@ -53,8 +54,8 @@ def forecast_trend(models: DataFrame, key: Sequence[str], horizon: int) -> DataF
     )
 
 
-def backtest(series: DataFrame, key: Sequence[str], horizon: int = 3, min_history: int = 3) -> DataFrame:
-    """Rolling-origin forecasts of all members: (key, t, cutoff, actual, member, forecast).
+def backtest_wide(series: DataFrame, key: Sequence[str], horizon: int = 3, min_history: int = 3) -> DataFrame:
+    """Rolling-origin forecasts, one column per member: (key, t, cutoff, actual, *MEMBERS).
 
     A month t is scored for every cut-off in (t - horizon, t]; each sees only
     months before it. The training sums are range windows over the key's months,
@@ -76,7 +77,7 @@ def backtest(series: DataFrame, key: Sequence[str], horizon: int = 3, min_histor
     )
     n = F.col("n").cast("decimal(12,0)")
     slope, intercept = exact.fit_line(n, F.col("st"), F.col("sv"), F.col("stt"), F.col("stv"))
-    scored = rows.filter(F.col("n") >= min_history).select(
+    return rows.filter(F.col("n") >= min_history).select(
         *key,
         "t",
         (F.col("t") - F.col("step")).alias("cutoff"),
@@ -85,9 +86,17 @@ def backtest(series: DataFrame, key: Sequence[str], horizon: int = 3, min_histor
         exact.wide(F.col("latest")).alias("last"),
         exact.ratio(F.col("sv"), F.col("n")).alias("mean"),
     )
-    return scored.unpivot(
-        [*key, "t", "cutoff", "actual"], list(MEMBERS), "member", "forecast"
-    ).filter(F.col("forecast").isNotNull())
+
+
+def to_long(wide: DataFrame) -> DataFrame:
+    """One row per member; members without a forecast drop out."""
+    rest = [c for c in wide.columns if c not in MEMBERS]
+    return wide.unpivot(rest, list(MEMBERS), "member", "forecast").filter(F.col("forecast").isNotNull())
+
+
+def backtest(series: DataFrame, key: Sequence[str], horizon: int = 3, min_history: int = 3) -> DataFrame:
+    """Rolling-origin forecasts as (key, t, cutoff, actual, member, forecast)."""
+    return to_long(backtest_wide(series, key, horizon, min_history))
 
 
 def evaluate(scored: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -128,34 +137,22 @@ def evaluate(scored: DataFrame, by: Sequence[str]) -> DataFrame:
     )
 
 
-def blend_weights(scored: DataFrame, by: Sequence[str]) -> DataFrame:
+def blend_weights(wide: DataFrame, by: Sequence[str]) -> DataFrame:
     """Weight per group and member, inversely to its mean absolute error."""
-    errors = scored.groupBy(*by, "member").agg(
-        F.sum(exact.decimal(F.abs(F.col("forecast") - F.col("actual")), 8, 24)).alias("sa"),
-        F.count(F.lit(1)).alias("n"),
-    )
-    inverse = F.try_divide(exact.wide(F.col("n")), exact.wide(F.col("sa")))
-    # At most one row per member in a group, so the pivot is a bounded aggregate.
-    wide = errors.select(*by, "member", inverse.alias("inv")).groupBy(*by).pivot("member", list(MEMBERS)).agg(
-        F.first("inv")
-    )
-    total = sum((F.coalesce(F.col(m), F.lit(0.0)) for m in MEMBERS), F.lit(0.0))
-    return wide.select(
-        *by, *[F.try_divide(F.coalesce(F.col(m), F.lit(0.0)), total).alias(f"w_{m}") for m in MEMBERS]
+    sums = wide.groupBy(*by).agg(
+        *[F.sum(exact.decimal(F.abs(F.col(m) - F.col("actual")), 8, 24)).alias(f"_sum_{m}") for m in MEMBERS],
+        *[F.count(m).alias(f"_n_{m}") for m in MEMBERS],
     )
+    inverse = {m: F.coalesce(exact.ratio(F.col(f"_n_{m}"), F.col(f"_sum_{m}")), F.lit(0.0)) for m in MEMBERS}
+    total = sum(inverse.values(), F.lit(0.0))
+    return sums.select(*by, *[F.try_divide(inverse[m], total).alias(f"w_{m}") for m in MEMBERS])
 
 
-def blend(scored: DataFrame, weights: DataFrame, key: Sequence[str], by: Sequence[str]) -> DataFrame:
-    """Weighted member forecasts per (key, t, cutoff)."""
-    members = scored.groupBy(*dict.fromkeys([*by, *key]), "t", "cutoff", "actual").pivot(
-        "member", list(MEMBERS)
-    ).agg(F.first("forecast"))
-    joined = members.join(weights, list(by))
-    total = sum(
-        (F.coalesce(F.col(m), F.lit(0.0)) * F.col(f"w_{m}") for m in MEMBERS[1:]),
-        F.coalesce(F.col(MEMBERS[0]), F.lit(0.0)) * F.col(f"w_{MEMBERS[0]}"),
-    )
-    return joined.withColumn("blended", total)
+def blend(wide: DataFrame, weights: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Weighted member forecasts; the rows stay where they are when the weights are small."""
+    terms = [F.coalesce(F.col(m), F.lit(0.0)) * F.col(f"w_{m}") for m in MEMBERS]
+    joined = wide.join(broadcast_if_small(weights), list(by))
+    return joined.withColumn("blended", sum(terms[1:], terms[0]))
 
 
 def train_global(features: DataFrame, inputs: Sequence[str], label: str, seed: int = 7, **params) -> PipelineModel:

@@ -46,6 +46,7 @@ def lookup_with_default(
     requests: DataFrame, precomputed: DataFrame, key: Sequence[str], default_key: Sequence[str], value: str
 ) -> DataFrame:
     """Answer requests from a precomputed table, else with the group's best entry."""
+    precomputed = persist_reliably(precomputed)
     exact_hit = precomputed.select(*key, F.col(value).alias("_hit"))
     default = precomputed.groupBy(*default_key).agg(F.max(value).alias("_default"))
     return (

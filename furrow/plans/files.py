@@ -33,7 +33,7 @@ def _totals(spark: SparkSession, base: str) -> DataFrame:
     return nations.join(by_nation, "c_nationkey")
 
 
-def _write_source(spark: SparkSession, base: str, root: str) -> None:
+def write_source(spark: SparkSession, base: str, root: str) -> None:
     old = F.concat(F.lit("D:\\train\\输出\\发布\\"), "run_id")
     document = F.to_json(
         F.struct(
@@ -83,7 +83,7 @@ def release_tree_repair(spark: SparkSession, base: str) -> DataFrame:
     """Write a tree, sync it twice, repair it in place and read it back."""
     root = work_path(spark, "release-tree")
     source, target = f"{root}/source", f"{root}/output/release"
-    _write_source(spark, base, source)
+    write_source(spark, base, source)
     states = [snapshots.sync_release(spark, source, target) for _ in range(2)]
     _, rejected = repair_tree(spark, target, LAYOUT)
     if not registry_present(spark, target):

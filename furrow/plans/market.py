@@ -21,6 +21,7 @@ from furrow.plans.standins import (
     price_series,
     units,
 )
+from furrow.session import persist_reliably
 from furrow.sources.tables import table
 
 
@@ -240,13 +241,17 @@ scored AS (
   UNION ALL SELECT crop_id, t, cutoff, actual, 'mean', CAST(sv AS DOUBLE) / CAST(n AS DOUBLE) FROM l)"""
 
 
-def _scored(spark: SparkSession, base: str) -> DataFrame:
-    return forecast.backtest(price_series(spark, base), ["crop_id"], horizon=3)
+def _wide(spark: SparkSession, base: str) -> DataFrame:
+    return forecast.backtest_wide(price_series(spark, base), ["crop_id"], horizon=3)
+
+
+def _wide_by_family(spark: SparkSession, base: str) -> DataFrame:
+    return _wide(spark, base).join(families(spark, base), "crop_id")
 
 
 @query("backtest", _SCORED_SQL + "\nSELECT crop_id, t, cutoff, actual, member, forecast FROM scored")
 def backtest(spark: SparkSession, base: str) -> DataFrame:
-    return _scored(spark, base)
+    return forecast.to_long(_wide(spark, base))
 
 
 @query(
@@ -270,7 +275,7 @@ FROM g
 """,
 )
 def eval_report(spark: SparkSession, base: str) -> DataFrame:
-    scored = _scored(spark, base).join(families(spark, base), "crop_id")
+    scored = forecast.to_long(_wide_by_family(spark, base))
     report = forecast.evaluate(scored, ["member", "family"])
     digits = {"mae": 6, "rmse": 6, "mape": 6, "r2": 9, "bias": 6}
     return report.withColumns({name: F.round(name, d) for name, d in digits.items()})
@@ -293,7 +298,7 @@ weights AS (SELECT family, i_trend / (i_trend + i_last + i_mean) AS w_trend,
     + "\nSELECT family, round(w_trend, 9) AS w_trend, round(w_last, 9) AS w_last, round(w_mean, 9) AS w_mean FROM weights",
 )
 def blend_weights(spark: SparkSession, base: str) -> DataFrame:
-    weights = forecast.blend_weights(_scored(spark, base).join(families(spark, base), "crop_id"), ["family"])
+    weights = forecast.blend_weights(_wide_by_family(spark, base), ["family"])
     return weights.select("family", *[F.round(f"w_{m}", 9).alias(f"w_{m}") for m in forecast.MEMBERS])
 
 
@@ -311,9 +316,8 @@ FROM member_rows JOIN weights USING (family)
 """,
 )
 def blend(spark: SparkSession, base: str) -> DataFrame:
-    scored = _scored(spark, base).join(families(spark, base), "crop_id")
-    weights = forecast.blend_weights(scored, ["family"])
-    out = forecast.blend(scored, weights, ["crop_id"], ["family"])
+    wide = persist_reliably(_wide_by_family(spark, base))
+    out = forecast.blend(wide, forecast.blend_weights(wide, ["family"]), ["family"])
     return out.select("crop_id", "t", "cutoff", "actual", F.round("blended", 6).alias("blended"))
 
 

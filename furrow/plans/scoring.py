@@ -17,6 +17,7 @@ from furrow.plans.standins import (
     lines,
     units,
 )
+from furrow.session import persist_reliably
 from furrow.sources.tables import table
 
 _SCORED_SQL = """
@@ -129,7 +130,9 @@ def _candidates(spark: SparkSession, base: str) -> DataFrame:
 
 
 def _weighted(spark: SparkSession, base: str) -> DataFrame:
-    return recommend.weighted_score(_candidates(spark, base), WEIGHTS, ["region_id"])
+    # The candidates are read for their extremes and again for their scores.
+    candidates = persist_reliably(_candidates(spark, base))
+    return recommend.weighted_score(candidates, WEIGHTS, ["region_id"])
 
 
 @query("weighted_score", _CANDIDATES_SQL + "\nSELECT region_id, crop_id, profit, volume, cost, score FROM s")
