@@ -67,11 +67,14 @@ def rule_array(pairs: Sequence[tuple[str, str]]) -> Column:
 
 
 def clean_rules(rules: Column) -> Column:
-    """Normalised rules; those whose old prefix is empty can match nothing."""
+    """Normalised rules with `lead` = old + '/'; an empty old prefix can match nothing."""
     tidy_rules = F.transform(
         rules,
-        lambda r: F.named_struct(
-            F.lit("old"), normalize_prefix(r["old"]), F.lit("new"), normalize_prefix(r["new"])
+        lambda r: let(
+            normalize_prefix(r["old"]),
+            lambda old: F.named_struct(
+                F.lit("old"), old, F.lit("new"), normalize_prefix(r["new"]), F.lit("lead"), F.concat(old, F.lit("/"))
+            ),
         ),
     )
     return F.filter(tidy_rules, lambda r: r["old"] != "")
@@ -105,17 +108,13 @@ def apply_rule(text: Column, old: Column, new: Column) -> Column:
 
 
 def first_match(text: Column, rules: Column) -> Column:
-    """The first of the cleaned rules that fits the text, as a struct, or null."""
+    """The first of the cleaned rules that fits the text, as a struct, or null.
+
+    With a slash behind both, equality and a match at a part boundary are one test.
+    """
     return let(
-        normalize_separators(text),
-        lambda normal: F.get(
-            F.filter(
-                rules,
-                lambda r: normal.startswith(r["old"])
-                & ((normal == r["old"]) | normal.startswith(F.concat(r["old"], F.lit("/")))),
-            ),
-            F.lit(0),
-        ),
+        F.concat(normalize_separators(text), F.lit("/")),
+        lambda probe: F.get(F.filter(rules, lambda r: probe.startswith(r["lead"])), F.lit(0)),
     )
 
 
@@ -143,7 +142,9 @@ def map_json_strings(document: Column, change: Callable[[Column], Column]) -> Co
         return let(F.to_json(F.array(value)), lambda boxed: F.substring(boxed, F.lit(2), F.length(boxed) - 2))
 
     def changed_piece(token: Column) -> Column:
-        text = F.get_json_object(F.concat(F.lit("["), token, F.lit("]")), "$[0]")
+        bare = F.substring(token, F.lit(2), F.length(token) - 2)
+        escaped = F.get_json_object(F.concat(F.lit("["), token, F.lit("]")), "$[0]")
+        text = F.when(token.contains("\\"), escaped).otherwise(bare)
         return let(
             text,
             lambda old: let(change(old), lambda new: F.when(new == old, token).otherwise(quote(new))),

@@ -52,19 +52,44 @@ def lag_features(
     """Lags, rolling mean and deviation over earlier rows, growth and calendar parts.
 
     `series` has one row per key and month `t` with a decimal value, so a window
-    partition is as long as the calendar and no longer.
+    partition is as long as the calendar and no longer. A rolling sum is the
+    difference of two running sums, exact on decimals and independent of its length.
     """
     order = Window.partitionBy(*key).orderBy("t")
     out = series.withColumn("year", year_of(F.col("t"))).withColumn("month", month_of(F.col("t")))
     for k in lags:
         out = out.withColumn(f"lag_{k}", F.lag(value, k).over(order))
+    past = order.rowsBetween(Window.unboundedPreceding, -1)
+    square = F.col(value) * F.col(value)
+    running = {"_n": F.count(value), "_sum": F.sum(value), "_squares": F.sum(square)}
+    for name, column in running.items():
+        out = out.withColumn(name, F.coalesce(column.over(past), F.lit(0)))
     for k in windows:
-        frame = order.rowsBetween(-k, -1)
-        n = F.count(value).over(frame)
-        total = F.sum(value).over(frame)
-        squares = F.sum(F.col(value) * F.col(value)).over(frame)
+        n, total, squares = (
+            F.col(name) - F.coalesce(F.lag(name, k).over(order), F.lit(0)) for name in running
+        )
         out = out.withColumn(f"mean_{k}", exact.ratio(total, n)).withColumn(
             f"std_{k}", exact.sample_std(n, total, squares)
         )
+    out = out.drop(*running)
     previous = exact.wide(F.lag(value, 1).over(order))
     return out.withColumn("growth", F.try_divide(exact.wide(F.col(value)) - previous, previous))
+
+
+def profit_rollup(cells: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Revenue, cost and profit for every level of rollup(by); totals show as 'ALL'.
+
+    Cells are combined to the finest level first; only those groups are multiplied.
+    """
+    names = [F.col(c).cast("string").alias(c) for c in by]
+    fine = cells.groupBy(*names).agg(
+        F.count(F.lit(1)).alias("n_cells"), F.sum("revenue").alias("revenue"), F.sum("cost").alias("cost")
+    )
+    totals = fine.rollup(*by).agg(F.sum("n_cells").alias("n_cells"), F.sum("revenue").alias("r"), F.sum("cost").alias("c"))
+    return totals.select(
+        *[F.coalesce(F.col(c), F.lit("ALL")).alias(c) for c in by],
+        "n_cells",
+        exact.wide(F.col("r")).alias("revenue"),
+        exact.wide(F.col("c")).alias("cost"),
+        exact.wide(F.col("r") - F.col("c")).alias("profit"),
+    )

@@ -70,13 +70,16 @@ def training_summary(samples: DataFrame, by: Sequence[str]) -> DataFrame:
     rows = samples.select(
         F.date_format("ts", "yyyy-MM-dd").alias("day"), *[F.col(c).cast("string").alias(c) for c in by], "label"
     )
+    fine = rows.groupBy("day", *by).agg(
+        F.count(F.lit(1)).alias("n"), F.count("label").alias("n_labelled"), F.sum("label").alias("n_positive")
+    )
     return (
-        rows.cube("day", *by)
+        fine.cube("day", *by)
         .agg(
             F.grouping_id().cast("int").alias("level"),
-            F.count(F.lit(1)).alias("n"),
-            F.count("label").alias("n_labelled"),
-            F.coalesce(F.sum("label"), F.lit(0)).cast("bigint").alias("n_positive"),
+            F.sum("n").alias("n"),
+            F.sum("n_labelled").alias("n_labelled"),
+            F.coalesce(F.sum("n_positive"), F.lit(0)).alias("n_positive"),
         )
         .select(
             *[F.coalesce(F.col(c), F.lit("ALL")).alias(c) for c in ("day", *by)],

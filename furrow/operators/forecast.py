@@ -105,15 +105,15 @@ def evaluate(scored: DataFrame, by: Sequence[str]) -> DataFrame:
     Errors are added as decimals, so the report does not depend on partitioning.
     """
     error = F.col("forecast") - F.col("actual")
-    sums = scored.select(
+    rows = scored.select(
         *[F.col(c).cast("string").alias(c) for c in by],
         exact.decimal(F.abs(error), 8, 24).alias("abs_error"),
         exact.decimal(error, 8, 24).alias("error"),
         exact.decimal(error * error, 2, 24).alias("squared"),
         exact.decimal(F.abs(F.try_divide(error, F.col("actual"))), 8, 24).alias("relative"),
         exact.decimal(F.col("actual"), 2).alias("actual"),
-    ).rollup(*by).agg(
-        F.grouping_id().alias("level"),
+    )
+    fine = rows.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),
         F.sum("abs_error").alias("sa"),
         F.sum("error").alias("se"),
@@ -123,6 +123,9 @@ def evaluate(scored: DataFrame, by: Sequence[str]) -> DataFrame:
         F.sum("actual").alias("sy"),
         F.sum(F.col("actual") * F.col("actual")).alias("syy"),
     )
+    # Totals add up the groups, so the rows are read for one level only.
+    measures = [c for c in fine.columns if c not in by]
+    sums = fine.rollup(*by).agg(F.grouping_id().alias("level"), *[F.sum(c).alias(c) for c in measures])
     n = exact.wide(F.col("n"))
     spread = exact.wide(F.col("syy")) - exact.wide(F.col("sy")) * exact.wide(F.col("sy")) / n
     return sums.select(

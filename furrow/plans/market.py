@@ -87,18 +87,9 @@ def profit_cube(spark: SparkSession, base: str) -> DataFrame:
         observations(spark, base)
         .join(regions, "region_id")
         .join(families(spark, base), "crop_id")
-        .withColumn("year", year_of(F.col("t")).cast("string"))
-    )
-    by = ["region", "family", "year"]
-    totals = cells.rollup(*by).agg(
-        F.count(F.lit(1)).alias("n_cells"),
-        exact.wide(F.sum("revenue")).alias("revenue"),
-        exact.wide(F.sum("cost")).alias("cost"),
-        exact.wide(F.sum(F.col("revenue") - F.col("cost"))).alias("profit"),
-    )
-    return totals.select(
-        *[F.coalesce(F.col(c), F.lit("ALL")).alias(c) for c in by], "n_cells", "revenue", "cost", "profit"
+        .withColumn("year", year_of(F.col("t")))
     )
+    return features.profit_rollup(cells, ["region", "family", "year"])
 
 
 _SOURCE_NAME_SQL = "' ' || upper(p_name) || CASE WHEN p_size > 25 THEN '  ' ELSE '' END"
