@@ -92,3 +92,12 @@ def auc(scored: DataFrame) -> DataFrame:
             exact.wide(doubled), F.lit(2.0) * exact.wide(F.sum("pos")) * exact.wide(F.sum("neg"))
         ).alias("auc"),
     )
+
+
+def calibration_report(scored: DataFrame, bins: int = 10) -> DataFrame:
+    """All metrics in one row: n, n_pos, n_neg, brier, ece, max_gap, auc."""
+    parts = [brier_score(scored), calibration_error(reliability_bins(scored, bins)), auc(scored)]
+    rows = parts[0]
+    for other in parts[1:]:
+        rows = rows.unionByName(other, allowMissingColumns=True)
+    return rows.agg(*[F.max(c).alias(c) for c in ("n", "n_pos", "n_neg", "brier", "ece", "max_gap", "auc")])

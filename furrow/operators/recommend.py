@@ -138,7 +138,8 @@ def cosine_top_k(
     )
     for number in range(count):
         one = F.broadcast(packed.filter(F.col("slice") == number))
-        rows = rows.withColumn("_slice", F.lit(number).cast("bigint"))
+        # A request without a vector looks at no slice and gets no match.
+        rows = rows.withColumn("_slice", F.when(F.col("_v").isNotNull(), F.lit(number).cast("bigint")))
         near = _closeness(F.coalesce("packed", F.array()), F.col("_v"))
         rows = (
             rows.join(one, F.col("_slice") == F.col("slice"), "left")

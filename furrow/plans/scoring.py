@@ -65,18 +65,9 @@ FROM e, b, a
 """,
 )
 def calibration_metrics(spark: SparkSession, base: str) -> DataFrame:
-    scored = _scored(spark, base)
-    key = F.lit(1).alias("one")
-    parts = [
-        calibrate.brier_score(scored),
-        calibrate.calibration_error(calibrate.reliability_bins(scored)),
-        calibrate.auc(scored),
-    ]
-    first, *rest = [p.select(key, "*") for p in parts]
-    for other in rest:
-        first = first.join(other, "one")
+    report = calibrate.calibration_report(_scored(spark, base))
     digits = {"brier": 6, "ece": 6, "max_gap": 6, "auc": 9}
-    return first.select("n", "n_pos", "n_neg", *[F.round(c, d).alias(c) for c, d in digits.items()])
+    return report.select("n", "n_pos", "n_neg", *[F.round(c, d).alias(c) for c, d in digits.items()])
 
 
 @query(

@@ -11,7 +11,7 @@ FEEDBACK_SCHEMA = "feedback_id bigint, request_id bigint, ts timestamp, user_id
 TIMESTAMP_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 
 # An empty text and a null stay apart on the way through CSV.
-_CSV_WRITE = {"header": "true", "timestampFormat": TIMESTAMP_FORMAT, "nullValue": "\\N", "emptyValue": ""}
+_CSV_WRITE = {"header": "true", "timestampFormat": TIMESTAMP_FORMAT, "nullValue": "\\N", "emptyValue": '""'}
 _CSV_READ = {"header": "true", "timestampFormat": TIMESTAMP_FORMAT, "nullValue": "\\N", "emptyValue": ""}
 
 
