@@ -90,17 +90,16 @@ def release_tree_repair(spark: SparkSession, base: str) -> DataFrame:
         raise FileNotFoundError(target)
     files = run_files(list_files(spark, target)).groupBy("run_id").agg(F.count(F.lit(1)).alias("n_files"))
     found = scan_manifests(spark, target)
-    view = manifests.manifest_view(found, "document")
-    more = found.select(
-        "run_id",
-        F.get_json_object("document", "$.artifacts.model_dir.path").alias("model_path"),
-        F.get_json_object("document", "$.artifacts.model_dir.exists").alias("model_exists"),
-        F.get_json_object("document", "$.log").alias("log"),
-        F.get_json_object("document", "$.total").alias("total"),
-    )
+    more = {
+        "model_path": "$.artifacts.model_dir.path",
+        "model_exists": "$.artifacts.model_dir.exists",
+        "log": "$.log",
+        "total": "$.total",
+    }
+    view = manifests.manifest_view(found, "document", more)
     bad = rejected.select("run_id", F.lit("rejected").alias("bad"))
-    joined = files.join(view, "run_id").join(more, "run_id").join(bad, "run_id", "left")
-    texts = [*manifests.VIEW_PATHS, "model_path", "model_exists", "log", "total"]
+    joined = files.join(view, "run_id").join(bad, "run_id", "left")
+    texts = [*manifests.VIEW_PATHS, *more]
     return joined.select(
         "run_id",
         F.coalesce("bad", F.lit("repaired")).alias("state"),
