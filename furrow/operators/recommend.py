@@ -11,6 +11,11 @@ from furrow.functions import exact
 from furrow.session import broadcast_if_small, measure, persist_reliably
 
 
+def weights_of(table: DataFrame) -> dict[str, float]:
+    """A (criterion, weight) table as a mapping: one entry per criterion column."""
+    return {row.criterion: row.weight for row in table.select("criterion", "weight").collect()}
+
+
 def weighted_score(
     candidates: DataFrame, weights: Mapping[str, float], within: Sequence[str], out: str = "score"
 ) -> DataFrame:

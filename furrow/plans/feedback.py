@@ -241,3 +241,23 @@ def stream_daily_counts(spark: SparkSession, base: str) -> DataFrame:
     streams.drain(spark, job, {path: logs.INFERENCE_SCHEMA})
     counts = spark.read.parquet(f"{root}/counts").filter(F.col("user_id") != streams.SENTINEL_ID)
     return counts.withColumn("total", F.col("total").cast("double"))
+
+
+@query(
+    "stream_sample_sinks",
+    """
+SELECT sink, event_id AS request_id, epoch_us(ts) AS ts_us, user_id, value AS score
+FROM events, (VALUES ('csv'), ('json')) v(sink) WHERE event_type = 'view'
+""",
+)
+def stream_sample_sinks(spark: SparkSession, base: str) -> DataFrame:
+    """A log with repeated lines, de-duplicated as a stream into JSON lines and CSV at once."""
+    root = work_path(spark, "stream-sinks")
+    path = f"{root}/inference"
+    requests = inference_log(spark, base)
+    logs.append_log(requests.union(requests.filter(F.col("score") > 20)), path)
+    stream = streams.unique_events(logs.stream_log(spark, path, logs.INFERENCE_SCHEMA), "request_id", DELAY)
+    runs.for_each_batch(stream, streams.two_sinks(f"{root}/json", f"{root}/csv"), f"{root}/checkpoint")
+    as_json = logs.read_log(spark, f"{root}/json", logs.INFERENCE_SCHEMA).withColumn("sink", F.lit("json"))
+    as_csv = logs.read_csv(spark, f"{root}/csv", logs.INFERENCE_SCHEMA).withColumn("sink", F.lit("csv"))
+    return as_json.unionByName(as_csv).select("sink", "request_id", F.unix_micros("ts").alias("ts_us"), "user_id", "score")

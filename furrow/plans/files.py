@@ -34,14 +34,14 @@ def _totals(spark: SparkSession, base: str) -> DataFrame:
 
 
 def write_source(spark: SparkSession, base: str, root: str) -> None:
-    old = F.concat(F.lit("D:\\train\\输出\\发布\\"), "run_id")
+    old = F.concat(F.lit("D:\\train\\out\\发布\\"), "run_id")
     document = F.to_json(
         F.struct(
             old.alias("release_dir"),
             F.col("n").alias("n_orders"),
             F.col("total").cast("string").alias("total"),
             F.struct(F.struct(F.concat(old, F.lit("\\x")).alias("path")).alias("model_dir")).alias("artifacts"),
-            F.concat(F.lit("D:\\train\\输出\\log\\"), "run_id").alias("log"),
+            F.concat(F.lit("D:\\train\\out\\log\\"), "run_id").alias("log"),
         )
     )
     runs = _totals(spark, base)

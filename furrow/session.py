@@ -55,8 +55,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def work_path(spark: SparkSession, name: str) -> str:
-    """A new, unused path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/furrow/{name}-{uuid.uuid4().hex}"
+    """A new, unused path below the application's part of the shared folder."""
+    return f"{_application_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _application_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/furrow/{spark.sparkContext.applicationId}"
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete what this application wrote below the shared folder; call it when all results are out."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(_application_dir(spark))
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def persist_reliably(df: DataFrame) -> DataFrame:

@@ -5,11 +5,12 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
-from furrow.session import local_session  # noqa: E402
+from furrow.session import clean_up, local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
 def spark():
     session = local_session("4", "furrow-tests")
     session.sparkContext.setLogLevel("ERROR")
-    return session
+    yield session
+    clean_up(session)

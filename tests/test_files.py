@@ -2,6 +2,7 @@ import json
 
 import pytest
 
+from furrow.operators import inventory
 from furrow.operators import manifests as ops
 from furrow.operators.environment import prepare_environment, repair_tree
 from furrow.sources import logs, market, snapshots
@@ -118,3 +119,13 @@ def test_market_reads_are_typed(spark, tmp_path):
     path = str(tmp_path / "m.parquet")
     market.read_market(spark, str(csv), "csv").write.parquet(path)
     assert market.read_market(spark, path).count() == 1
+
+
+def test_inventory_of_a_tree(spark, tree):
+    (tree / "bare" / "__pycache__").mkdir()
+    (tree / "bare" / "__pycache__" / "x.py").write_text("x")
+    (tree / "bare" / "y.pyc").write_text("y")
+    extras = list_files(spark, str(tree / "bare")).selectExpr("concat('bare/', rel_path) as path")
+    tracked = spark.createDataFrame([("README.md",), ("bare/x.txt",)], "path string")
+    out = inventory.staging_files(inventory.build_inventory(tracked, extras))
+    assert [r.path for r in out.collect()] == ["bare/x.txt"]

@@ -58,7 +58,8 @@ def test_weighted_score_and_top_k(spark):
 
 def test_constant_criterion_counts_zero(spark):
     frame = spark.createDataFrame([("a", 1, 5.0), ("a", 2, 5.0)], "region string, crop_id int, gain double")
-    assert {r.score for r in recommend.weighted_score(frame, {"gain": 1.0}, ["region"]).collect()} == {0.0}
+    weights = recommend.weights_of(spark.createDataFrame([("gain", 1.0)], "criterion string, weight double"))
+    assert {r.score for r in recommend.weighted_score(frame, weights, ["region"]).collect()} == {0.0}
 
 
 def test_lookup_falls_back(spark):
