@@ -200,7 +200,7 @@ def _features(spark: SparkSession, base: str) -> DataFrame:
     f"""
 WITH {PRICE_SERIES_SQL},
 s AS (SELECT crop_id, CAST(count(*) AS DECIMAL(12,0)) AS n, max(t) AS last_t, sum(CAST(t AS DECIMAL(12,0))) AS st,
-             sum(value) AS sv, sum(CAST(t * t AS DECIMAL(18,0))) AS stt, sum(CAST(t AS DECIMAL(12,0)) * value) AS stv
+             sum(value) AS sv, sum(CAST(CAST(t AS BIGINT) * t AS DECIMAL(18,0))) AS stt, sum(CAST(t AS DECIMAL(12,0)) * value) AS stv
       FROM series GROUP BY 1),
 m AS (SELECT *, CAST(CAST(n AS INTEGER) * stv - CAST(st AS INTEGER) * sv AS DOUBLE) AS top,
              CAST(CAST(n AS INTEGER) * stt - CAST(st AS INTEGER) * CAST(st AS INTEGER) AS DOUBLE) AS bottom FROM s),

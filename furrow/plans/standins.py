@@ -79,7 +79,7 @@ series AS (
   SELECT crop_id, t,
          CAST(CAST((2 * CAST(a * 100 AS HUGEINT) + CAST(u AS HUGEINT)) // (2 * CAST(u AS HUGEINT))
               AS DECIMAL(16,0)) * CAST(0.01 AS DECIMAL(3,2)) AS DECIMAL(18,2)) AS value
-  FROM (SELECT l_partkey AS crop_id, (year(l_shipdate) - 1970) * 12 + month(l_shipdate) - 1 AS t,
+  FROM (SELECT l_partkey AS crop_id, CAST((year(l_shipdate) - 1970) * 12 + month(l_shipdate) - 1 AS INTEGER) AS t,
                sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS a,
                sum(CAST(l_quantity AS DECIMAL(18,2))) AS u
         FROM lineitem GROUP BY 1, 2))"""
