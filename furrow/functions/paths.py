@@ -128,6 +128,18 @@ def rewrite_prefix(text: Column, rules: Column) -> Column:
     return let(clean_rules(rules), lambda cleaned: rewrite_cleaned(text, cleaned))
 
 
+def rewrite_with(text: Column, pairs: Sequence[tuple[str, str]]) -> Column:
+    """The same for rules known when the plan is built: plain conditions that compile with the stage."""
+    normal = normalize_separators(text)
+    probe = F.concat(normal, F.lit("/"))
+    result = F.when(F.lit(False), text)
+    for old, new in ((o.replace("\\", "/").rstrip("/"), n.replace("\\", "/").rstrip("/")) for o, n in pairs):
+        if old:
+            rest = F.substring(normal, F.lit(len(old) + (1 if new else 2)), F.length(normal))
+            result = result.when(probe.startswith(old + "/"), F.concat(F.lit(new), rest))
+    return result.otherwise(text)
+
+
 # One JSON text in pieces: a string with an optional key colon, or a run without quotes.
 _JSON_PIECE = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"(?:\s*+:)?+|[^"]++'
 

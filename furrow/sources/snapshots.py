@@ -104,15 +104,22 @@ def copy_tree(spark: SparkSession, source: str, target: str, files_per_task: int
     return listing.repartition(tasks).mapInArrow(_copy_files, "target string").count()
 
 
-def _rename(spark: SparkSession, source: str, target: str) -> None:
+def _swap(spark: SparkSession, incoming: str, target: str) -> None:
+    """Put `incoming` in the place of `target`; the old tree goes only after the new one is there."""
     jvm = spark.sparkContext._jvm
-    old, new = jvm.org.apache.hadoop.fs.Path(source), jvm.org.apache.hadoop.fs.Path(target)
-    store = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if store.exists(new):
-        store.delete(new, True)
-    store.mkdirs(new.getParent())
-    if not store.rename(old, new):
-        raise OSError(f"could not move {source} to {target}")
+    path = jvm.org.apache.hadoop.fs.Path
+    new, place, old = path(incoming), path(target), path(f"{target}.outgoing-{uuid.uuid4().hex}")
+    store = new.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store.mkdirs(place.getParent())
+    replacing = store.exists(place)
+    if replacing and not store.rename(place, old):
+        raise OSError(f"could not set {target} aside")
+    if not store.rename(new, place):
+        if replacing:
+            store.rename(old, place)
+        raise OSError(f"could not move {incoming} to {target}")
+    if replacing:
+        store.delete(old, True)
 
 
 def sync_release(spark: SparkSession, source: str, target: str, force: bool = False) -> str:
@@ -132,5 +139,5 @@ def sync_release(spark: SparkSession, source: str, target: str, force: bool = Fa
     copy_tree(spark, source, staging)
     if not registry_present(spark, staging):
         raise FileNotFoundError(f"{REGISTRY_NAME} is missing after the copy to {staging}")
-    _rename(spark, staging, target)
+    _swap(spark, staging, target)
     return "replaced"

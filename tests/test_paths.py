@@ -60,6 +60,11 @@ def test_rewrite_cases_by_row_rules(spark):
     assert {row.text: row.r for row in out.collect()} == CASES
 
 
+def test_rewrite_cases_by_known_rules(spark):
+    out = texts(spark, CASES).select("text", paths.rewrite_with(F.col("text"), RULES).alias("r"))
+    assert {row.text: row.r for row in out.collect()} == CASES
+
+
 def test_rewrite_cases_by_rule_table(spark):
     table = spark.createDataFrame([(o, n, i) for i, (o, n) in enumerate(RULES)], "old string, new string, ord int")
     for limit in (0, 1 << 20):
@@ -86,11 +91,12 @@ def test_random_texts_match_naive_loop(spark):
     ordered = sorted(rules, key=lambda r: len(r[0].replace("\\", "/").rstrip("/")), reverse=True)
     table = spark.createDataFrame([(o, n, i) for i, (o, n) in enumerate(rules)], "old string, new string, ord int")
     frame = texts(spark, values).withColumn("by_row", paths.rewrite_prefix(F.col("text"), paths.rule_array(ordered)))
+    frame = frame.withColumn("known", paths.rewrite_with(F.col("text"), ordered))
     rows = rewrite_by_rule_table(frame, "text", table).collect()
     assert len(rows) == len(values)
     for row in rows:
         assert row.by_row == naive(row.text, ordered), row.text
-        assert row.rewritten == row.by_row, row.text
+        assert row.rewritten == row.by_row == row.known, row.text
 
 
 def test_scoped_rules_stay_in_their_scope(spark):
