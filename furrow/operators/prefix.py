@@ -47,8 +47,8 @@ def rewrite_by_rule_table(
     many joins as rule depths (a handful), no pair blow-up and no regrouping of
     rows. Small rule tables are broadcast and the rows never move.
     """
-    table, size = measure(distinct_rules(rules, scope))
-    depths = sorted(row.depth for row in table.select("depth").distinct().collect())
+    table, known = measure(distinct_rules(rules, scope), F.sort_array(F.collect_set("depth")).alias("depths"))
+    depths = known.depths
     result = df.withColumn("_parts", paths.components(paths.normalize_separators(F.col(text))))
     hits = []
     for depth in reversed(depths):
@@ -58,7 +58,7 @@ def rewrite_by_rule_table(
             F.col("old").alias(key),
             F.struct("old", "new").alias(hit),
         )
-        if size <= max_bytes:
+        if known.size <= max_bytes:
             side = F.broadcast(side)
         lead = F.when(
             F.size("_parts") >= depth, F.array_join(F.slice("_parts", 1, depth), "/")

@@ -126,8 +126,8 @@ def cosine_top_k(
     the request's row, where the best k so far are kept. Requests never move and
     no pair becomes a row. Lineage is cut before a stage holds too many slices.
     """
-    catalogue, size = measure(profiles.select(profile_key, "centroid"))
-    count = max(1, -(-size // slice_bytes))
+    catalogue, known = measure(profiles.select(profile_key, "centroid"))
+    count = max(1, -(-int(known.size) // slice_bytes))
     norm = F.sqrt(F.aggregate("centroid", F.lit(0.0), lambda s, x: s + x * x))
     packed = (
         catalogue.select(

@@ -233,3 +233,44 @@ def publish_record(spark: SparkSession, base: str) -> DataFrame:
         "doc_id",
         render_record(**{f: F.col(f"r.{f}") for f in fields}, note=F.lit(None).cast("string")).alias("record"),
     )
+
+
+_BULK_SQL = """
+WITH texts AS (
+  SELECT 'C:\\store\\s' || CAST(l_suppkey AS VARCHAR) || '\\p' || CAST(l_partkey AS VARCHAR) || '\\' || l_returnflag AS text
+  FROM lineitem),
+rules AS (
+  SELECT 'C:/store/s' || CAST(s_suppkey AS VARCHAR) AS old,
+         '/data/n' || CAST(s_nationkey AS VARCHAR) || '/s' || CAST(s_suppkey AS VARCHAR) AS new
+  FROM supplier WHERE s_acctbal > 2000
+  UNION ALL SELECT 'C:/store', '/data/rest'),
+distinct_texts AS (SELECT text, replace(text, '\\', '/') AS norm, count(*) AS n FROM texts GROUP BY 1, 2),
+matched AS (
+  SELECT t.*, r.old, r.new, row_number() OVER (PARTITION BY text ORDER BY length(r.old) DESC) AS rn
+  FROM distinct_texts t LEFT JOIN rules r ON norm = r.old OR starts_with(norm, r.old || '/'))
+SELECT new || substr(norm, length(old) + 1) AS rewritten, CAST(sum(n) AS BIGINT) AS n FROM matched WHERE rn = 1 GROUP BY 1
+"""
+
+
+def bulk_inputs(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:
+    """One path per line item, and one rule for most suppliers above a general one."""
+    piece = lambda prefix, column: F.concat(F.lit("\\" + prefix), F.col(column).cast("string"))
+    texts = table(spark, base, "lineitem").select(
+        F.concat(F.lit("C:\\store"), piece("s", "l_suppkey"), piece("p", "l_partkey"), F.lit("\\"), "l_returnflag").alias(
+            "text"
+        )
+    )
+    number = F.col("s_suppkey").cast("string")
+    own = table(spark, base, "supplier").filter(F.col("s_acctbal") > 2000).select(
+        F.concat(F.lit("C:\\store\\s"), number).alias("old"),
+        F.concat(F.lit("/data/n"), F.col("s_nationkey").cast("string"), F.lit("/s"), number).alias("new"),
+        F.lit(0).alias("ord"),
+    )
+    general = spark.createDataFrame([("C:/store/", "/data/rest", 1)], "old string, new string, ord int")
+    return texts, own.union(general)
+
+
+@query("path_rewrite_bulk", _BULK_SQL)
+def path_rewrite_bulk(spark: SparkSession, base: str) -> DataFrame:
+    texts, rules = bulk_inputs(spark, base)
+    return rewrite_by_rule_table(texts, "text", rules).groupBy("rewritten").agg(F.count(F.lit(1)).alias("n"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 RUNTIME_SETTINGS = {
@@ -81,12 +81,12 @@ def persist_reliably(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def measure(df: DataFrame) -> tuple[DataFrame, int]:
-    """Materialise a lookup side once and add up its bytes."""
+def measure(df: DataFrame, *facts: Column) -> tuple[DataFrame, Row]:
+    """Materialise a lookup side once; gives it and a row with its `size` in bytes and further `facts`."""
     kept = persist_reliably(df)
     width = sum((F.octet_length(F.col(c).cast("string")) for c in kept.columns), F.lit(0))
-    size = kept.agg(F.sum(F.coalesce(width, F.lit(64)) + 16)).first()[0]
-    return kept, int(size or 0)
+    size = F.coalesce(F.sum(F.coalesce(width, F.lit(64)) + 16), F.lit(0))
+    return kept, kept.agg(size.alias("size"), *facts).first()
 
 
 def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -95,8 +95,8 @@ def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataF
     Beyond the limit the frame comes back without a hint: Spark then joins by
     shuffle and splits skewed partitions at run time.
     """
-    kept, size = measure(df)
-    return F.broadcast(kept) if size <= max_bytes else kept
+    kept, known = measure(df)
+    return F.broadcast(kept) if known.size <= max_bytes else kept
 
 
 def spread(scan: DataFrame) -> DataFrame:
