@@ -8,17 +8,22 @@ single call from the driver.
 from __future__ import annotations
 
 import posixpath
+import sys
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from furrow.operators.manifests import MANIFEST_NAME, REGISTRY_NAME
 from furrow.sources.releases import list_files, registry_present
 
+# Task functions travel with the job: executors need not have this package.
+register_pickle_by_value(sys.modules[__name__])
+
 _BUFFER = 8 * 1024 * 1024
 
 

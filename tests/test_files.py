@@ -1,6 +1,9 @@
 import json
+import subprocess
+import sys
 
 import pytest
+from pyspark import cloudpickle
 
 from furrow.operators import inventory
 from furrow.operators import manifests as ops
@@ -129,3 +132,10 @@ def test_inventory_of_a_tree(spark, tree):
     tracked = spark.createDataFrame([("README.md",), ("bare/x.txt",)], "path string")
     out = inventory.staging_files(inventory.build_inventory(tracked, extras))
     assert [r.path for r in out.collect()] == ["bare/x.txt"]
+
+
+def test_task_functions_need_no_installed_package(tmp_path):
+    dump = tmp_path / "f.pickle"
+    dump.write_bytes(cloudpickle.dumps([snapshots._copy_files, snapshots._write_texts]))
+    code = f"from pyspark import cloudpickle; cloudpickle.loads(open({str(dump)!r}, 'rb').read())"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={}, check=True)
