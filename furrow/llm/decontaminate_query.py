@@ -11,10 +11,10 @@ from furrow.sources.tables import table
 # The words of both sides, shingles as texts, and an exact count of shared ones.
 SQL = r"""
 WITH word_lists AS (
-    SELECT 'd' AS side, doc_id AS id, list_filter(string_split(translate(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '     abcdefghijklmnopqrstuvwxyz'), ' '), x -> x <> '') AS w
+    SELECT 'd' AS side, doc_id AS id, list_filter(string_split(translate(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '     abcdefghijklmnopqrstuvwxyz'), ' '), lambda x: x <> '') AS w
     FROM documents WHERE doc_id IS NOT NULL
     UNION ALL
-    SELECT 'i', item_id, list_filter(string_split(translate(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '     abcdefghijklmnopqrstuvwxyz'), ' '), x -> x <> '')
+    SELECT 'i', item_id, list_filter(string_split(translate(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '     abcdefghijklmnopqrstuvwxyz'), ' '), lambda x: x <> '')
     FROM benchmark WHERE item_id IS NOT NULL
 ), places AS (
     SELECT side, id, w, unnest(range(1, len(w) - 3)) AS p FROM word_lists

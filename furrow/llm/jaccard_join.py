@@ -18,12 +18,12 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from furrow.llm.blocks import LOWER, mix, shingles, span_hashes, text_blocks, words
 from furrow.llm.components import components
-from furrow.session import persist_reliably
+from furrow.session import broadcast_if_small, persist_reliably
 
 SIZE = 3
 PERCENT = 90
@@ -33,6 +33,7 @@ LARGEST_ENUMERATED = 29
 COUNTERS = 1 << 20
 SLICES = 64
 LEADER_ROUNDS = 2
+PARITY_BITS = 512
 # Cost of trying one entry of an inverted list, in enumerated subsets.
 LIST_ENTRY_COST = 4
 _U = np.uint64
@@ -98,11 +99,10 @@ def frequency_grades(docs: DataFrame, size: int) -> np.ndarray:
     return np.concatenate([np.frombuffer(r.grade, np.uint8) for r in sorted(grades.collect())])
 
 
-def _parity(own: np.ndarray) -> bytes:
+def _parity(own: np.ndarray) -> np.ndarray:
     """Bit per hash residue, set where an odd number of shingles fall: differing bits bound the difference from below."""
-    bits = min(8192, max(64, 1 << int(2 * len(own)).bit_length()))
-    n = np.bincount((own >> _U(32)).astype(np.int64) & (bits - 1), minlength=bits) & 1
-    return np.packbits(n.astype(np.uint8), bitorder="little").tobytes()
+    odd = np.bincount((own >> _U(32)).astype(np.int64) & (PARITY_BITS - 1), minlength=PARITY_BITS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
 def _set_key(own: np.ndarray) -> int:
@@ -115,7 +115,7 @@ def _profiler(size: int, percent: int, grades) -> Callable:
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grade, row = grades.value, TaskContext.get().partitionId() << 40
         for batch in batches:
-            columns: dict[str, list] = {k: [] for k in ("n", "node", "prefix", "few", "parity", "hashes")}
+            columns: dict[str, list] = {k: [] for k in ("n", "node", "prefix", "few", "parity")}
             for own in _sets(batch["text"], size):
                 n = len(own)
                 order = np.lexsort((own, grade[(own & _U(COUNTERS - 1)).astype(np.int64)]))
@@ -125,18 +125,28 @@ def _profiler(size: int, percent: int, grades) -> Callable:
                 columns["prefix"].append(own[keep].view(np.int64))
                 columns["few"].append(own.view(np.int64) if n <= LARGEST_ENUMERATED else None)
                 columns["parity"].append(_parity(own))
-                columns["hashes"].append(own.astype("<u8").tobytes())
             arrays = [batch["doc_id"], pa.array(np.arange(row, row + len(batch)))] + [
                 pa.array(columns[k], t)
-                for k, t in (("n", pa.int64()), ("node", pa.int64()), ("prefix", pa.list_(pa.int64())), ("few", pa.list_(pa.int64())), ("parity", pa.binary()), ("hashes", pa.binary()))
+                for k, t in (("n", pa.int64()), ("node", pa.int64()), ("prefix", pa.list_(pa.int64())), ("few", pa.list_(pa.int64())), ("parity", pa.list_(pa.int64())))
             ]
             row += len(batch)
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "row", "n", "node", "prefix", "few", "parity", "hashes"])
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "row", "n", "node", "prefix", "few", "parity"])
 
     return profile
 
 
-_PROFILE = "doc_id long, row long, n long, node long, prefix array<long>, few array<long>, parity binary, hashes binary"
+def _lister(size: int) -> Callable:
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [own for own in _sets(batch["text"], size) if len(own)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([_set_key(own) for own in found], pa.int64()), pa.array([own.astype("<u8").tobytes() for own in found], pa.binary())], ["node", "hashes"]
+            )
+
+    return sets
+
+
+_PROFILE = "doc_id long, row long, n long, node long, prefix array<long>, few array<long>, parity array<long>"
 
 
 def subsets_of(n: int, percent: int) -> int:
@@ -185,13 +195,6 @@ def _light_links(nodes: DataFrame, boundary: int, percent: int) -> DataFrame:
     return rows.join(hubs, ["key", "c"]).filter(enough & (F.col("node") != F.col("hub.node"))).select(F.col("hub.node").alias("a"), F.col("node").alias("b"))
 
 
-def _fold(bits: np.ndarray, size: int) -> np.ndarray:
-    while len(bits) > size:
-        half = len(bits) // 2
-        bits = bits[:half] ^ bits[half:]
-    return bits
-
-
 def _judge(percent: int) -> Callable:
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -207,31 +210,26 @@ def _judge(percent: int) -> Callable:
     return judge
 
 
-def _near_enough(percent: int) -> Callable:
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = np.zeros(len(batch), bool)
-            columns = (batch[c].to_pylist() for c in ("n_a", "n_b", "parity_a", "parity_b"))
-            for i, (n, m, x, y) in enumerate(zip(*columns)):
-                x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
-                size = min(len(x), len(y))
-                differing = int(np.unpackbits(_fold(x, size) ^ _fold(y, size)).sum())
-                # |x ^ y| <= n + m - 2 * overlap, and the overlap is percent / (100 + percent) of n + m at least.
-                ok[i] = (100 + percent) * differing <= (100 - percent) * (n + m)
-            yield batch.select(["a", "b"]).filter(pa.array(ok))
-
-    return near
-
-
-def _decide(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link: first by size and parity bits, then by the full sets."""
-    def side(x: str, *columns: str) -> DataFrame:
-        return nodes.select(F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in columns))
-
-    sized = pairs.join(side("a", "n", "parity"), "a").join(side("b", "n", "parity"), "b")
-    sized = sized.filter(F.lit(100) * F.least("n_a", "n_b") >= F.lit(percent) * F.greatest("n_a", "n_b"))
-    near = persist_reliably(sized.mapInArrow(_near_enough(percent), "a long, b long"))
-    full = near.join(side("a", "hashes"), "a").join(side("b", "hashes"), "b")
+def _could_link(percent: int) -> Column:
+    """Whether sizes and parity bits of a and b leave a link possible."""
+    sized = F.lit(100) * F.least("n_a", "n_b") >= F.lit(percent) * F.greatest("n_a", "n_b")
+    differing = sum((F.bit_count(F.col("parity_a")[i].bitwiseXOR(F.col("parity_b")[i])) for i in range(PARITY_BITS // 64)), F.lit(0))
+    # |x ^ y| = n + m - 2 * overlap, and the overlap is at least percent / (100 + percent) of n + m.
+    return sized & (F.lit(100 + percent) * differing <= F.lit(100 - percent) * (F.col("n_a") + F.col("n_b")))
+
+
+def _side(nodes: DataFrame, x: str, *columns: str) -> DataFrame:
+    return nodes.select(F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in columns))
+
+
+def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    joined = pairs.join(_side(nodes, "a", "n", "parity"), "a").join(_side(nodes, "b", "n", "parity"), "b")
+    return joined.filter(_could_link(percent)).select("a", "b")
+
+
+def _decide(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets link."""
+    full = pairs.join(_side(sets, "a", "hashes"), "a").join(_side(sets, "b", "hashes"), "b")
     return full.mapInArrow(_judge(percent), "a long, b long")
 
 
@@ -244,12 +242,26 @@ def _with_component(entries: DataFrame, parts: DataFrame) -> DataFrame:
     return joined.select("token", "node", F.coalesce("component", "node").alias("component"))
 
 
-def _heavy_links(nodes: DataFrame, boundary: int, percent: int, links: DataFrame) -> DataFrame:
+def _facing(known: DataFrame, apart: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Two copies of list entries with columns named for a and b."""
+    columns = [c for c in ("token", "node", "component", "n", "parity") if c in known.columns]
+    one = known if apart is None else known.filter(apart)
+    return tuple(x.select(*(F.col(c).alias(f"{c}_{name}") for c in columns)) for x, name in ((one, "a"), (known, "b")))
+
+
+def _heavy_links(docs: DataFrame, nodes: DataFrame, boundary: int, percent: int, size: int, links: DataFrame) -> DataFrame:
     """`links` and the links of pairs with at least one large set."""
     sets = nodes.filter(F.col("n") >= least_overlap(boundary, percent))
     entries = sets.select(F.explode("prefix").alias("token"), "node")
     shared = entries.groupBy("token").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("token")
     entries = persist_reliably(entries.join(shared, "token"))
+    # Entries with a possible partner in their list; one is enough, so no pairs come out.
+    one, other = _facing(entries.join(nodes.select("node", "n", "parity"), "node"))
+    met = one.join(other, (F.col("token_a") == F.col("token_b")) & (F.col("node_a") != F.col("node_b")) & _could_link(percent), "left_semi")
+    entries = persist_reliably(met.select(F.col("token_a").alias("token"), F.col("node_a").alias("node")))
+    # Only their full sets are written and moved.
+    wanted = broadcast_if_small(entries.select("node").distinct())
+    full = persist_reliably(docs.select("text").mapInArrow(_lister(size), "node long, hashes binary").join(wanted, "node", "left_semi").dropDuplicates(["node"]))
     for turn in range(LEADER_ROUNDS + 1):
         placed = persist_reliably(_with_component(entries, components(links)))
         lists = placed.groupBy("token").agg(F.min(F.struct("node", "component")).alias("lead"), F.min("component").alias("lo"), F.max("component").alias("hi"))
@@ -258,13 +270,15 @@ def _heavy_links(nodes: DataFrame, boundary: int, percent: int, links: DataFrame
         apart = F.col("component") != F.col("lead.component")
         if turn < LEADER_ROUNDS:
             # One leader of each list against all entries it is not linked with yet; then its entry is done.
-            pairs = placed.filter(apart).select(F.col("lead.node").alias("a"), F.col("node").alias("b"))
+            pairs = _possible(_ordered(placed.filter(apart).select(F.col("lead.node").alias("a"), F.col("node").alias("b"))), nodes, percent)
             entries = placed.filter(F.col("node") != F.col("lead.node")).select("token", "node")
         else:
             # What is left: entries outside the leader's component against their whole list.
-            rest = placed.filter(apart).select("token", F.col("node").alias("a"), F.col("component").alias("own"))
-            pairs = rest.join(placed.select("token", F.col("node").alias("b"), "component"), "token").filter("own <> component").select("a", "b")
-        links = persist_reliably(links.unionByName(_decide(_ordered(pairs), nodes, percent)))
+            known = placed.join(nodes.select("node", "n", "parity"), "node")
+            one, other = _facing(known, apart)
+            met = one.join(other, (F.col("token_a") == F.col("token_b")) & (F.col("component_a") != F.col("component_b")) & _could_link(percent))
+            pairs = _ordered(met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
+        links = persist_reliably(links.unionByName(_decide(persist_reliably(pairs), full, percent)))
     return links
 
 
@@ -290,12 +304,12 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, size: int = SIZE
     # One profile for each distinct set.
     owners = profile.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.min("row").alias("row"))
     owners = persist_reliably(owners)
-    nodes = persist_reliably(profile.join(owners.select("row"), "row", "left_semi").select("node", "n", "prefix", "few", "parity", "hashes"))
+    nodes = persist_reliably(profile.join(owners.select("row"), "row", "left_semi").select("node", "n", "prefix", "few", "parity"))
     small = nodes.filter(F.col("n") <= LARGEST_ENUMERATED).groupBy("n").count().collect()
     lengths = nodes.select(F.explode("prefix").alias("token")).agg((F.count(F.lit(1)) / F.greatest(F.approx_count_distinct("token"), F.lit(1))).alias("mean")).first().mean
     boundary = choose_boundary({r["n"]: r["count"] for r in small}, float(lengths or 1.0), percent)
     light = persist_reliably(_light_links(nodes, boundary, percent).distinct())
-    links = _heavy_links(nodes, boundary, percent, light)
+    links = _heavy_links(docs, nodes, boundary, percent, size, light)
     parts = persist_reliably(components(links))
     placed = owners.join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "least")
     named = placed.groupBy("component").agg(F.min("least").alias("component_id"))
