@@ -317,3 +317,21 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, size: int = SIZE
     found = profile.select("doc_id", F.col("n").alias("n_shingles"), "node").join(classes, "node", "left")
     own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return found.select("doc_id", "n_shingles", own.alias("component_id"))
+
+
+def keep_one(docs: DataFrame, percent: int = PERCENT, size: int = SIZE) -> DataFrame:
+    """`docs` with one document of each group of linked ones: that with the smallest id.
+
+    Texts without words and rows without an id stay. An id goes when none of its rows
+    names its component; repeated rows of a kept id (same id and text) leave one.
+    """
+    found = persist_reliably(jaccard_components(docs, percent, size).filter("doc_id is not null and n_shingles > 0"))
+    ids = found.groupBy("doc_id").agg(F.max(F.col("component_id") == F.col("doc_id")).alias("names"), F.count(F.lit(1)).alias("times"))
+    ids = persist_reliably(ids.filter("not names or times > 1"))
+    gone = broadcast_if_small(ids.filter("not names").select("doc_id"))
+    repeated = broadcast_if_small(ids.filter("names").select("doc_id"))
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    once = kept.join(repeated, "doc_id", "left_anti").select(*docs.columns)
+    if ids.filter("names").isEmpty():
+        return once
+    return once.unionByName(kept.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
