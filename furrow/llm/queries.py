@@ -1,3 +1,3 @@
 """Imports every query module of the package, which registers its queries."""
 
-from furrow.llm import decontaminate_query, jaccard_query, packing_query, pii_query, toxicity_query  # noqa: F401
+from furrow.llm import decontaminate_query, jaccard_query, packing_query, pii_query, quality_query, toxicity_query  # noqa: F401
