@@ -1,3 +1,12 @@
 """Imports every query module of the package, which registers its queries."""
 
-from furrow.llm import decontaminate_query, jaccard_query, langid_query, packing_query, pii_query, quality_query, toxicity_query  # noqa: F401
+from furrow.llm import (  # noqa: F401
+    decontaminate_query,
+    jaccard_query,
+    langid_query,
+    packing_query,
+    pii_query,
+    quality_query,
+    site_query,
+    toxicity_query,
+)
