@@ -1,6 +1,7 @@
 """Imports every query module of the package, which registers its queries."""
 
 from furrow.llm import (  # noqa: F401
+    chat_query,
     decontaminate_query,
     jaccard_query,
     langid_query,
