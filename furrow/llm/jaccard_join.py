@@ -32,7 +32,8 @@ LARGEST_ENUMERATED = 29
 # Counters of the shingle frequency sketch: fixed, whatever the corpus.
 COUNTERS = 1 << 20
 SLICES = 64
-LEADER_ROUNDS = 2
+PARTNER_ROUNDS = 2
+LEADER_ROUNDS = 1
 PARITY_BITS = 512
 # Cost of trying one entry of an inverted list, in enumerated subsets.
 LIST_ENTRY_COST = 4
@@ -44,43 +45,57 @@ def least_overlap(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def _sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
-    """Sorted distinct shingle hashes of each text; texts below `size` words are one shingle."""
+def _sets(column: pa.Array, size: int, grades: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Sorted distinct shingle hashes of each text, and their frequency grades; texts below `size` words are one shingle."""
     for _, data, offsets in text_blocks(column):
-        data = LOWER[data]
-        starts, ends, rows = words(data, offsets)
-        value = span_hashes(data, starts, ends)
-        all_shingles, owner, _ = shingles(value, rows, size)
+        value, rows, listed, owner, first_word = _hashed(data, offsets, size)
         n = len(offsets) - 1
+        grade = np.zeros(len(listed), np.uint8)
+        if grades is not None:
+            # A shingle is no more frequent than the rarest of its words.
+            of_words = grades[0][(value & _U(COUNTERS - 1)).astype(np.int64)]
+            grade = grades[1][(listed & _U(COUNTERS - 1)).astype(np.int64)]
+            for i in range(size):
+                grade = np.minimum(grade, of_words[first_word + i])
         cuts = np.searchsorted(owner, np.arange(n + 1))
         first = np.searchsorted(rows, np.arange(n + 1))
         for i in range(n):
             if cuts[i + 1] > cuts[i]:
-                yield np.unique(all_shingles[cuts[i] : cuts[i + 1]])
+                own, at = np.unique(listed[cuts[i] : cuts[i + 1]], return_index=True)
+                yield own, grade[cuts[i] : cuts[i + 1]][at]
             elif first[i + 1] > first[i]:
                 own = np.zeros(1, _U)
                 for w in range(first[i], first[i + 1]):
                     own = mix(own * _U(3) + value[w : w + 1])
-                yield own
+                yield own, np.zeros(1, np.uint8)
             else:
-                yield np.zeros(0, _U)
+                yield np.zeros(0, _U), np.zeros(0, np.uint8)
+
+
+def _hashed(data: np.ndarray, offsets: np.ndarray, size: int):
+    """Word hashes and their rows; shingle hashes, their rows and first words."""
+    data = LOWER[data]
+    starts, ends, rows = words(data, offsets)
+    value = span_hashes(data, starts, ends)
+    return value, rows, *shingles(value, rows, size)
 
 
 def _counter(size: int) -> Callable:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTERS, np.uint32)
+        total = np.zeros((2, COUNTERS), np.uint32)
         for batch in batches:
-            for own in _sets(batch["text"], size):
-                place, n = np.unique((own & _U(COUNTERS - 1)).astype(np.int64), return_counts=True)
-                total[place] += n.astype(np.uint32)
-        for i, part in enumerate(np.split(total, SLICES)):
+            for _, data, offsets in text_blocks(batch["text"]):
+                value, _, listed, *_ = _hashed(data, offsets, size)
+                for one, hashes in zip(total, (value, listed)):
+                    np.add.at(one, (hashes & _U(COUNTERS - 1)).astype(np.int64), np.uint32(1))
+        for i, part in enumerate(np.split(total, SLICES, axis=1)):
             yield pa.RecordBatch.from_pydict({"slice": pa.array([i], pa.int32()), "counts": pa.array([part.astype("<u4").tobytes()], pa.binary())})
 
     return count
 
 
 def _add_slices(key: tuple, table: pa.Table) -> pa.Table:
-    total = np.zeros(COUNTERS // SLICES, np.uint64)
+    total = np.zeros(2 * COUNTERS // SLICES, np.uint64)
     for part in table["counts"].to_pylist():
         total += np.frombuffer(part, "<u4")
     grade = np.ceil(np.log2(total.astype(float) + 1)).astype(np.uint8)
@@ -88,15 +103,16 @@ def _add_slices(key: tuple, table: pa.Table) -> pa.Table:
 
 
 def frequency_grades(docs: DataFrame, size: int) -> np.ndarray:
-    """Binary logarithm of how often shingles of each counter occur, over all texts.
+    """Binary logarithms of how often words and shingles of each counter occur, over all texts.
 
-    Counters are shared by many shingles, so a grade can only be too high. It orders
-    the inverted lists and decides nothing else.
+    Counters are shared, so a grade can only be too high. Grades order the shingles of a
+    set, so that inverted lists are short, and decide nothing else.
     """
     counts = docs.select("text").mapInArrow(_counter(size), "slice int, counts binary")
     grades = counts.groupBy("slice").applyInArrow(_add_slices, "slice int, grade binary")
     # SLICES rows of fixed size.
-    return np.concatenate([np.frombuffer(r.grade, np.uint8) for r in sorted(grades.collect())])
+    found = [np.frombuffer(r.grade, np.uint8).reshape(2, -1) for r in sorted(grades.collect())]
+    return np.concatenate(found, axis=1) if found else np.zeros((2, COUNTERS), np.uint8)
 
 
 def _parity(own: np.ndarray) -> np.ndarray:
@@ -113,12 +129,12 @@ def _set_key(own: np.ndarray) -> int:
 
 def _profiler(size: int, percent: int, grades) -> Callable:
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grade, row = grades.value, TaskContext.get().partitionId() << 40
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
             columns: dict[str, list] = {k: [] for k in ("n", "node", "prefix", "few", "parity")}
-            for own in _sets(batch["text"], size):
+            for own, grade in _sets(batch["text"], size, grades.value):
                 n = len(own)
-                order = np.lexsort((own, grade[(own & _U(COUNTERS - 1)).astype(np.int64)]))
+                order = np.lexsort((own, grade))
                 keep = order[: n - least_overlap(n, percent) + 1] if n else order
                 columns["n"].append(n)
                 columns["node"].append(_set_key(own) if n else None)
@@ -138,10 +154,9 @@ def _profiler(size: int, percent: int, grades) -> Callable:
 def _lister(size: int) -> Callable:
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [own for own in _sets(batch["text"], size) if len(own)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([_set_key(own) for own in found], pa.int64()), pa.array([own.astype("<u8").tobytes() for own in found], pa.binary())], ["node", "hashes"]
-            )
+            found = [own for own, _ in _sets(batch["text"], size)]
+            nodes = pa.array([_set_key(own) if len(own) else None for own in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], nodes, pa.array([own.astype("<u8").tobytes() for own in found], pa.binary())], ["doc_id", "node", "hashes"])
 
     return sets
 
@@ -228,9 +243,10 @@ def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
 
 def _decide(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets link."""
-    full = pairs.join(_side(sets, "a", "hashes"), "a").join(_side(sets, "b", "hashes"), "b")
-    return full.mapInArrow(_judge(percent), "a long, b long")
+    """The pairs (a, b) whose full sets link. Only sets that a pair names are moved."""
+    left = _side(sets, "a", "hashes").join(broadcast_if_small(pairs), "a")
+    right = _side(sets, "b", "hashes").join(broadcast_if_small(pairs.select("b").distinct()), "b", "left_semi")
+    return left.join(right, "b").mapInArrow(_judge(percent), "a long, b long")
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -244,12 +260,22 @@ def _with_component(entries: DataFrame, parts: DataFrame) -> DataFrame:
 
 def _facing(known: DataFrame, apart: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """Two copies of list entries with columns named for a and b."""
-    columns = [c for c in ("token", "node", "component", "n", "parity") if c in known.columns]
+    columns = [c for c in ("token", "node", "component", "n", "parity", "prefix") if c in known.columns]
     one = known if apart is None else known.filter(apart)
     return tuple(x.select(*(F.col(c).alias(f"{c}_{name}") for c in columns)) for x, name in ((one, "a"), (known, "b")))
 
 
-def _heavy_links(docs: DataFrame, nodes: DataFrame, boundary: int, percent: int, size: int, links: DataFrame) -> DataFrame:
+def _full_sets(docs: DataFrame, wanted: DataFrame, profile: DataFrame, owners: DataFrame, size: int) -> DataFrame:
+    """(node, hashes) for the nodes in `wanted`, from the document with the smallest id of each."""
+    keyed = wanted.join(owners.select("node", F.col("least").alias("doc_id")), "node")
+    found = docs.select("doc_id", "text").mapInArrow(_lister(size), "doc_id long, node long, hashes binary")
+    keys = broadcast_if_small(keyed).alias("k")
+    found = found.alias("f").join(keys, (F.col("f.node") == F.col("k.node")) & F.col("f.doc_id").eqNullSafe(F.col("k.doc_id")), "left_semi").select("node", "hashes")
+    repeated = profile.filter("node is not null").groupBy("node", "doc_id").count().filter("count > 1")
+    return found if repeated.isEmpty() else found.dropDuplicates(["node"])
+
+
+def _heavy_links(docs: DataFrame, profile: DataFrame, owners: DataFrame, nodes: DataFrame, boundary: int, percent: int, size: int, links: DataFrame) -> DataFrame:
     """`links` and the links of pairs with at least one large set."""
     sets = nodes.filter(F.col("n") >= least_overlap(boundary, percent))
     entries = sets.select(F.explode("prefix").alias("token"), "node")
@@ -260,25 +286,33 @@ def _heavy_links(docs: DataFrame, nodes: DataFrame, boundary: int, percent: int,
     met = one.join(other, (F.col("token_a") == F.col("token_b")) & (F.col("node_a") != F.col("node_b")) & _could_link(percent), "left_semi")
     entries = persist_reliably(met.select(F.col("token_a").alias("token"), F.col("node_a").alias("node")))
     # Only their full sets are written and moved.
-    wanted = broadcast_if_small(entries.select("node").distinct())
-    full = persist_reliably(docs.select("text").mapInArrow(_lister(size), "node long, hashes binary").join(wanted, "node", "left_semi").dropDuplicates(["node"]))
-    for turn in range(LEADER_ROUNDS + 1):
+    full = persist_reliably(_full_sets(docs, entries.select("node").distinct(), profile, owners, size))
+    tested = None
+    for turn in range(PARTNER_ROUNDS + LEADER_ROUNDS + 1):
         placed = persist_reliably(_with_component(entries, components(links)))
         lists = placed.groupBy("token").agg(F.min(F.struct("node", "component")).alias("lead"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-        open_lists = lists.filter("lo <> hi").select("token", "lead")
-        placed = persist_reliably(placed.join(open_lists, "token"))
+        placed = persist_reliably(placed.join(lists.filter("lo <> hi").select("token", "lead"), "token"))
         apart = F.col("component") != F.col("lead.component")
-        if turn < LEADER_ROUNDS:
-            # One leader of each list against all entries it is not linked with yet; then its entry is done.
+        if turn < PARTNER_ROUNDS + LEADER_ROUNDS:
+            # The leader of each list against all entries it is not linked with yet.
             pairs = _possible(_ordered(placed.filter(apart).select(F.col("lead.node").alias("a"), F.col("node").alias("b"))), nodes, percent)
-            entries = placed.filter(F.col("node") != F.col("lead.node")).select("token", "node")
         else:
-            # What is left: entries outside the leader's component against their whole list.
-            known = placed.join(nodes.select("node", "n", "parity"), "node")
-            one, other = _facing(known, apart)
-            met = one.join(other, (F.col("token_a") == F.col("token_b")) & (F.col("component_a") != F.col("component_b")) & _could_link(percent))
+            # What is left: entries outside the leader's component against their whole list; a pair comes from its first common list.
+            one, other = _facing(placed.join(nodes.select("node", "n", "parity", "prefix"), "node"), apart)
+            first = F.array_min(F.array_intersect("prefix_a", "prefix_b")) == F.col("token_a")
+            met = one.join(other, (F.col("token_a") == F.col("token_b")) & (F.col("component_a") != F.col("component_b")) & _could_link(percent) & first)
             pairs = _ordered(met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
-        links = persist_reliably(links.unionByName(_decide(persist_reliably(pairs), full, percent)))
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        if turn < PARTNER_ROUNDS:
+            # First one partner for each node: that already joins most of a group of near copies.
+            pairs = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+        elif turn < PARTNER_ROUNDS + LEADER_ROUNDS:
+            # Then all; the leader's entry is done with.
+            entries = placed.filter(F.col("node") != F.col("lead.node")).select("token", "node")
+        pairs = persist_reliably(pairs)
+        links = persist_reliably(links.unionByName(_decide(pairs, full, percent)))
+        tested = pairs if tested is None else persist_reliably(tested.unionByName(pairs))
     return links
 
 
@@ -309,7 +343,7 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, size: int = SIZE
     lengths = nodes.select(F.explode("prefix").alias("token")).agg((F.count(F.lit(1)) / F.greatest(F.approx_count_distinct("token"), F.lit(1))).alias("mean")).first().mean
     boundary = choose_boundary({r["n"]: r["count"] for r in small}, float(lengths or 1.0), percent)
     light = persist_reliably(_light_links(nodes, boundary, percent).distinct())
-    links = _heavy_links(docs, nodes, boundary, percent, size, light)
+    links = _heavy_links(docs, profile, owners, nodes, boundary, percent, size, light)
     parts = persist_reliably(components(links))
     placed = owners.join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "least")
     named = placed.groupBy("component").agg(F.min("least").alias("component_id"))
