@@ -9,5 +9,6 @@ from furrow.llm import (  # noqa: F401
     pii_query,
     quality_query,
     site_query,
+    suffix_query,
     toxicity_query,
 )
