@@ -97,3 +97,10 @@ def ranges(counts: np.ndarray) -> np.ndarray:
     """0..count-1 for each count, end to end."""
     ends = np.cumsum(counts)
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - counts, counts)
+
+
+def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """start, start + 1, .. for each count, end to end; places below 2**31."""
+    ends = np.cumsum(counts)
+    total = int(ends[-1]) if len(ends) else 0
+    return np.repeat((starts - (ends - counts)).astype(np.int32), counts) + np.arange(total, dtype=np.int32)

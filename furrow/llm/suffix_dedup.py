@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from furrow.llm.blocks import mix, ranges, span_hashes, text_blocks
+from furrow.llm.blocks import mix, ranges, span_hashes, spread, text_blocks
 
 LENGTH = 50
 K = 16
@@ -92,7 +92,7 @@ def _chunks(docs: np.ndarray, rows: np.ndarray, shift: np.ndarray, data: np.ndar
     size, text = last - first + length, owner[first]
     values = (k_hash[place], docs[text], rows[text], first - offsets[text] + shift[text], place - first, size)
     columns = {name: v.astype(kind) for name, kind, v in zip(_NAMES, _KINDS, values)}
-    return columns, data[np.repeat(first, size) + ranges(size)]
+    return columns, data[spread(first, size)]
 
 
 def _contents(columns: dict[str, np.ndarray], data: np.ndarray) -> np.ndarray:
@@ -112,7 +112,7 @@ def _contents(columns: dict[str, np.ndarray], data: np.ndarray) -> np.ndarray:
 def _pick(columns: dict[str, np.ndarray], data: np.ndarray, rows: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
     size = columns["size"].astype(np.int64)
     first = (np.cumsum(size) - size)[rows]
-    return {n: c[rows] for n, c in columns.items()}, data[np.repeat(first, size[rows]) + ranges(size[rows])]
+    return {n: c[rows] for n, c in columns.items()}, data[spread(first, size[rows])]
 
 
 def _least_by(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -124,17 +124,27 @@ def _least_by(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _write(columns: dict[str, np.ndarray], data: np.ndarray) -> bytes:
-    head = np.array([len(columns["hash"])], "<i8").tobytes()
-    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(columns[n].tobytes() for n in _NAMES) + data.tobytes())
+    # Ids as differences; anchors' hashes come back from the bytes.
+    head = np.array([len(columns["doc"])], "<i8").tobytes()
+    sent = {**columns, "doc": np.diff(columns["doc"], prepend=0)}
+    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(sent[n].tobytes() for n in _NAMES[1:]) + data.tobytes())
 
 
 def _read(blob: bytes) -> tuple[dict[str, np.ndarray], np.ndarray]:
     raw = zstandard.ZstdDecompressor().decompress(blob)
     n, at, columns = int(np.frombuffer(raw, "<i8", 1)[0]), 8, {}
-    for name, kind in zip(_NAMES, _KINDS):
+    for name, kind in zip(_NAMES[1:], _KINDS[1:]):
         columns[name] = np.frombuffer(raw, kind, n, at)
         at += n * np.dtype(kind).itemsize
-    return columns, np.frombuffer(raw, np.uint8, offset=at)
+    data = np.frombuffer(raw, np.uint8, offset=at)
+    columns["doc"] = np.cumsum(columns["doc"])
+    size = columns["size"].astype(np.int64)
+    anchor = np.cumsum(size) - size + columns["before"]
+    value = np.zeros(n, np.uint64)
+    for i in range(K):
+        value = value * _BASE + data[anchor + i]
+    columns["hash"] = mix(value)
+    return columns, data
 
 
 _SPAN = np.dtype([("doc", "<i8"), ("row", "<i8"), ("start", "<i4"), ("end", "<i4")])
@@ -148,8 +158,8 @@ def _spans(doc, row, start, end) -> np.ndarray:
 
 def _span_blobs(spans: np.ndarray, doc_buckets: int) -> Iterator[tuple[int, bytes]]:
     """Compressed spans for each bucket of documents."""
-    bucket = spans["row"] % doc_buckets
-    order = np.lexsort((spans["start"], spans["row"], bucket))
+    bucket = spans["doc"] % doc_buckets
+    order = np.lexsort((spans["start"], spans["row"], spans["doc"], bucket))
     spans, bucket = spans[order], bucket[order]
     edges = np.flatnonzero(np.append(True, np.diff(bucket) != 0)) if len(bucket) else np.zeros(0, np.int64)
     for a, b in zip(edges, np.append(edges[1:], len(bucket))):
@@ -172,13 +182,15 @@ def _dealer(length: int, buckets: int, doc_buckets: int) -> Callable:
         later = columns["doc"] > least[back]
         gone = {n: c[later] for n, c in columns.items()}
         spans = _spans(gone["doc"], gone["row"], gone["place"], gone["place"].astype(np.int64) + gone["size"])
-        columns, data = _pick(columns, data, np.flatnonzero(~later))
-        bucket = (columns["hash"] % _U(buckets)).astype(np.int64)
+        kept = np.flatnonzero(~later)
+        bucket = (columns["hash"][kept] % _U(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
+        columns, data = _pick(columns, data, kept[order])
         edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        for b in range(buckets):
-            if edges[b + 1] > edges[b]:
-                rows.append((b, _write(*_pick(columns, data, order[edges[b] : edges[b + 1]])), None, None))
+        cuts = np.concatenate([[0], np.cumsum(columns["size"], dtype=np.int64)])[edges]
+        for b in np.flatnonzero(np.diff(edges)):
+            part = {n: c[edges[b] : edges[b + 1]] for n, c in columns.items()}
+            rows.append((int(b), _write(part, data[cuts[b] : cuts[b + 1]]), None, None))
         # What is decided already passes through some bucket.
         rows += [(d % buckets, None, d, blob) for d, blob in _span_blobs(spans, doc_buckets)]
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_ROWS)], schema=_ROWS)
@@ -346,17 +358,41 @@ def _sorter(length: int, doc_buckets: int) -> Callable:
     return sort
 
 
-def _remover(key: tuple, docs: pa.Table, found: pa.Table) -> pa.Table:
+def _sender(buckets: int) -> Callable:
+    """Documents as compressed blobs, per bucket of documents."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        for batch in batches:
+            bucket = np.array(batch["doc_bucket"].to_numpy(zero_copy_only=False), np.int64)
+            order = np.argsort(bucket, kind="stable")
+            edges = np.flatnonzero(np.append(True, np.diff(bucket[order]) != 0)) if len(order) else order
+            blobs = []
+            for a, b in zip(edges, np.append(edges[1:], len(order))):
+                part = batch.take(pa.array(order[a:b]))
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, part.schema, options=options) as stream:
+                    stream.write_batch(part)
+                blobs.append(sink.getvalue().to_pybytes())
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[order][edges], pa.int32()), pa.array(blobs, pa.binary())], ["doc_bucket", "docs"])
+
+    return send
+
+
+def _remover(key: tuple, sent: pa.Table, found: pa.Table) -> pa.Table:
     """Cuts the spans out of the documents of one bucket."""
+    parts = [pa.ipc.open_stream(b.as_buffer()).read_all() for b in sent["docs"]]
+    docs = pa.concat_tables(parts) if parts else pa.table({"doc_id": pa.array([], pa.int64()), "row": pa.array([], pa.int64()), "text": pa.array([], pa.string())})
     blobs = [np.frombuffer(zstandard.ZstdDecompressor().decompress(b), _SPAN) for b in found["spans"].to_pylist()]
     spans = np.concatenate(blobs) if blobs else np.zeros(0, _SPAN)
-    spans = spans[np.lexsort((spans["start"], spans["row"]))]
+    spans = spans[np.lexsort((spans["start"], spans["doc"]))]
     columns: list[list] = [[] for _ in _RESULT]
     for doc, row, text in zip(docs["doc_id"].to_pylist(), docs["row"].to_pylist(), docs["text"]):
         raw = text.as_buffer() if text.is_valid else b""
-        a, b = np.searchsorted(spans["row"], [row, row], "left")[0], np.searchsorted(spans["row"], row, "right")
-        own = spans[a:b]
-        own = own[own["doc"] == doc] if doc is not None else own[:0]
+        own = spans[:0]
+        if doc is not None:
+            own = spans[np.searchsorted(spans["doc"], doc, "left") : np.searchsorted(spans["doc"], doc, "right")]
+            own = own[own["row"] == row]
         digest, at, removed, runs = hashlib.sha256(), 0, 0, []
         view = memoryview(raw)
         if len(own):
@@ -392,10 +428,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     rows with equal ids do not take from each other. Other columns are left aside.
     """
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    keyed = keyed.withColumn("row", F.xxhash64("doc_id", "text"))
     total = keyed.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
-    buckets = max(1, -(-total // BUCKET_BYTES))
+    buckets = -(-total // BUCKET_BYTES) | 1
+    # Only where ids repeat do their rows need another mark.
+    repeated = not keyed.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty()
+    keyed = keyed.withColumn("row", F.xxhash64("text") if repeated else F.lit(0).cast("long"))
     dealt = keyed.filter("doc_id is not null and text is not null").mapInArrow(_dealer(length, buckets, buckets), ROWS)
     spans = dealt.groupBy("bucket").applyInArrow(_sorter(length, buckets), "doc_bucket int, spans binary")
-    placed = keyed.withColumn("doc_bucket", F.pmod("row", F.lit(buckets)).cast("int"))
-    return placed.groupBy("doc_bucket").cogroup(spans.groupBy("doc_bucket")).applyInArrow(_remover, RESULT)
+    placed = keyed.withColumn("doc_bucket", F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(buckets)).cast("int"))
+    sent = placed.mapInArrow(_sender(buckets), "doc_bucket int, docs binary")
+    return sent.groupBy("doc_bucket").cogroup(spans.groupBy("doc_bucket")).applyInArrow(_remover, RESULT)
