@@ -24,12 +24,12 @@ from pyspark.sql import functions as F
 from furrow.llm.blocks import mix, ranges, span_hashes, spread, text_blocks
 
 LENGTH = 50
-K = 16
+K = 14
 COVER = 16
 # Bytes of text for each bucket of suffixes and for each bucket of documents.
-BUCKET_BYTES = 8_000_000
+BUCKET_BYTES = 6_000_000
 SEGMENT_BYTES = 400_000
-FLUSH_BYTES = 24_000_000
+FLUSH_BYTES = 20_000_000
 # Strings sorted at a time, unless one bucket of suffixes holds more.
 BLOCK_STRINGS = 1_000_000
 _U = np.uint64
@@ -72,6 +72,17 @@ _NAMES = ("hash", "doc", "row", "place", "before", "size")
 _KINDS = (np.uint64, np.int64, np.int64, np.int32, np.uint8, np.uint8)
 
 
+def _gather(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The bytes of many intervals end to end; in slices, so that the index stays small."""
+    out = np.empty(int(sizes.sum()), np.uint8)
+    at = 0
+    for a in range(0, len(sizes), 20_000):
+        part = data[spread(starts[a : a + 20_000], sizes[a : a + 20_000])]
+        out[at : at + len(part)] = part
+        at += len(part)
+    return out
+
+
 def _chunks(docs: np.ndarray, rows: np.ndarray, shift: np.ndarray, data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[dict[str, np.ndarray], np.ndarray]:
     """Anchors of texts standing end to end, each with its strings: the bytes from the first string's start to the last one's end.
 
@@ -92,7 +103,7 @@ def _chunks(docs: np.ndarray, rows: np.ndarray, shift: np.ndarray, data: np.ndar
     size, text = last - first + length, owner[first]
     values = (k_hash[place], docs[text], rows[text], first - offsets[text] + shift[text], place - first, size)
     columns = {name: v.astype(kind) for name, kind, v in zip(_NAMES, _KINDS, values)}
-    return columns, data[spread(first, size)]
+    return columns, _gather(data, first, size)
 
 
 def _contents(columns: dict[str, np.ndarray], data: np.ndarray) -> np.ndarray:
@@ -112,7 +123,7 @@ def _contents(columns: dict[str, np.ndarray], data: np.ndarray) -> np.ndarray:
 def _pick(columns: dict[str, np.ndarray], data: np.ndarray, rows: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
     size = columns["size"].astype(np.int64)
     first = (np.cumsum(size) - size)[rows]
-    return {n: c[rows] for n, c in columns.items()}, data[spread(first, size[rows])]
+    return {n: c[rows] for n, c in columns.items()}, _gather(data, first, size[rows])
 
 
 def _least_by(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -127,7 +138,7 @@ def _write(columns: dict[str, np.ndarray], data: np.ndarray) -> bytes:
     # Ids as differences; anchors' hashes come back from the bytes.
     head = np.array([len(columns["doc"])], "<i8").tobytes()
     sent = {**columns, "doc": np.diff(columns["doc"], prepend=0)}
-    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(sent[n].tobytes() for n in _NAMES[1:]) + data.tobytes())
+    return zstandard.ZstdCompressor(level=7).compress(head + b"".join(sent[n].tobytes() for n in _NAMES[1:]) + data.tobytes())
 
 
 def _read(blob: bytes) -> tuple[dict[str, np.ndarray], np.ndarray]:
@@ -362,7 +373,7 @@ def _sender(buckets: int) -> Callable:
     """Documents as compressed blobs, per bucket of documents."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 7))
         for batch in batches:
             bucket = np.array(batch["doc_bucket"].to_numpy(zero_copy_only=False), np.int64)
             order = np.argsort(bucket, kind="stable")
