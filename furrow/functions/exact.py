@@ -20,9 +20,9 @@ def ratio(top: Column, bottom: Column) -> Column:
 
 
 def half_up_price(amount: Column, units: Column) -> Column:
-    """amount / units in hundredths, rounded half up by whole-number arithmetic."""
+    """amount / units in hundredths, rounded half up by whole-number arithmetic; null without units."""
     cents = (amount * 100).cast("decimal(30,0)")
-    count = units.cast("decimal(20,0)")
+    count = F.nullif(units.cast("decimal(20,0)"), F.lit(0).cast("decimal(20,0)"))
     whole = F.call_function("div", cents * 2 + count, count * 2)
     return (whole.cast("decimal(16,0)") * F.lit("0.01").cast("decimal(3,2)")).cast("decimal(18,2)")
 

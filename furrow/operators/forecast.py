@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from furrow.functions import exact
+from furrow.functions.keys import join_with_nulls
 from furrow.session import broadcast_if_small
 
 MEMBERS = ("trend", "last", "mean")
@@ -109,9 +110,9 @@ def evaluate(scored: DataFrame, by: Sequence[str]) -> DataFrame:
         *[F.col(c).cast("string").alias(c) for c in by],
         exact.decimal(F.abs(error), 8, 24).alias("abs_error"),
         exact.decimal(error, 8, 24).alias("error"),
-        exact.decimal(error * error, 2, 24).alias("squared"),
+        exact.decimal(error * error, 8, 28).alias("squared"),
         exact.decimal(F.abs(F.try_divide(error, F.col("actual"))), 8, 24).alias("relative"),
-        exact.decimal(F.col("actual"), 2).alias("actual"),
+        exact.decimal(F.col("actual"), 8, 18).alias("actual"),
     )
     fine = rows.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),
@@ -154,7 +155,7 @@ def blend_weights(wide: DataFrame, by: Sequence[str]) -> DataFrame:
 def blend(wide: DataFrame, weights: DataFrame, by: Sequence[str]) -> DataFrame:
     """Weighted member forecasts; the rows stay where they are when the weights are small."""
     terms = [F.coalesce(F.col(m), F.lit(0.0)) * F.col(f"w_{m}") for m in MEMBERS]
-    joined = wide.join(broadcast_if_small(weights), list(by))
+    joined = join_with_nulls(wide, broadcast_if_small(weights), by)
     return joined.withColumn("blended", sum(terms[1:], terms[0]))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from furrow.functions import exact
+from furrow.functions.keys import join_with_nulls
 from furrow.session import broadcast_if_small, measure, persist_reliably
 
 
@@ -28,7 +29,7 @@ def weighted_score(
     spans = candidates.groupBy(*within).agg(
         *[F.min(c).alias(f"_lo_{c}") for c in weights], *[F.max(c).alias(f"_hi_{c}") for c in weights]
     )
-    joined = candidates.join(broadcast_if_small(spans), list(within))
+    joined = join_with_nulls(candidates, broadcast_if_small(spans), within)
     total = None
     for criterion, weight in weights.items():
         low, high = F.col(f"_lo_{criterion}"), F.col(f"_hi_{criterion}")

@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from furrow.functions.keys import join_with_nulls
 from furrow.session import broadcast_if_small
 
 
@@ -39,21 +40,20 @@ def active_release(runs: DataFrame, within: Sequence[str] = ("project",)) -> Dat
     ).filter(F.col("run_id").isNotNull())
 
 
-def missing_artifacts(artifacts: DataFrame, required: Sequence[str]) -> DataFrame:
+def missing_artifacts(runs: DataFrame, artifacts: DataFrame, required: Sequence[str]) -> DataFrame:
     """Runs that lack a required artifact: (run_id, n_missing, missing).
 
-    `artifacts` has (run_id, artifact_key, exists). A run's result is at most as
-    long as the list of required keys.
+    `runs` lists every run; `artifacts` has (run_id, artifact_key, exists). A run that
+    names no artifact lacks them all. A run's result is at most as long as the list of
+    required keys.
     """
     needed = F.array(*[F.lit(k) for k in sorted(required)])
-    found = artifacts.groupBy("run_id").agg(
-        F.collect_set(F.when(F.col("exists") & F.col("artifact_key").isin(*required), F.col("artifact_key"))).alias(
-            "found"
-        )
-    )
-    missing = F.array_except(needed, F.col("found"))
+    held = artifacts.filter(F.col("exists") & F.col("artifact_key").isin(*required))
+    found = held.groupBy("run_id").agg(F.collect_set("artifact_key").alias("found"))
+    missing = F.array_except(needed, F.coalesce("found", F.array().cast("array<string>")))
     return (
-        found.select("run_id", F.size(missing).alias("n_missing"), F.array_join(missing, ",").alias("missing"))
+        runs.select("run_id").distinct().join(found, "run_id", "left")
+        .select("run_id", F.size(missing).alias("n_missing"), F.array_join(missing, ",").alias("missing"))
         .filter(F.col("n_missing") > 0)
     )
 
@@ -74,8 +74,7 @@ def with_successor(
     following = Window.partitionBy(*within).orderBy(bucket)
     heads = heads.select(*within, bucket, F.lead("_head").over(following).alias("_next_head"))
     return (
-        runs.withColumn("_inside", F.lead(entry).over(inside))
-        .join(heads, [*within, bucket])
+        join_with_nulls(runs.withColumn("_inside", F.lead(entry).over(inside)), heads, [*within, bucket])
         .withColumn(out, F.coalesce("_inside", "_next_head"))
         .drop("_inside", "_next_head")
     )
@@ -100,7 +99,7 @@ def lifecycle(runs: DataFrame, as_of: str, keep: int, max_age_days: int, within:
     linked = with_successor(day, within, ["created_at", "run_id"], "_day").drop("_day")
     age = F.date_diff(F.lit(as_of).cast("date"), F.to_date("created_at"))
     recent = F.struct("created_at", "run_id") >= F.col("_limit")
-    return linked.join(broadcast_if_small(limit), list(within)).select(
+    return join_with_nulls(linked, broadcast_if_small(limit), within).select(
         *within,
         "run_id",
         "size_bytes",

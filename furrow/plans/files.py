@@ -51,12 +51,16 @@ def write_source(spark: SparkSession, base: str, root: str) -> None:
         file(F.lit(ARTIFACT_FILES["model_dir"] + "/part.bin"), F.when(F.col("n") % 2 == 0, "m")),
         file(F.lit(ARTIFACT_FILES["env_model_bundle"]), F.when(F.col("n") % 3 == 0, "e")),
         file(F.lit(ARTIFACT_FILES["recommendation_csv"]), F.lit("region,crop\n")),
+        # Hidden, empty and nested ones belong to the tree too.
+        file(F.lit("code/__init__.py"), F.lit("")),
+        file(F.lit(".dockerignore"), F.lit("*.pyc\n")),
+        file(F.lit("_run/_state/.mark"), F.lit("")),
     )
     texts = runs.select("run_id", F.inline(files)).filter(F.col("text").isNotNull()).select(
-        F.concat_ws("/", F.lit(root), "run_id", "name").alias("path"), "text"
+        F.concat_ws("/", "run_id", "name").alias("rel_path"), "text"
     )
-    registry = spark.range(1).select(F.lit(f"{root}/{REGISTRY_NAME}").alias("path"), F.lit("{}").alias("text"))
-    snapshots.write_text_files(texts.union(registry))
+    registry = spark.range(1).select(F.lit(REGISTRY_NAME).alias("rel_path"), F.lit("{}").alias("text"))
+    snapshots.write_text_files(texts.union(registry), root)
 
 
 @query(
@@ -66,7 +70,7 @@ WITH t AS (SELECT n_nationkey, n_name AS run_id, count(*) AS n, CAST(sum(CAST(o_
            FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey GROUP BY 1, 2),
 r AS (SELECT *, '/srv/app/output/release/' || run_id AS run_dir, n_nationkey <> 24 AS ok FROM t)
 SELECT run_id, CASE WHEN ok THEN 'repaired' ELSE 'rejected' END AS state,
-       CAST(1 + 1 + (n % 2 = 0)::INT + (n % 3 = 0)::INT AS BIGINT) AS n_files,
+       CAST(1 + 1 + 3 + (n % 2 = 0)::INT + (n % 3 = 0)::INT AS BIGINT) AS n_files,
        CASE WHEN ok THEN run_dir ELSE '' END AS release_dir,
        CASE WHEN ok THEN run_dir || '/发布清单.json' ELSE '' END AS manifest_path, '' AS source_output_dir,
        CASE WHEN ok THEN run_dir ELSE '' END AS serving_output_dir,
@@ -81,7 +85,7 @@ FROM r
 )
 def release_tree_repair(spark: SparkSession, base: str) -> DataFrame:
     """Write a tree, sync it twice, repair it in place and read it back."""
-    root = work_path(spark, "release-tree")
+    root = work_path(spark, "release-tree") + "//whole"
     source, target = f"{root}/source", f"{root}/output/release"
     write_source(spark, base, source)
     states = [snapshots.sync_release(spark, source, target) for _ in range(2)]

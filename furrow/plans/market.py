@@ -251,8 +251,8 @@ def backtest(spark: SparkSession, base: str) -> DataFrame:
     + """,
 e AS (SELECT member, p_type AS family, CAST(abs(forecast - actual) AS DECIMAL(24,8)) AS a,
              CAST(forecast - actual AS DECIMAL(24,8)) AS e,
-             CAST((forecast - actual) * (forecast - actual) AS DECIMAL(24,2)) AS s,
-             CAST(abs((forecast - actual) / nullif(actual, 0)) AS DECIMAL(24,8)) AS r, CAST(actual AS DECIMAL(18,2)) AS y
+             CAST((forecast - actual) * (forecast - actual) AS DECIMAL(28,8)) AS s,
+             CAST(abs((forecast - actual) / nullif(actual, 0)) AS DECIMAL(24,8)) AS r, CAST(actual AS DECIMAL(18,8)) AS y
       FROM scored JOIN part ON p_partkey = crop_id),
 g AS (SELECT member, family, grouping_id(member, family) AS level, count(*) AS n, sum(a) AS sa, sum(e) AS se, sum(s) AS ss,
              sum(r) AS sr, count(r) AS nr, sum(y) AS sy, sum(y * y) AS syy

@@ -52,8 +52,9 @@ FROM p
 """,
 )
 def release_gaps(spark: SparkSession, base: str) -> DataFrame:
-    artifacts = manifests.artifact_table(run_manifests(spark, base), run_listing(spark, base), LAYOUT)
-    return releases.missing_artifacts(artifacts, ["model_dir", "recommendation_csv", "training_report"])
+    runs = run_manifests(spark, base)
+    artifacts = manifests.artifact_table(runs, run_listing(spark, base), LAYOUT)
+    return releases.missing_artifacts(runs, artifacts, ["model_dir", "recommendation_csv", "training_report"])
 
 
 _LIFECYCLE_SQL = f"""

@@ -48,7 +48,9 @@ def shared_dir(spark: SparkSession) -> str:
             spark.sparkContext.setCheckpointDir(configured)
         return configured
     if current is None:
-        # Only single-machine runs such as tests leave the setting empty.
+        # Only single-machine runs such as tests may leave the setting empty.
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="furrow-"))
         current = spark.sparkContext.getCheckpointDir()
     return current

@@ -19,20 +19,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from furrow.operators.manifests import MANIFEST_NAME, REGISTRY_NAME
+from furrow.sources import stores
 from furrow.sources.releases import list_files, registry_present
+from furrow.sources.stores import open_store, qualify
 
 # Task functions travel with the job: executors need not have this package.
 register_pickle_by_value(sys.modules[__name__])
+register_pickle_by_value(stores)
 
 _BUFFER = 8 * 1024 * 1024
 
 
-def _open(path: str) -> tuple[fs.FileSystem, str]:
-    if path.startswith("file:"):
-        path = "/" + path[5:].lstrip("/")
-    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
-
-
 def _finish(store: fs.FileSystem, part: str, final: str) -> None:
     # Attempts write under their own name, so a repeated task cannot mix contents.
     store.move(part, final)
@@ -41,7 +38,7 @@ def _finish(store: fs.FileSystem, part: str, final: str) -> None:
 def _write_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, text in zip(batch["path"].to_pylist(), batch["text"].to_pylist()):
-            store, place = _open(path)
+            store, place = open_store(path)
             store.create_dir(posixpath.dirname(place), recursive=True)
             part = f"{place}.{uuid.uuid4().hex}"
             with store.open_output_stream(part) as sink:
@@ -53,8 +50,8 @@ def _write_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _copy_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for source, target in zip(batch["path"].to_pylist(), batch["target"].to_pylist()):
-            from_store, from_place = _open(source)
-            to_store, to_place = _open(target)
+            from_store, from_place = open_store(source)
+            to_store, to_place = open_store(target)
             to_store.create_dir(posixpath.dirname(to_place), recursive=True)
             part = f"{to_place}.{uuid.uuid4().hex}"
             with from_store.open_input_stream(from_place) as reader, to_store.open_output_stream(part) as sink:
@@ -64,9 +61,11 @@ def _copy_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["target"])
 
 
-def write_text_files(texts: DataFrame) -> int:
-    """Write (path, text) rows as UTF-8 files, each in one move; gives the number written."""
-    return texts.select("path", "text").mapInArrow(_write_texts, "path string").count()
+def write_text_files(texts: DataFrame, root: str) -> int:
+    """Write (rel_path, text) rows as UTF-8 files below `root`, each in one move; gives the number written."""
+    home = qualify(texts.sparkSession, root)
+    placed = texts.select(F.concat(F.lit(home + "/"), "rel_path").alias("path"), "text")
+    return placed.mapInArrow(_write_texts, "path string").count()
 
 
 def write_manifest_files(repaired: DataFrame, release_root: str, document: str = "repaired") -> int:
@@ -74,13 +73,8 @@ def write_manifest_files(repaired: DataFrame, release_root: str, document: str =
 
     The rows must not be read lazily from the files they replace.
     """
-    root = release_root.rstrip("/")
-    return write_text_files(
-        repaired.select(
-            F.concat(F.lit(root + "/"), "run_id", F.lit("/" + MANIFEST_NAME)).alias("path"),
-            F.col(document).alias("text"),
-        )
-    )
+    texts = repaired.select(F.concat("run_id", F.lit("/" + MANIFEST_NAME)).alias("rel_path"), F.col(document).alias("text"))
+    return write_text_files(texts, release_root)
 
 
 def write_manifest_dataset(repaired: DataFrame, path: str) -> None:
@@ -97,16 +91,22 @@ def write_manifest_dataset(repaired: DataFrame, path: str) -> None:
     )
 
 
-def copy_tree(spark: SparkSession, source: str, target: str, files_per_task: int = 64) -> int:
-    """Copy every file below `source`; gives the number of files."""
-    listing = list_files(spark, source).select(
-        "path", F.concat(F.lit(target.rstrip("/") + "/"), "rel_path").alias("target")
-    )
-    files = listing.count()
-    if not files:
+def copy_tree(spark: SparkSession, source: str, target: str, files_per_task: int = 64, bytes_per_task: int = 1 << 30) -> int:
+    """Copy every file below `source`; gives the number of files. Raises when the copy differs by name or length."""
+    home = qualify(spark, target)
+    listing = list_files(spark, source)
+    size = listing.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes")).first()
+    if not size.files:
         return 0
-    tasks = -(-files // files_per_task)
-    return listing.repartition(tasks).mapInArrow(_copy_files, "target string").count()
+    tasks = max(-(-size.files // files_per_task), -(-int(size.bytes) // bytes_per_task))
+    jobs = listing.select("path", F.concat(F.lit(home + "/"), "rel_path").alias("target"))
+    jobs.repartition(tasks).mapInArrow(_copy_files, "target string").count()
+    copied = list_files(spark, target)
+    same = ["rel_path", "length"]
+    lost = listing.join(copied, same, "left_anti").select("rel_path").limit(1).collect()
+    if lost or copied.count() != size.files:
+        raise OSError(f"the copy in {target} differs from {source}" + (f", first at {lost[0].rel_path}" if lost else ""))
+    return size.files
 
 
 def _swap(spark: SparkSession, incoming: str, target: str) -> None:

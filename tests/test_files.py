@@ -9,6 +9,7 @@ from furrow.operators import inventory
 from furrow.operators import manifests as ops
 from furrow.operators.environment import prepare_environment, repair_tree
 from furrow.sources import logs, market, snapshots
+from furrow.sources.stores import open_store
 from furrow.sources.releases import existing_paths, list_files, registry_present, run_files, scan_manifests
 
 
@@ -36,6 +37,7 @@ def test_scan_and_listing(spark, tree):
     listing = list_files(spark, str(tree))
     rel = {r.rel_path for r in listing.collect()}
     assert "run 1/模型/deep/m.bin" in rel and ops.REGISTRY_NAME in rel
+    assert not [p for p in rel if p.startswith("/")]
     there = {r.rel_path for r in existing_paths(listing).collect()}
     assert {"run 1", "run 1/模型", "run 1/模型/deep", "bare/x.txt"} <= there
     assert "run2/模型" not in there  # an empty directory cannot be seen
@@ -43,6 +45,24 @@ def test_scan_and_listing(spark, tree):
     assert ("run 1", "模型/deep/m.bin") in runs and all(r != ops.REGISTRY_NAME for r, _ in runs)
 
 
+def test_hidden_and_empty_files_are_part_of_a_tree(spark, tree, tmp_path):
+    for name in (".dockerignore", "_run/__init__.py", "run2/.hidden/_x"):
+        (tree / name).parent.mkdir(parents=True, exist_ok=True)
+        (tree / name).write_text("")
+    want = {p.relative_to(tree).as_posix() for p in tree.rglob("*") if p.is_file()}
+    listing = list_files(spark, f"{tree.parent}//{tree.name}/")
+    assert {r.rel_path for r in listing.collect()} == want
+    assert snapshots.copy_tree(spark, str(tree), str(tmp_path / "copy")) == len(want)
+    assert {p.relative_to(tmp_path / "copy").as_posix() for p in (tmp_path / "copy").rglob("*") if p.is_file()} == want
+
+
+def test_unknown_stores_are_refused():
+    for path in ("/srv/x", "dbfs:/mnt/x", "relative"):
+        with pytest.raises(ValueError):
+            open_store(path)
+    assert open_store("file:/srv/x")[1] == "/srv/x"
+
+
 def test_missing_root_is_no_error(spark, tmp_path):
     missing = str(tmp_path / "none")
     assert scan_manifests(spark, missing).isEmpty()
