@@ -17,6 +17,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,8 +30,8 @@ SIZE = 3
 PERCENT = 90
 # Sets above this size are never enumerated.
 LARGEST_ENUMERATED = 29
-# Counters of the shingle frequency sketch: fixed, whatever the corpus.
-COUNTERS = 1 << 20
+# Counters of the frequency sketches of words and of shingles: fixed, whatever the corpus.
+COUNTERS = (1 << 23, 1 << 20)
 SLICES = 64
 PARTNER_ROUNDS = 2
 LEADER_ROUNDS = 1
@@ -45,7 +46,7 @@ def least_overlap(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def _sets(column: pa.Array, size: int, grades: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _sets(column: pa.Array, size: int, grades: tuple[np.ndarray, ...] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Sorted distinct shingle hashes of each text, and their frequency grades; texts below `size` words are one shingle."""
     for _, data, offsets in text_blocks(column):
         value, rows, listed, owner, first_word = _hashed(data, offsets, size)
@@ -53,8 +54,8 @@ def _sets(column: pa.Array, size: int, grades: np.ndarray | None = None) -> Iter
         grade = np.zeros(len(listed), np.uint8)
         if grades is not None:
             # A shingle is no more frequent than the rarest of its words.
-            of_words = grades[0][(value & _U(COUNTERS - 1)).astype(np.int64)]
-            grade = grades[1][(listed & _U(COUNTERS - 1)).astype(np.int64)]
+            of_words = grades[0][_counter_of(value, 0)]
+            grade = grades[1][_counter_of(listed, 1)]
             for i in range(size):
                 grade = np.minimum(grade, of_words[first_word + i])
         cuts = np.searchsorted(owner, np.arange(n + 1))
@@ -80,39 +81,46 @@ def _hashed(data: np.ndarray, offsets: np.ndarray, size: int):
     return value, rows, *shingles(value, rows, size)
 
 
+def _counter_of(hashes: np.ndarray, sketch: int) -> np.ndarray:
+    return (hashes & _U(COUNTERS[sketch] - 1)).astype(np.int64)
+
+
 def _counter(size: int) -> Callable:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, COUNTERS), np.uint32)
+        total = [np.zeros(n, np.uint32) for n in COUNTERS]
         for batch in batches:
             for _, data, offsets in text_blocks(batch["text"]):
                 value, _, listed, *_ = _hashed(data, offsets, size)
-                for one, hashes in zip(total, (value, listed)):
-                    np.add.at(one, (hashes & _U(COUNTERS - 1)).astype(np.int64), np.uint32(1))
-        for i, part in enumerate(np.split(total, SLICES, axis=1)):
-            yield pa.RecordBatch.from_pydict({"slice": pa.array([i], pa.int32()), "counts": pa.array([part.astype("<u4").tobytes()], pa.binary())})
+                for sketch, hashes in enumerate((value, listed)):
+                    np.add.at(total[sketch], _counter_of(hashes, sketch), np.uint32(1))
+        for sketch, counts in enumerate(total):
+            for i, part in enumerate(np.split(counts, SLICES)):
+                packed = zstandard.ZstdCompressor(level=1).compress(part.astype("<u4").tobytes())
+                yield pa.RecordBatch.from_pydict({"sketch": pa.array([sketch], pa.int32()), "slice": pa.array([i], pa.int32()), "counts": pa.array([packed], pa.binary())})
 
     return count
 
 
 def _add_slices(key: tuple, table: pa.Table) -> pa.Table:
-    total = np.zeros(2 * COUNTERS // SLICES, np.uint64)
+    total = np.uint64(0)
     for part in table["counts"].to_pylist():
-        total += np.frombuffer(part, "<u4")
+        total = total + np.frombuffer(zstandard.ZstdDecompressor().decompress(part), "<u4").astype(np.uint64)
     grade = np.ceil(np.log2(total.astype(float) + 1)).astype(np.uint8)
-    return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "grade": pa.array([grade.tobytes()], pa.binary())})
+    return pa.table({"sketch": pa.array([key[0].as_py()], pa.int32()), "slice": pa.array([key[1].as_py()], pa.int32()), "grade": pa.array([grade.tobytes()], pa.binary())})
 
 
-def frequency_grades(docs: DataFrame, size: int) -> np.ndarray:
+def frequency_grades(docs: DataFrame, size: int) -> tuple[np.ndarray, ...]:
     """Binary logarithms of how often words and shingles of each counter occur, over all texts.
 
     Counters are shared, so a grade can only be too high. Grades order the shingles of a
     set, so that inverted lists are short, and decide nothing else.
     """
-    counts = docs.select("text").mapInArrow(_counter(size), "slice int, counts binary")
-    grades = counts.groupBy("slice").applyInArrow(_add_slices, "slice int, grade binary")
-    # SLICES rows of fixed size.
-    found = [np.frombuffer(r.grade, np.uint8).reshape(2, -1) for r in sorted(grades.collect())]
-    return np.concatenate(found, axis=1) if found else np.zeros((2, COUNTERS), np.uint8)
+    counts = docs.select("text").mapInArrow(_counter(size), "sketch int, slice int, counts binary")
+    grades = counts.groupBy("sketch", "slice").applyInArrow(_add_slices, "sketch int, slice int, grade binary")
+    # Two times SLICES rows of fixed size.
+    rows = sorted(grades.collect())
+    found = [[np.frombuffer(r.grade, np.uint8) for r in rows if r.sketch == sketch] for sketch in range(len(COUNTERS))]
+    return tuple(np.concatenate(f) if f else np.zeros(n, np.uint8) for f, n in zip(found, COUNTERS))
 
 
 def _parity(own: np.ndarray) -> np.ndarray:
