@@ -12,17 +12,21 @@ from furrow.functions import exact
 from furrow.operators.order import running_totals
 
 
-def score_table(scored: DataFrame, digits: int = 4) -> DataFrame:
-    """Counts per rounded score: at most 10**digits + 1 rows, whatever the input size."""
+def score_table(scored: DataFrame, digits: int | None = None) -> DataFrame:
+    """Counts per score, exact or rounded to `digits`."""
+    score = F.col("score") if digits is None else exact.decimal(F.col("score"), digits)
     return (
-        scored.select(exact.decimal(F.col("score"), digits).alias("score"), "label")
+        scored.select(score.alias("score"), "label")
         .groupBy("score")
         .agg(F.count(F.lit(1)).alias("n"), F.sum("label").cast("bigint").alias("n_pos"))
     )
 
 
-def fit_isotonic(scored: DataFrame, digits: int = 4) -> IsotonicRegressionModel:
-    """Monotone map from score to probability, fitted on the weighted score table."""
+def fit_isotonic(scored: DataFrame, digits: int | None = None) -> IsotonicRegressionModel:
+    """Monotone map from score to probability, fitted on the weighted score table.
+
+    Each range of scores is pooled on its own first; only the pooled blocks meet.
+    """
     rows = score_table(scored, digits).select(
         exact.wide(F.col("score")).alias("score"),
         exact.ratio(F.col("n_pos"), F.col("n")).alias("rate"),
@@ -58,7 +62,7 @@ def reliability_bins(scored: DataFrame, bins: int = 10) -> DataFrame:
 def calibration_error(bins: DataFrame) -> DataFrame:
     """Expected and largest gap over the reliability bins (one row)."""
     return bins.agg(
-        exact.ratio(F.sum(exact.decimal(F.col("gap") * F.col("n"), 6)), F.sum("n")).alias("ece"),
+        exact.ratio(F.sum(exact.decimal(F.col("gap") * F.col("n"), 6, 34)), F.sum("n")).alias("ece"),
         F.max("gap").alias("max_gap"),
     )
 

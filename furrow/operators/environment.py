@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,9 @@ from furrow.session import persist_reliably
 from furrow.sources import snapshots
 from furrow.sources.releases import list_files, run_files, scan_manifests
 
+# Fixed value: the variable that forces a sync.
+FORCE_VARIABLE = "HF_ARTIFACTS_FORCE_DOWNLOAD"
+
 
 def repair_tree(spark: SparkSession, root: str, layout: manifests.ReleaseLayout) -> tuple[int, DataFrame]:
     """Repair the manifests below `root`; gives the number changed and the rejected ones.
@@ -33,16 +38,19 @@ def prepare_environment(
     environment: DataFrame,
     repo_root: str,
     force: bool = False,
+    variables: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """Bring a release in place and resolve its settings; a one-row summary.
 
     `base_settings` has (entity, section, key, value), `environment`
-    (entity, env_name, value). Resolved settings land below the runtime root.
+    (entity, env_name, value). Resolved settings land below the runtime root. The sync is
+    forced by `force` or by FORCE_VARIABLE in `variables`, the job's own environment.
     """
     root = runtime_root.rstrip("/")
     output_root, data_root = f"{root}/output", f"{root}/data"
     release_root, settings_path = f"{output_root}/release", f"{root}/runtime_settings"
-    state = snapshots.sync_release(spark, source, release_root, force)
+    asked = (variables or {}).get(FORCE_VARIABLE, "").strip().lower() in ("1", "true", "yes", "on")
+    state = snapshots.sync_release(spark, source, release_root, force or asked)
     layout = manifests.ReleaseLayout(release_root, output_root, repo_root)
     repaired, rejected = repair_tree(spark, release_root, layout)
 
@@ -52,8 +60,12 @@ def prepare_environment(
         F.struct(F.lit(s).alias("section"), F.lit(k).alias("key"), F.lit("overlay").alias("layer"), F.lit(v).alias("value"))
         for s, k, v in settings.fixed_overlay(output_root, release_root, data_root)
     ]
-    fixed = base_settings.select("entity").distinct().select("entity", F.inline(F.array(*rows)))
-    resolved = settings.resolve(base.unionByName(fixed).unionByName(settings.environment_layer(environment)))
+    entities = base_settings.select("entity").unionByName(environment.select("entity")).distinct()
+    fixed = entities.select("entity", F.inline(F.array(*rows)))
+    layers = settings.resolve(base.unionByName(fixed).unionByName(settings.environment_layer(environment)))
+    layers = persist_reliably(layers.select("entity", "section", "key", "value"))
+    gated = settings.gate_layer(layers, environment)
+    resolved = layers.join(gated, ["entity", "section", "key"], "left_anti").unionByName(gated)
     resolved.write.mode("overwrite").parquet(settings_path)
     return spark.createDataFrame(
         [(root, output_root, release_root, data_root, settings_path, state, repaired, rejected.count())],

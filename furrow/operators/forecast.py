@@ -112,7 +112,7 @@ def evaluate(scored: DataFrame, by: Sequence[str]) -> DataFrame:
         exact.decimal(error, 8, 24).alias("error"),
         exact.decimal(error * error, 8, 28).alias("squared"),
         exact.decimal(F.abs(F.try_divide(error, F.col("actual"))), 8, 24).alias("relative"),
-        exact.decimal(F.col("actual"), 8, 18).alias("actual"),
+        exact.decimal(F.col("actual"), 6, 18).alias("actual"),
     )
     fine = rows.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),
@@ -160,8 +160,8 @@ def blend(wide: DataFrame, weights: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def train_global(features: DataFrame, inputs: Sequence[str], label: str, seed: int = 7, **params) -> PipelineModel:
-    """One boosted regression over all keys; rows with an empty input are left out."""
-    assembler = VectorAssembler(inputCols=list(inputs), outputCol="features", handleInvalid="skip")
-    settings = {"maxIter": 20, "maxDepth": 5, "subsamplingRate": 0.8, **params}
+    """One boosted regression over all keys. It is fitted on rows without an empty input and forecasts every row."""
+    assembler = VectorAssembler(inputCols=list(inputs), outputCol="features", handleInvalid="keep")
+    settings = {"maxIter": 20, "maxDepth": 5, "subsamplingRate": 1.0, **params}
     booster = GBTRegressor(featuresCol="features", labelCol=label, predictionCol="forecast", seed=seed, **settings)
-    return Pipeline(stages=[assembler, booster]).fit(features)
+    return Pipeline(stages=[assembler, booster]).fit(features.dropna(subset=[*inputs, label]))

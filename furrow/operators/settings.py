@@ -136,7 +136,7 @@ def upsert(current: DataFrame, incoming: DataFrame) -> DataFrame:
 
 
 def enable_gate(resolved: DataFrame, environment: DataFrame, section: str = "llm") -> DataFrame:
-    """Per entity: enabled only when switched on and a key can be found.
+    """Per entity of either table: enabled only when switched on and a key can be found.
 
     A key given straight through the environment takes the place of the
     configured one. Otherwise the configured key counts, or the variable that
@@ -146,11 +146,13 @@ def enable_gate(resolved: DataFrame, environment: DataFrame, section: str = "llm
         key: F.max(F.when(F.col("key") == key, F.col("value")))
         for key in ("enabled", "api_key", "api_key_env")
     }
-    configured = (
+    entities = resolved.select("entity").unionByName(environment.select("entity")).distinct()
+    settled = (
         resolved.filter((F.col("section") == section) & F.col("key").isin(*value_of))
         .groupBy("entity")
         .agg(*[column.alias(key) for key, column in value_of.items()])
     )
+    configured = entities.join(settled, "entity", "left")
     held = environment.filter(blank_to_null(F.col("value")).isNotNull()).select("entity", "env_name").distinct()
     direct = held.filter(F.col("env_name") == DIRECT_KEY_ENV).select("entity", F.lit(True).alias("direct"))
     named = (
@@ -168,5 +170,19 @@ def enable_gate(resolved: DataFrame, environment: DataFrame, section: str = "llm
     return named.join(found, ["entity", "env_name"], "left").select(
         "entity",
         F.col("env_name").alias("key_source"),
+        "direct",
         (parse_flag(F.col("enabled")) & (has_direct_key | F.coalesce("env_key", F.lit(False)))).alias("enabled"),
     )
+
+
+def gate_layer(resolved: DataFrame, environment: DataFrame, section: str = "llm") -> DataFrame:
+    """The settings that the gate sets for every entity, over all layers: (entity, section, key, value).
+
+    `enabled` is always written. A key given straight through the environment empties
+    `api_key` and names its variable in `api_key_env`.
+    """
+    row = lambda key, value: F.struct(F.lit(section).alias("section"), F.lit(key).alias("key"), value.alias("value"))
+    gate = enable_gate(resolved, environment, section)
+    always = F.array(row("enabled", F.col("enabled").cast("string")))
+    direct = F.array(row("api_key", F.lit("")), row("api_key_env", F.lit(DIRECT_KEY_ENV)))
+    return gate.select("entity", F.inline(F.when(F.col("direct"), F.concat(always, direct)).otherwise(always)))

@@ -6,6 +6,8 @@ feedback. Feedback names its request by how many events it lies back.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +22,8 @@ from furrow.streaming import runs
 
 BOUND = "2 HOURS"
 DELAY = "1 hour"
+# The stream queries read a log that grows at this time of the data.
+HALF_WAY = "2024-01-15 00:00:00"
 
 
 def inference_log(spark: SparkSession, base: str) -> DataFrame:
@@ -153,6 +157,7 @@ WITH f AS (SELECT (year(l_shipdate) - 1970) * 12 + month(l_shipdate) - 1 AS t, p
            FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey
            JOIN nation ON n_nationkey = s_nationkey)"""
 
+# The names in the test tables, for the SQL side.
 _FAMILIES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
 
 
@@ -169,7 +174,9 @@ SELECT {month_sql('t')} AS month, {", ".join(f"CAST(coalesce(sum(v) FILTER (fami
 """,
 )
 def chart_pivot(spark: SparkSession, base: str) -> DataFrame:
-    return series.pivot_by_month(_facts(spark, base), "family", _FAMILIES, "v")
+    # Each name is a column, so there are few; all of them are taken.
+    names = sorted(r.family for r in families(spark, base).select("family").distinct().collect() if r.family is not None)
+    return series.pivot_by_month(_facts(spark, base), "family", names, "v")
 
 
 @query(
@@ -203,22 +210,26 @@ def chart_subtotals(spark: SparkSession, base: str) -> DataFrame:
 
 @query("stream_training_samples", _SAMPLES_SQL)
 def stream_training_samples(spark: SparkSession, base: str) -> DataFrame:
-    """Both logs as JSON lines with repeated lines, read as streams, de-duplicated and joined."""
+    """Both logs as JSON lines with repeated lines, read as streams in several batches while they grow, de-duplicated and joined."""
     root = work_path(spark, "stream-samples")
-    paths = {f"{root}/inference": logs.INFERENCE_SCHEMA, f"{root}/feedback": logs.FEEDBACK_SCHEMA}
-    inference_path, feedback_path = paths
-    requests = inference_log(spark, base)
-    logs.append_log(requests.union(requests.filter(F.col("score") < 5)), inference_path)
-    logs.append_log(feedback_log(spark, base), feedback_path)
-
-    def job() -> None:
-        inference = streams.unique_events(logs.stream_log(spark, inference_path, logs.INFERENCE_SCHEMA), "request_id", DELAY)
-        reactions = streams.unique_events(logs.stream_log(spark, feedback_path, logs.FEEDBACK_SCHEMA), "feedback_id", DELAY)
-        pairs = streams.labelled_pairs(inference, reactions, BOUND)
-        runs.append_to_parquet(pairs, f"{root}/pairs", f"{root}/checkpoint")
-
-    streams.drain(spark, job, paths)
-    return _show(streams.settle(spark.read.parquet(f"{root}/pairs")))
+    inference_path, feedback_path = f"{root}/inference", f"{root}/feedback"
+    requests, reactions = inference_log(spark, base), feedback_log(spark, base)
+    repeated = requests.union(requests.filter(F.col("score") < 5))
+
+    def pairs(read: Callable[[str, str], DataFrame]) -> DataFrame:
+        asked = streams.unique_events(read(inference_path, logs.INFERENCE_SCHEMA), "request_id", DELAY)
+        answered = streams.unique_events(read(feedback_path, logs.FEEDBACK_SCHEMA), "feedback_id", DELAY)
+        return streams.labelled_pairs(asked, answered, BOUND)
+
+    for late in (False, True):
+        part = F.col("ts") >= F.lit(HALF_WAY)
+        logs.append_log(repeated.filter(part if late else ~part), inference_path)
+        logs.append_log(reactions.filter(part if late else ~part), feedback_path)
+        stream = pairs(lambda path, schema: logs.stream_log(spark, path, schema))
+        runs.append_to_parquet(stream, f"{root}/pairs", f"{root}/checkpoint")
+    rest = pairs(lambda path, schema: logs.read_log(spark, path, schema))
+    closed = streams.close_bounded(spark.read.parquet(f"{root}/pairs"), rest, ["request_id"])
+    return _show(streams.settle(closed))
 
 
 @query(
@@ -229,18 +240,18 @@ FROM events WHERE event_type = 'view' GROUP BY 1, 2
 """,
 )
 def stream_daily_counts(spark: SparkSession, base: str) -> DataFrame:
+    """A log that grows between two runs of the stream, then closed."""
     root = work_path(spark, "stream-daily")
     path = f"{root}/inference"
-    logs.append_log(inference_log(spark, base), path)
-
-    def job() -> None:
-        stream = logs.stream_log(spark, path, logs.INFERENCE_SCHEMA)
-        counts = streams.daily_counts(stream, "user_id", "score", DELAY)
-        runs.append_to_parquet(counts, f"{root}/counts", f"{root}/checkpoint")
-
-    streams.drain(spark, job, {path: logs.INFERENCE_SCHEMA})
-    counts = spark.read.parquet(f"{root}/counts").filter(F.col("user_id") != streams.SENTINEL_ID)
-    return counts.withColumn("total", F.col("total").cast("double"))
+    requests = inference_log(spark, base)
+    counts = lambda log: streams.daily_counts(log, "user_id", "score", DELAY)
+    for late in (False, True):
+        part = F.col("ts") >= F.lit(HALF_WAY)
+        logs.append_log(requests.filter(part if late else ~part), path)
+        runs.append_to_parquet(counts(logs.stream_log(spark, path, logs.INFERENCE_SCHEMA)), f"{root}/counts", f"{root}/checkpoint")
+    emitted = spark.read.parquet(f"{root}/counts")
+    closed = streams.close_bounded(emitted, counts(logs.read_log(spark, path, logs.INFERENCE_SCHEMA)), ["day", "user_id"])
+    return closed.withColumn("total", F.col("total").cast("double"))
 
 
 @query(

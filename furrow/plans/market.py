@@ -252,10 +252,10 @@ def backtest(spark: SparkSession, base: str) -> DataFrame:
 e AS (SELECT member, p_type AS family, CAST(abs(forecast - actual) AS DECIMAL(24,8)) AS a,
              CAST(forecast - actual AS DECIMAL(24,8)) AS e,
              CAST((forecast - actual) * (forecast - actual) AS DECIMAL(28,8)) AS s,
-             CAST(abs((forecast - actual) / nullif(actual, 0)) AS DECIMAL(24,8)) AS r, CAST(actual AS DECIMAL(18,8)) AS y
+             CAST(abs((forecast - actual) / nullif(actual, 0)) AS DECIMAL(24,8)) AS r, CAST(actual AS DECIMAL(18,6)) AS y
       FROM scored JOIN part ON p_partkey = crop_id),
 g AS (SELECT member, family, grouping_id(member, family) AS level, count(*) AS n, sum(a) AS sa, sum(e) AS se, sum(s) AS ss,
-             sum(r) AS sr, count(r) AS nr, sum(y) AS sy, sum(y * y) AS syy
+             sum(r) AS sr, count(r) AS nr, sum(y) AS sy, sum(CAST(y AS DECIMAL(38,6)) * y) AS syy
       FROM e GROUP BY ROLLUP (member, family))
 SELECT coalesce(member, 'ALL') AS member, coalesce(family, 'ALL') AS family, CAST(level AS INTEGER) AS level, n,
        round(CAST(sa AS DOUBLE) / n, 6) AS mae, round(sqrt(CAST(ss AS DOUBLE) / n), 6) AS rmse,
@@ -321,5 +321,5 @@ def global_model(spark: SparkSession, base: str) -> DataFrame:
         *[exact.wide(F.col(c)).alias(c) for c in inputs if c != "month"],
     )
     split = (2000 - 1970) * 12
-    model = forecast.train_global(rows.filter(F.col("t") < split), inputs, "price", maxIter=5, maxDepth=4)
+    model = forecast.train_global(rows.filter(F.col("t") < split), inputs, "price")
     return model.transform(rows.filter(F.col("t") >= split)).select("crop_id", "t", "price", "forecast")

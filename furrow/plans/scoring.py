@@ -152,8 +152,7 @@ def recommend_topk(spark: SparkSession, base: str) -> DataFrame:
     "lookup_fallback",
     _CANDIDATES_SQL
     + f""",
-p AS (SELECT region_id, crop_id, score, row_number() OVER (PARTITION BY region_id ORDER BY score DESC, crop_id) AS rk FROM s),
-table_rows AS (SELECT region_id, crop_id, score FROM p WHERE rk <= 500),
+table_rows AS (SELECT region_id, crop_id, score FROM s),
 defaults AS (SELECT region_id, max(score) AS best FROM table_rows GROUP BY 1),
 q AS (SELECT event_id, {EVENT_NUMBER_SQL} AS crop_id, n_regionkey AS region_id
       FROM events LEFT JOIN customer ON c_custkey = user_id LEFT JOIN nation ON n_nationkey = c_nationkey)
@@ -164,7 +163,7 @@ FROM q LEFT JOIN table_rows t ON t.region_id = q.region_id AND t.crop_id = q.cro
 """,
 )
 def lookup_fallback(spark: SparkSession, base: str) -> DataFrame:
-    precomputed = recommend.top_k(_weighted(spark, base), ["region_id"], k=500).select("region_id", "crop_id", "score")
+    precomputed = _weighted(spark, base).select("region_id", "crop_id", "score")
     homes = (
         table(spark, base, "customer")
         .select(F.col("c_custkey").alias("user_id"), F.col("c_nationkey").alias("n_nationkey"))

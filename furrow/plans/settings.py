@@ -189,7 +189,7 @@ latest AS (SELECT entity, key, arg_max(value, event_id) AS value FROM conf GROUP
 wide AS (
   SELECT entity, max(value) FILTER (key = 'enabled') AS enabled, max(value) FILTER (key = 'api_key') AS api_key,
          max(value) FILTER (key = 'api_key_env') AS api_key_env
-  FROM latest WHERE key <> 'model' GROUP BY 1),
+  FROM (SELECT DISTINCT user_id AS entity FROM events) LEFT JOIN (SELECT * FROM latest WHERE key <> 'model') USING (entity) GROUP BY 1),
 held AS (
   SELECT DISTINCT user_id AS entity, {_pick_sql(_HELD_NAMES)} AS env_name
   FROM events WHERE event_type IN ('purchase', 'error') AND trim({_HELD_VALUE_SQL}) <> ''),
@@ -219,7 +219,7 @@ def enable_gate(spark: SparkSession, base: str) -> DataFrame:
     environment = events.filter(F.col("event_type").isin("purchase", "error")).select(
         F.col("user_id").alias("entity"), _pick(_HELD_NAMES).alias("env_name"), held_value.alias("value")
     )
-    return settings.enable_gate(settings.resolve(configured, "event_id"), environment)
+    return settings.enable_gate(settings.resolve(configured, "event_id"), environment).drop("direct")
 
 
 @query(

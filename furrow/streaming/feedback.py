@@ -1,48 +1,34 @@
 """Inference and feedback logs as streams.
 
-Append mode emits a row once the watermark has passed it. `drain` therefore runs
-a job twice: over the logs, and again after one far-future row per log has moved
-the watermark past the last real row.
+Append mode emits a row once the watermark has passed it, so the newest rows of a log
+stay open while it may grow. `close_bounded` finishes a log that has ended.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from furrow.operators.feedback import SAMPLE_COLUMNS, first_feedback, label, within_bound
-from furrow.sources.logs import append_log, write_csv, write_json
+from furrow.sources.logs import write_csv, write_json
 
-SENTINEL_ID = -1
-SENTINEL_TS = "2200-01-01 00:00:00"
 
+def close_bounded(emitted: DataFrame, whole: DataFrame, key: Sequence[str]) -> DataFrame:
+    """What a stream has emitted, and what it still holds back.
 
-def sentinel(spark: SparkSession, schema: str) -> DataFrame:
-    """One row far in the future: its ids are SENTINEL_ID, other fields null."""
-    empty = spark.createDataFrame([], schema)
-    cells = []
-    for field in empty.schema.fields:
-        value = F.lit(None)
-        if field.name == "ts":
-            value = F.lit(SENTINEL_TS)
-        elif field.name.endswith("_id"):
-            value = F.lit(SENTINEL_ID)
-        cells.append(value.cast(field.dataType).alias(field.name))
-    return spark.range(1).select(*cells)
-
-
-def drain(spark: SparkSession, job: Callable[[], None], logs: dict[str, str]) -> None:
-    """Run `job` to the end of its logs (path -> schema), then push out what is held back."""
-    job()
-    for path, schema in logs.items():
-        append_log(sentinel(spark, schema), path)
-    job()
+    `whole` is the stream's own transformation as a batch over the same log. Neither
+    the log nor the stream's checkpoint is touched, so the stream can go on.
+    """
+    held = whole.join(emitted.select(*key).distinct(), list(key), "left_anti").select(*emitted.columns)
+    return emitted.unionByName(held)
 
 
 def unique_events(stream: DataFrame, key: str, delay: str) -> DataFrame:
-    """Each event id once within the watermark delay."""
+    """Each event id once: within the watermark delay in a stream, over the whole log in a batch."""
+    if not stream.isStreaming:
+        return stream.dropDuplicates([key])
     return stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark([key])
 
 
@@ -60,7 +46,6 @@ def labelled_pairs(inference: DataFrame, feedback: DataFrame, bound: str) -> Dat
     )
     return (
         inference.join(reactions, together, "leftOuter")
-        .filter(F.col("request_id") != SENTINEL_ID)
         .select(*SAMPLE_COLUMNS, "feedback_ts", "feedback_id", "rating")
     )
 
@@ -91,7 +76,12 @@ def two_sinks(json_path: str, csv_path: str) -> Callable[[DataFrame, int], None]
     """
 
     def write(batch: DataFrame, epoch: int) -> None:
-        write_json(batch, f"{json_path}/batch={epoch}")
-        write_csv(batch, f"{csv_path}/batch={epoch}")
+        # Kept for the second sink: the stateful part runs once per batch.
+        kept = batch.persist()
+        try:
+            write_json(kept, f"{json_path}/batch={epoch}")
+            write_csv(kept, f"{csv_path}/batch={epoch}")
+        finally:
+            kept.unpersist()
 
     return write

@@ -55,16 +55,21 @@ def test_first_feedback_labels_the_request(data):
 def test_stream_equals_batch(spark, data, tmp_path):
     requests, reactions, inference, ratings = data
     first, second = str(tmp_path / "inference"), str(tmp_path / "feedback")
-    logs.append_log(inference.union(inference.filter("request_id % 2 = 0")), first)
-    logs.append_log(ratings.union(ratings.filter("feedback_id % 3 = 0")), second)
-
-    def job():
-        left = streams.unique_events(logs.stream_log(spark, first, logs.INFERENCE_SCHEMA), "request_id", "1 hour")
-        right = streams.unique_events(logs.stream_log(spark, second, logs.FEEDBACK_SCHEMA), "feedback_id", "1 hour")
-        runs.append_to_parquet(streams.labelled_pairs(left, right, BOUND), str(tmp_path / "pairs"), str(tmp_path / "ck"))
-
-    streams.drain(spark, job, {first: logs.INFERENCE_SCHEMA, second: logs.FEEDBACK_SCHEMA})
-    samples = streams.settle(spark.read.parquet(str(tmp_path / "pairs")))
+    half = inference.selectExpr("percentile_approx(unix_micros(ts), 0.5) as h").first().h
+
+    def pairs(read):
+        left = streams.unique_events(read(first, logs.INFERENCE_SCHEMA), "request_id", "1 hour")
+        right = streams.unique_events(read(second, logs.FEEDBACK_SCHEMA), "feedback_id", "1 hour")
+        return streams.labelled_pairs(left, right, BOUND)
+
+    for test in (f"unix_micros(ts) < {half}", f"unix_micros(ts) >= {half}"):
+        logs.append_log(inference.union(inference.filter("request_id % 2 = 0")).filter(test), first)
+        logs.append_log(ratings.union(ratings.filter("feedback_id % 3 = 0")).filter(test), second)
+        size = logs.read_log(spark, first, logs.INFERENCE_SCHEMA).count()
+        runs.append_to_parquet(pairs(lambda p, schema: logs.stream_log(spark, p, schema)), str(tmp_path / "pairs"), str(tmp_path / "ck"))
+    whole = pairs(lambda p, schema: logs.read_log(spark, p, schema))
+    samples = streams.settle(streams.close_bounded(spark.read.parquet(str(tmp_path / "pairs")), whole, ["request_id"]))
+    assert logs.read_log(spark, first, logs.INFERENCE_SCHEMA).count() == size
     assert samples.count() == len(requests)
     assert shown(samples) == expected(requests, reactions)
 

@@ -65,5 +65,6 @@ def test_active_release(runs):
 def test_missing_artifacts(spark):
     rows = [("a", "x", True), ("a", "y", False), ("b", "x", True), ("b", "y", True), ("c", "z", True)]
     frame = spark.createDataFrame(rows, "run_id string, artifact_key string, exists boolean")
-    got = {r.run_id: r.missing for r in releases.missing_artifacts(frame, ["y", "x"]).collect()}
-    assert got == {"a": "y", "c": "x,y"}
+    runs = spark.createDataFrame([("a",), ("b",), ("c",), ("none",)], "run_id string")
+    got = {r.run_id: r.missing for r in releases.missing_artifacts(runs, frame, ["y", "x"]).collect()}
+    assert got == {"a": "y", "c": "x,y", "none": "x,y"}
