@@ -109,7 +109,7 @@ class Trees:
         self.base, self.nodes = 0.0, []
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> "Trees":
-        self.edges = [np.unique(np.quantile(c, np.linspace(0, 1, BINS + 1)[1:-1])) for c in x.T]
+        self.edges = [np.unique(np.quantile(c, np.linspace(0, 1, BINS + 1)[1:-1])) if len(c) else np.zeros(1) for c in x.T]
         # A feature that is nearly always zero still gets an edge at zero.
         self.edges = [np.unique(np.append(e, 0.0)) for e in self.edges]
         binned = self._bin(x)
