@@ -120,7 +120,8 @@ def _judged(span: Column, text: Column, base: bool) -> Column:
     edges = (before == "") | before.rlike("[\\s\"'(<\\[=:,;]$")
     context = vote(edges & ((after == "") | after.rlike("[^A-Za-z0-9]")), before.rlike("[A-Za-z0-9]$") | after.rlike("[A-Za-z0-9]"))
     shape = vote(F.when(span["kind"] == "secret", mixed).otherwise(digits >= 4) | (span["kind"] == "email"), digits + letters < 8)
-    votes = F.struct(strict.alias("strict"), yes(named).alias("gazetteer"), context.alias("context"), shape.alias("shape"))
+    anchor = strict if base else F.lit(0)
+    votes = F.struct(anchor.alias("anchor"), strict.alias("strict"), yes(named).alias("gazetteer"), context.alias("context"), shape.alias("shape"))
     features = F.struct(
         yes(2 * digits > size).alias("digits"), yes(mixed).alias("mixed"), yes(value.rlike("[=:]")).alias("assigned"), yes(size >= 16).alias("long"), yes(named).alias("named")
     )
@@ -139,9 +140,14 @@ class SpanModel:
 
 
 def _reliabilities(rows: list[Row]) -> tuple[dict, float, list[float]]:
-    """Expectation-maximisation over vote combinations with their counts; starts from the majority of votes."""
+    """Expectation-maximisation over vote combinations with their counts; starts from the majority of votes.
+
+    Base matches are anchors: those that pass their kind's tests are personal data, the
+    others are not, so the estimated classes keep their meaning.
+    """
     votes = [tuple(r[f] for f in LABELERS) for r in rows]
-    share = [0.9 if sum(v) > 0 else 0.1 for v in votes]
+    anchored = [{1: 0.98, -1: 0.02, 0: None}[r.anchor] for r in rows]
+    share = [a if a is not None else 0.9 if sum(v) > 0 else 0.1 for a, v in zip(anchored, votes)]
     table, prior = {}, 0.5
     for _ in range(EM_ROUNDS):
         mass = sum(r["n"] for r in rows)
@@ -154,7 +160,10 @@ def _reliabilities(rows: list[Row]) -> tuple[dict, float, list[float]]:
                 bad = sum((1 - p) * r["n"] for p, r, v in zip(share, rows, votes) if v[i] == value) + 1
                 table[name][value] = (good / (prior * mass + 3), bad / ((1 - prior) * mass + 3))
         share = []
-        for v in votes:
+        for a, v in zip(anchored, votes):
+            if a is not None:
+                share.append(a)
+                continue
             odds = math.log(prior / (1 - prior)) + sum(math.log(table[name][x][0] / table[name][x][1]) for name, x in zip(LABELERS, v))
             share.append(1 / (1 + math.exp(-max(-30.0, min(30.0, odds)))))
     return table, prior, share
@@ -181,11 +190,11 @@ def _classifier(rows: list[Row], share: list[float]) -> dict[str, float]:
 def fit(docs: DataFrame) -> SpanModel:
     """Labeler reliabilities and the span classifier from all texts of `docs`.
 
-    The driver gets one count per kind, votes and features: at most 5 * 54 * 32 rows.
+    The driver gets one count per kind, votes and features: at most 5 * 162 * 32 rows.
     Without candidates the classifier accepts nothing.
     """
     found = _found(docs.select(F.col("text").cast("string").alias("text"))).select(F.explode("candidates").alias("c"))
-    counts = found.groupBy("c.kind", *(F.col(f"c.votes.{v}").alias(v) for v in LABELERS), *(F.col(f"c.features.{f}").alias(f"f_{f}") for f in FEATURES)).agg(F.count(F.lit(1)).alias("n"))
+    counts = found.groupBy("c.kind", *(F.col(f"c.votes.{v}").alias(v) for v in ("anchor", *LABELERS)), *(F.col(f"c.features.{f}").alias(f"f_{f}") for f in FEATURES)).agg(F.count(F.lit(1)).alias("n"))
     rows = sorted(counts.collect())
     if not rows:
         return SpanModel({}, 0.5, dict.fromkeys(("secret", *FEATURES), 0.0) | {"one": -1.0})
