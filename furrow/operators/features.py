@@ -77,17 +77,20 @@ def lag_features(
 
 
 def profit_rollup(cells: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Revenue, cost and profit for every level of rollup(by); totals show as 'ALL'.
+    """Revenue, cost and profit for every level of rollup(by); totals show as 'ALL', null keys as '(none)'.
 
     Cells are combined to the finest level first; only those groups are multiplied.
     """
-    names = [F.col(c).cast("string").alias(c) for c in by]
+    names = [F.coalesce(F.col(c).cast("string"), F.lit("(none)")).alias(c) for c in by]
     fine = cells.groupBy(*names).agg(
         F.count(F.lit(1)).alias("n_cells"), F.sum("revenue").alias("revenue"), F.sum("cost").alias("cost")
     )
-    totals = fine.rollup(*by).agg(F.sum("n_cells").alias("n_cells"), F.sum("revenue").alias("r"), F.sum("cost").alias("c"))
+    totals = fine.rollup(*by).agg(
+        F.grouping_id().cast("int").alias("level"), F.sum("n_cells").alias("n_cells"), F.sum("revenue").alias("r"), F.sum("cost").alias("c")
+    )
     return totals.select(
         *[F.coalesce(F.col(c), F.lit("ALL")).alias(c) for c in by],
+        "level",
         "n_cells",
         exact.wide(F.col("r")).alias("revenue"),
         exact.wide(F.col("c")).alias("cost"),

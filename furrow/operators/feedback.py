@@ -66,9 +66,9 @@ def label(rating: Column) -> Column:
 
 
 def training_summary(samples: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Counts and label rates for all combinations of day and `by`; totals show as 'ALL'."""
+    """Counts and label rates for all combinations of day and `by`; totals show as 'ALL', null keys as '(none)'."""
     rows = samples.select(
-        F.date_format("ts", "yyyy-MM-dd").alias("day"), *[F.col(c).cast("string").alias(c) for c in by], "label"
+        F.date_format("ts", "yyyy-MM-dd").alias("day"), *[F.coalesce(F.col(c).cast("string"), F.lit("(none)")).alias(c) for c in by], "label"
     )
     fine = rows.groupBy("day", *by).agg(
         F.count(F.lit(1)).alias("n"), F.count("label").alias("n_labelled"), F.sum("label").alias("n_positive")

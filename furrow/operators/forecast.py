@@ -101,13 +101,13 @@ def backtest(series: DataFrame, key: Sequence[str], horizon: int = 3, min_histor
 
 
 def evaluate(scored: DataFrame, by: Sequence[str]) -> DataFrame:
-    """MAE, RMSE, MAPE, R2 and bias for every level of rollup(by); totals show as 'ALL'.
+    """MAE, RMSE, MAPE, R2 and bias for every level of rollup(by); totals show as 'ALL', null keys as '(none)'.
 
     Errors are added as decimals, so the report does not depend on partitioning.
     """
     error = F.col("forecast") - F.col("actual")
     rows = scored.select(
-        *[F.col(c).cast("string").alias(c) for c in by],
+        *[F.coalesce(F.col(c).cast("string"), F.lit("(none)")).alias(c) for c in by],
         exact.decimal(F.abs(error), 8, 24).alias("abs_error"),
         exact.decimal(error, 8, 24).alias("error"),
         exact.decimal(error * error, 8, 28).alias("squared"),

@@ -37,8 +37,8 @@ def running_series(facts: DataFrame, group: str, value: str) -> DataFrame:
 
 
 def subtotals(facts: DataFrame, sets: Sequence[Sequence[str]], columns: Sequence[str], value: str) -> DataFrame:
-    """GROUPING SETS over `columns`; columns outside a set show as 'ALL'."""
-    rows = facts.select(*[F.col(c).cast("string").alias(c) for c in columns], value)
+    """GROUPING SETS over `columns`; columns outside a set show as 'ALL', null keys as '(none)'."""
+    rows = facts.select(*[F.coalesce(F.col(c).cast("string"), F.lit("(none)")).alias(c) for c in columns], value)
     fine = rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("v"))
     grouped = fine.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(c) for c in columns]).agg(
         F.grouping_id().cast("int").alias("level"), F.sum("n").alias("n"), F.sum("v").alias("v")

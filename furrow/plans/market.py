@@ -12,14 +12,10 @@ from furrow.plans.registry import query
 from furrow.plans.standins import (
     OBSERVATIONS_SQL,
     PRICE_SERIES_SQL,
-    amount,
-    charge,
     families,
-    lines,
     month_sql,
     observations,
     price_series,
-    units,
 )
 from furrow.session import persist_reliably
 from furrow.sources.tables import table
@@ -57,12 +53,12 @@ FROM c
 """,
 )
 def profit_join(spark: SparkSession, base: str) -> DataFrame:
-    """Three sources meet on their cell; each is aggregated by the join key already."""
+    """Three sources, taken from one stored table of observations, meet on their cell."""
     cells = [F.col("crop_id"), F.col("region_id"), F.col("t").alias("period")]
-    rows = lines(spark, base)
-    prices = rows.groupBy(*cells).agg(exact.ratio(F.sum(amount()), F.sum(units())).alias("price"))
-    yields = rows.groupBy(*cells).agg(exact.wide(F.sum(units())).alias("yield"))
-    costs = rows.groupBy(*cells).agg(exact.wide(F.sum(charge())).alias("cost"))
+    stored = persist_reliably(observations(spark, base))
+    prices = stored.select(*cells, exact.ratio(F.col("revenue"), F.col("units")).alias("price"))
+    yields = stored.select(*cells, exact.wide(F.col("units")).alias("yield"))
+    costs = stored.select(*cells, exact.wide(F.col("cost")).alias("cost"))
     joined = features.assemble_profit(prices, yields, costs)
     return joined.withColumn("month", month_label(F.col("period"))).drop("period")
 
@@ -74,7 +70,7 @@ WITH {OBSERVATIONS_SQL},
 c AS (SELECT r_name AS region, p_type AS family, CAST(t // 12 + 1970 AS VARCHAR) AS year, revenue, cost
       FROM obs JOIN region ON region_id = r_regionkey JOIN part ON p_partkey = crop_id)
 SELECT coalesce(region, 'ALL') AS region, coalesce(family, 'ALL') AS family, coalesce(year, 'ALL') AS year,
-       CAST(count(*) AS BIGINT) AS n_cells, CAST(sum(revenue) AS DOUBLE) AS revenue, CAST(sum(cost) AS DOUBLE) AS cost,
+       CAST(grouping_id(region, family, year) AS INTEGER) AS level, CAST(count(*) AS BIGINT) AS n_cells, CAST(sum(revenue) AS DOUBLE) AS revenue, CAST(sum(cost) AS DOUBLE) AS cost,
        CAST(sum(revenue - cost) AS DOUBLE) AS profit
 FROM c GROUP BY ROLLUP (region, family, year)
 """,

@@ -221,9 +221,11 @@ def env_suitable(spark: SparkSession, base: str) -> DataFrame:
         (F.lit(900.0) + F.col("l_partkey") % 97).alias("price"),
         F.col("l_partkey").alias("request"),
     )
-    pairs = recommend.suitable(requests, _profiles(spark, base), ["size", "price"], width=4.0)
+    # Equal requests are matched once.
+    distinct = requests.groupBy("size", "price", "request").agg(F.count(F.lit(1)).alias("times"))
+    pairs = recommend.suitable(distinct, _profiles(spark, base), ["size", "price"], width=4.0)
     return pairs.groupBy("crop").agg(
-        F.count(F.lit(1)).alias("n_requests"),
+        F.sum("times").alias("n_requests"),
         F.count_distinct("request").alias("n_places"),
         F.min("price").alias("lowest"),
         F.max("size").alias("largest"),
