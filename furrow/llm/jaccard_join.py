@@ -233,9 +233,13 @@ def _judge(percent: int) -> Callable:
     return judge
 
 
+def _sizes_fit(percent: int) -> Column:
+    return F.lit(100) * F.least("n_a", "n_b") >= F.lit(percent) * F.greatest("n_a", "n_b")
+
+
 def _could_link(percent: int) -> Column:
     """Whether sizes and parity bits of a and b leave a link possible."""
-    sized = F.lit(100) * F.least("n_a", "n_b") >= F.lit(percent) * F.greatest("n_a", "n_b")
+    sized = _sizes_fit(percent)
     differing = sum((F.bit_count(F.col("parity_a")[i].bitwiseXOR(F.col("parity_b")[i])) for i in range(PARITY_BITS // 64)), F.lit(0))
     # |x ^ y| = n + m - 2 * overlap, and the overlap is at least percent / (100 + percent) of n + m.
     return sized & (F.lit(100 + percent) * differing <= F.lit(100 - percent) * (F.col("n_a") + F.col("n_b")))
@@ -273,6 +277,14 @@ def _facing(known: DataFrame, apart: Column | None = None) -> tuple[DataFrame, D
     return tuple(x.select(*(F.col(c).alias(f"{c}_{name}") for c in columns)) for x, name in ((one, "a"), (known, "b")))
 
 
+def _with_partner(known: DataFrame, apart: str, percent: int) -> DataFrame:
+    """Entries (token, node) of which their list holds a partner that differs in `apart` and could link; one is enough, so no pairs come out."""
+    one, other = _facing(known)
+    fits = _could_link(percent) if "parity" in known.columns else _sizes_fit(percent)
+    met = one.join(other, (F.col("token_a") == F.col("token_b")) & (F.col(f"{apart}_a") != F.col(f"{apart}_b")) & fits, "left_semi")
+    return persist_reliably(met.select(F.col("token_a").alias("token"), F.col("node_a").alias("node")))
+
+
 def _full_sets(docs: DataFrame, wanted: DataFrame, profile: DataFrame, owners: DataFrame, size: int) -> DataFrame:
     """(node, hashes) for the nodes in `wanted`, from the document with the smallest id of each."""
     keyed = wanted.join(owners.select("node", F.col("least").alias("doc_id")), "node")
@@ -289,10 +301,9 @@ def _heavy_links(docs: DataFrame, profile: DataFrame, owners: DataFrame, nodes:
     entries = sets.select(F.explode("prefix").alias("token"), "node")
     shared = entries.groupBy("token").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("token")
     entries = persist_reliably(entries.join(shared, "token"))
-    # Entries with a possible partner in their list; one is enough, so no pairs come out.
-    one, other = _facing(entries.join(nodes.select("node", "n", "parity"), "node"))
-    met = one.join(other, (F.col("token_a") == F.col("token_b")) & (F.col("node_a") != F.col("node_b")) & _could_link(percent), "left_semi")
-    entries = persist_reliably(met.select(F.col("token_a").alias("token"), F.col("node_a").alias("node")))
+    # Entries with a possible partner in their list, by size and then by parity bits.
+    for tests in (["n"], ["n", "parity"]):
+        entries = _with_partner(entries.join(nodes.select("node", *tests), "node"), "node", percent)
     # Only their full sets are written and moved.
     full = persist_reliably(_full_sets(docs, entries.select("node").distinct(), profile, owners, size))
     tested = None
@@ -306,6 +317,8 @@ def _heavy_links(docs: DataFrame, profile: DataFrame, owners: DataFrame, nodes:
             pairs = _possible(_ordered(placed.filter(apart).select(F.col("lead.node").alias("a"), F.col("node").alias("b"))), nodes, percent)
         else:
             # What is left: entries outside the leader's component against their whole list; a pair comes from its first common list.
+            met = _with_partner(placed.join(nodes.select("node", "n", "parity"), "node"), "component", percent)
+            placed = placed.join(met, ["token", "node"], "left_semi")
             one, other = _facing(placed.join(nodes.select("node", "n", "parity", "prefix"), "node"), apart)
             first = F.array_min(F.array_intersect("prefix_a", "prefix_b")) == F.col("token_a")
             met = one.join(other, (F.col("token_a") == F.col("token_b")) & (F.col("component_a") != F.col("component_b")) & _could_link(percent) & first)
