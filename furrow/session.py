@@ -15,6 +15,8 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Split a skewed join even when an aggregate on the same key sits above it.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Rows that go to Python may carry whole texts, so batches stay small.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
 }
 
 BROADCAST_BYTES = 64 * 1024 * 1024
