@@ -374,7 +374,10 @@ def _sender(buckets: int) -> Callable:
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 7))
-        for batch in batches:
+
+        def pack(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            batch = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held.clear()
             bucket = np.array(batch["doc_bucket"].to_numpy(zero_copy_only=False), np.int64)
             order = np.argsort(bucket, kind="stable")
             edges = np.flatnonzero(np.append(True, np.diff(bucket[order]) != 0)) if len(order) else order
@@ -385,7 +388,16 @@ def _sender(buckets: int) -> Callable:
                 with pa.ipc.new_stream(sink, part.schema, options=options) as stream:
                     stream.write_batch(part)
                 blobs.append(sink.getvalue().to_pybytes())
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[order][edges], pa.int32()), pa.array(blobs, pa.binary())], ["doc_bucket", "docs"])
+            return pa.RecordBatch.from_arrays([pa.array(bucket[order][edges], pa.int32()), pa.array(blobs, pa.binary())], ["doc_bucket", "docs"])
+
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if len(batch):
+                held.append(batch)
+            if sum(b.nbytes for b in held) >= FLUSH_BYTES:
+                yield pack(held)
+        if held:
+            yield pack(held)
 
     return send
 
