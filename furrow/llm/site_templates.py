@@ -32,11 +32,20 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead tr ul".split()
 )
-# Elements whose text is never the article's.
-_NEVER = frozenset("head nav footer aside form button select dialog menu search object video audio canvas map".split())
-_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
+# Elements whose text is never the article's, wherever they stand; all but the first line give way to an article or main element inside.
+_NEVER = frozenset("head nav footer".split())
+_NAMED = frozenset("form button select dialog menu search object video audio canvas map".split())
+_NAMED_ROLES = frozenset("navigation contentinfo search form dialog menu menubar".split())
+_GUESSED_ROLES = frozenset("banner complementary alert".split())
+# Whole class or id words. Comments and adverts count everywhere, the others only outside articles.
+_COMMENTS = re.compile(r"comments?|(?:user[-_])?comments?[-_]?(?:list|area|section|block|box|body|content|form|thread|wrapper|container|\d+)|repl(?:y|ies)|respond|disqus(?:[-_]thread)?", re.IGNORECASE)
+_ADVERTS = re.compile(r"(?:ads?|adverts?|advertisements?)(?:[-_](?:banner|block|box|container|label|slot|unit|wrapper|\d+))?|adsbygoogle|sponsored(?:[-_](?:content|links?|post))?", re.IGNORECASE)
+_AROUND = r"(?:(?:site|page|main|top|bottom|left|right|primary|secondary|global|mobile)[-_])?(?:{})(?:[-_]?(?:bar|block|box|buttons?|container|inner|items?|links?|list|wrap|wrapper|\d+))?"
+_MENUS = re.compile(_AROUND.format("menu|nav|navbar|navigation|breadcrumbs?|footer"), re.IGNORECASE)
 _NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|notification|alert|popup|modal|overlay|sidebar|side|widget|menu|nav|navbar|navigation|breadcrumbs?|header|masthead|footer|comments?|commentlist|replies|respond|disqus|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|search|pagination|pager|toolbar|skip)(?:$|[\s_-])",
+    _AROUND.format(
+        "advertising|sponsors?|promos?|promotions?|banner|cookies?|consent|gdpr|(?:cookies?|consent|gdpr|privacy)[-_](?:banner|consent|message|notice|popup)|notices?|notification|alert|popup|modal|overlay|sidebar|side|widget|header|masthead|share|sharing|social|related|(?:related|recommended)[-_](?:articles|posts|stories)|recommended|newsletter|subscribe|signup|login|search|pagination|pager|toolbar|skip"
+    ),
     re.IGNORECASE,
 )
 _ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.IGNORECASE)
@@ -45,37 +54,51 @@ _ENDS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr":
 _LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre td th dd dt tr figcaption".split())
 
 
+# How surely an element is left out.
+_KEPT, _GUESS, _RULE, _ALWAYS = range(4)
+
+
 class _Element:
-    __slots__ = ("tag", "skip", "main", "parts", "blocks")
+    __slots__ = ("tag", "above", "rule", "main", "parts", "blocks")
 
-    def __init__(self, tag: str, skip: bool, main: int):
-        self.tag, self.skip, self.main = tag, skip, main
+    def __init__(self, tag: str, above: _Element | None, rule: int, main: int):
+        self.tag, self.above, self.rule, self.main = tag, above, rule, main
         self.parts: list[str] = [tag]
         self.blocks: list[int] = []
 
 
-def _left_out(tag: str, attributes: str, main: int) -> bool:
-    if tag in _NEVER or (tag == "header" and main < 2):
-        return True
+def _rule(tag: str, attributes: str, main: int) -> int:
+    """How surely an element is left out by its own tag and attributes."""
+    if tag in _NEVER:
+        return _ALWAYS
+    rule = _RULE if tag in _NAMED else _GUESS if main < 2 and tag in ("header", "aside") else _KEPT
     if not attributes or tag in ("html", "body"):
-        return False
+        return rule
     for name, value in _ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), value.strip("\"'")
+        name, value = name.lower(), value.strip("\"'").strip()
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            return True
-        if name == "role" and value.lower() in _ROLES:
-            return True
-        if name in ("class", "id") and tag not in ("article", "main") and _NAMES.search(value):
-            return True
-        if name in ("class", "id") and re.search(r"(?:^|[\s_-])(?:comments?|repl(?:y|ies))(?:$|[\s_-])", value, re.IGNORECASE):
-            return True
-    return False
+            rule = max(rule, _RULE)
+        elif name == "role":
+            rule = max(rule, _RULE if value.lower() in _NAMED_ROLES else _GUESS if main < 2 and value.lower() in _GUESSED_ROLES else _KEPT)
+        # The id of a heading or paragraph is an anchor.
+        elif name == "class" or (name == "id" and tag not in _LEAVES):
+            for word in value.split():
+                if _COMMENTS.fullmatch(word):
+                    return _ALWAYS
+                if tag in ("article", "main"):
+                    continue
+                if _ADVERTS.fullmatch(word) or (main < 2 and _MENUS.fullmatch(word)):
+                    rule = max(rule, _RULE)
+                elif main < 2 and _NAMES.fullmatch(word):
+                    rule = max(rule, _GUESS)
+    return rule
 
 
 def read_page(html: str) -> list[tuple[str, list[int]]]:
     """Blocks of the page's main part in order, each with the hashes of the subtrees that may be template."""
-    stack = [_Element("", False, 0)]
-    blocks: list[tuple[str, int]] = []
+    stack = [_Element("", None, _KEPT, 0)]
+    elements = [stack[0]]
+    blocks: list[tuple[str, _Element]] = []
     owners: list[list[int]] = []
     text: list[str] = []
 
@@ -88,7 +111,7 @@ def read_page(html: str) -> list[tuple[str, list[int]]]:
             top = stack[-1]
             top.parts.append(block)
             top.blocks.append(len(blocks))
-            blocks.append((block, top.main))
+            blocks.append((block, top))
             owners.append([])
 
     def close() -> None:
@@ -107,7 +130,7 @@ def read_page(html: str) -> list[tuple[str, list[int]]]:
     while at < len(html):
         found = _TAG.search(html, at)
         end = found.start() if found else len(html)
-        if end > at and not stack[-1].skip:
+        if end > at and stack[-1].rule < _ALWAYS:
             text.append(html[at:end])
         if not found:
             break
@@ -129,12 +152,12 @@ def read_page(html: str) -> list[tuple[str, list[int]]]:
         if tag in _RAW:
             over = _RAW[tag].search(html, at)
             at = over.end() if over else len(html)
-            if tag not in _BLOCKS and not stack[-1].skip:
+            if tag not in _BLOCKS and stack[-1].rule < _ALWAYS:
                 text.append(" ")
             continue
-        if tag == "br" and not stack[-1].skip:
+        if tag == "br" and stack[-1].rule < _ALWAYS:
             text.append(" ")
-        if tag not in _BLOCKS and not stack[-1].skip and tag not in _VOID and _left_out(tag, attributes, stack[-1].main):
+        if tag not in _BLOCKS and stack[-1].rule < _ALWAYS and tag not in _VOID and _rule(tag, attributes, stack[-1].main) > _GUESS:
             # An inline element that is left out: its text goes up to its end tag.
             over = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(html, at)
             at = over.end() if over else at
@@ -155,12 +178,24 @@ def read_page(html: str) -> list[tuple[str, list[int]]]:
                 break
         top = stack[-1]
         main = 2 if tag == "article" else max(top.main, 1 if tag == "main" else 0)
-        stack.append(_Element(tag, top.skip or _left_out(tag, attributes, top.main), main))
+        # What is left out for good passes this on; the rest is settled at the end.
+        rule = _ALWAYS if top.rule == _ALWAYS else _rule(tag, attributes, top.main)
+        if tag in ("article", "main") and rule == _KEPT:
+            # Nothing around an article or main element is left out.
+            for around in reversed(stack):
+                if around.main and around.tag in ("article", "main"):
+                    break
+                around.rule = _KEPT
+        stack.append(_Element(tag, top, rule, main))
+        elements.append(stack[-1])
     while len(stack) > 1:
         close()
     flush()
-    best = max((m for _, m in blocks), default=0)
-    return [(b, o) for (b, m), o in zip(blocks, owners) if m == best]
+    for element in elements[1:]:
+        element.rule = max(element.rule, element.above.rule)
+    kept = [(b, e.main, o) for (b, e), o in zip(blocks, owners) if e.rule == _KEPT]
+    best = max((m for _, m, _ in kept), default=0)
+    return [(b, o) for b, m, o in kept if m == best]
 
 
 _READ = "page_id long, url string, host string, version long, blocks array<string>, owners array<array<long>>"

@@ -29,6 +29,17 @@ def test_broken_pages_give_what_they_hold():
     assert len(blocks("<div>" * 3000 + "deep")) == 1
 
 
+def test_names_are_whole_words_and_give_way_to_articles():
+    article = """<article><h2 id="related-work">Related work</h2><section id="search-algorithms"><h2 id="comments">On comments</h2><p>Found</p></section>
+    <div class="client-side-rendering">Client</div><div id="social-impact">Impact</div><aside>Quote</aside><div class="related">More</div><div class="ads">Buy</div></article>"""
+    inside = ["Related work", "On comments", "Found", "Client", "Impact", "Quote", "More"]
+    assert blocks(article) == inside
+    assert blocks(f'<div class="content has-sidebar">{article}</div>') == inside
+    assert blocks(f'<form><div class="sidebar content-with-sidebar">{article}</div></form>') == inside
+    assert blocks('<div class="content-with-sidebar"><p>a</p></div><div class="left-sidebar">no</div><div id="cookie-banner">no</div><div class="site-footer">no</div>') == ["a"]
+    assert blocks('<div id="comments"><article>me too</article></div><p>x</p>') == ["x"]
+
+
 def test_template_of_a_host_goes_but_articles_stay(spark):
     rows = []
     for i in range(30):
