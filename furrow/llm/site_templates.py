@@ -1,9 +1,9 @@
 """Main text of web pages by site template removal.
 
 Each page is read once into its text blocks and, for each block, the hashes of the
-element subtrees that hold it. How many different pages of a host hold a subtree is
-counted in Spark; subtrees that recur across many pages of their host are template, and
-the blocks inside them go. Elements that never hold article text (menus, scripts,
+element subtrees that hold it. Spark counts between how many different contents (the
+page's other blocks) of a host a subtree stands, so copies of a page count once;
+subtrees that stand between many are template, and the blocks inside them go. Elements that never hold article text (menus, scripts,
 adverts, forms, comments and the like) are left out while reading.
 """
 
@@ -11,7 +11,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from dataclasses import dataclass
 from html import unescape
 
 import pyarrow as pa
@@ -20,9 +21,11 @@ from pyspark.sql import functions as F
 
 from furrow.session import broadcast_if_small, persist_reliably
 
-# A subtree is template when at least so many different pages of the host, and this share of them, hold it.
+# A subtree is template when it stands between so many different contents of the host, and between this share of the
+# host's contents; so many are always enough, however many pages the host has.
 LEAST_PAGES = 5
 LEAST_SHARE = 0.1
+ENOUGH_PAGES = 100
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.DOTALL
@@ -59,12 +62,32 @@ _KEPT, _GUESS, _RULE, _ALWAYS = range(4)
 
 
 class _Element:
-    __slots__ = ("tag", "above", "rule", "main", "parts", "blocks")
+    __slots__ = ("tag", "above", "rule", "main", "parts", "blocks", "digest", "inside")
 
     def __init__(self, tag: str, above: _Element | None, rule: int, main: int):
         self.tag, self.above, self.rule, self.main = tag, above, rule, main
         self.parts: list[str] = [tag]
         self.blocks: list[int] = []
+        self.digest: int | None = None
+        self.inside = 0
+
+
+def _hash(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+
+
+def _signed(number: int) -> int:
+    return (number + (1 << 63)) % (1 << 64) - (1 << 63)
+
+
+@dataclass
+class Page:
+    """Blocks of a page's main part, each with its subtrees; the subtrees with the sum of the block hashes outside them; that sum for the whole page."""
+
+    blocks: list[str]
+    owners: list[list[int]]
+    subtrees: set[tuple[int, int]]
+    content: int
 
 
 def _rule(tag: str, attributes: str, main: int) -> int:
@@ -96,6 +119,11 @@ def _rule(tag: str, attributes: str, main: int) -> int:
 
 def read_page(html: str) -> list[tuple[str, list[int]]]:
     """Blocks of the page's main part in order, each with the hashes of the subtrees that may be template."""
+    page = parse_page(html)
+    return list(zip(page.blocks, page.owners))
+
+
+def parse_page(html: str) -> Page:
     stack = [_Element("", None, _KEPT, 0)]
     elements = [stack[0]]
     blocks: list[tuple[str, _Element]] = []
@@ -118,9 +146,10 @@ def read_page(html: str) -> list[tuple[str, list[int]]]:
         flush()
         done = stack.pop()
         if done.blocks:
-            digest = int.from_bytes(hashlib.blake2b("\x00".join(done.parts).encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+            digest = _hash("\x00".join(done.parts))
             # Inside an article its own paragraphs are never template, only what is put between them.
             if done.tag not in ("html", "body", "article", "main") and not (done.main == 2 and done.tag in _LEAVES):
+                done.digest = digest
                 for b in done.blocks:
                     owners[b].append(digest)
             stack[-1].parts.append(str(digest))
@@ -193,12 +222,20 @@ def read_page(html: str) -> list[tuple[str, list[int]]]:
     flush()
     for element in elements[1:]:
         element.rule = max(element.rule, element.above.rule)
-    kept = [(b, e.main, o) for (b, e), o in zip(blocks, owners) if e.rule == _KEPT]
-    best = max((m for _, m, _ in kept), default=0)
-    return [(b, o) for b, m, o in kept if m == best]
+    best = max((e.main for _, e in blocks if e.rule == _KEPT), default=0)
+    chosen = [(b, e, o) for (b, e), o in zip(blocks, owners) if e.rule == _KEPT and e.main == best]
+    for block, element, _ in chosen:
+        element.inside += _hash(block)
+    for element in reversed(elements[1:]):
+        element.above.inside += element.inside
+    whole = stack[0].inside
+    held = {o for _, _, own in chosen for o in own}
+    subtrees = {(e.digest, _signed(whole - e.inside)) for e in elements if e.digest in held}
+    return Page([b for b, _, _ in chosen], [o for _, _, o in chosen], subtrees, _signed(whole))
 
 
-_READ = "page_id long, url string, host string, version long, blocks array<string>, owners array<array<long>>"
+_SUBTREES = pa.list_(pa.struct([("subtree", pa.int64()), ("outside", pa.int64())]))
+_READ = "page_id long, url string, host string, content long, blocks array<string>, owners array<array<long>>, subtrees array<struct<subtree:long,outside:long>>"
 _HOST = re.compile(r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)")
 
 
@@ -206,17 +243,16 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start in range(0, len(batch), 256):
             part = batch.slice(start, 256)
-            columns: list[list] = [[] for _ in range(4)]
+            columns: list[list] = [[] for _ in range(5)]
             for url, html in zip(part["url"].to_pylist(), part["html"].to_pylist()):
-                html = html or ""
                 host = _HOST.match(url or "")
-                page = read_page(html)
-                version = int.from_bytes(hashlib.blake2b(html.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
-                for column, value in zip(columns, (host.group(1).lower() if host else "", version, [b for b, _ in page], [o for _, o in page])):
+                page = parse_page(html or "")
+                subtrees = [{"subtree": s, "outside": o} for s, o in sorted(page.subtrees)]
+                for column, value in zip(columns, (host.group(1).lower() if host else "", page.content, page.blocks, page.owners, subtrees)):
                     column.append(value)
-            kinds = (pa.string(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.list_(pa.int64())))
+            kinds = (pa.string(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.list_(pa.int64())), _SUBTREES)
             arrays = [part["page_id"], part["url"], *(pa.array(c, k) for c, k in zip(columns, kinds))]
-            yield pa.RecordBatch.from_arrays(arrays, ["page_id", "url", "host", "version", "blocks", "owners"])
+            yield pa.RecordBatch.from_arrays(arrays, ["page_id", "url", "host", "content", "blocks", "owners", "subtrees"])
 
 
 def main_texts(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
@@ -225,23 +261,23 @@ def main_texts(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: fl
     The text holds the blocks of the page's articles (else of its main element, else of
     its body) outside elements that never hold article text and outside the host's
     template, each with its references decoded and white space as single spaces, joined
-    by two line ends; it is empty if nothing is left. Pages of equal html count once
-    towards the template. A null html is empty; a null url or one without a host shares
-    the host "". Repeated rows and null ids stay; other columns are left aside.
-
-    At most 1 / least_share times a page's mean number of subtrees can be template on a
-    host, so a host's template is a short list.
+    by two line ends; it is empty if nothing is left. Pages with equal
+    blocks outside a subtree count once towards it, whatever else differs in them. A null
+    html is empty; a null url or one without a host shares the host "". Repeated rows and
+    null ids stay; other columns are left aside.
     """
     typed = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    read = persist_reliably(typed.mapInArrow(_read, _READ))
-    versions = read.groupBy("host", "version").agg(F.first(F.array_distinct(F.flatten("owners"))).alias("subtrees"))
-    hosts = read.select("host", "version").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    counted = versions.select("host", F.explode("subtrees").alias("subtree")).groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("times"))
-    # Only subtrees in enough pages move on.
-    often = counted.filter(F.col("times") >= least_pages).join(hosts, "host").filter(F.col("times") >= F.col("pages") * least_share)
-    template = broadcast_if_small(often.groupBy("host").agg(F.collect_list("subtree").alias("template")))
-    joined = read.join(template, "host", "left")
+    read = persist_reliably(typed.mapInArrow(_read, _READ).withColumn("row", F.monotonically_increasing_id()))
+    hosts = read.select("host", "content").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    single = read.select("host", F.inline("subtrees")).distinct()
+    counted = single.groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("times"))
+    # Only subtrees between enough contents move on.
+    least = F.least(F.col("pages") * least_share, F.lit(ENOUGH_PAGES))
+    often = counted.filter(F.col("times") >= least_pages).join(hosts, "host").filter(F.col("times") >= least).select("host", "subtree")
+    template = broadcast_if_small(often)
+    held = read.select("row", "host", F.explode(F.array_distinct("subtrees.subtree")).alias("subtree")).join(template, ["host", "subtree"])
+    hits = broadcast_if_small(held.groupBy("row").agg(F.collect_set("subtree").alias("template")))
     none = F.array().cast("array<long>")
     pairs = F.arrays_zip("blocks", "owners")
     left = F.filter(pairs, lambda b: ~F.coalesce(F.arrays_overlap(b["owners"], F.coalesce("template", none)), F.lit(False)))
-    return joined.select("page_id", "url", F.array_join(left["blocks"], "\n\n").alias("text"))
+    return read.join(hits, "row", "left").select("page_id", "url", F.array_join(left["blocks"], "\n\n").alias("text"))

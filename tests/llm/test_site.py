@@ -56,3 +56,18 @@ def test_template_of_a_host_goes_but_articles_stay(spark):
     want.update({(100 + i, f"T{i}\n\nLicence"): 1 for i in range(30)})
     assert got == want
     assert main_texts(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_copies_count_once_and_sections_of_large_hosts_are_found(spark):
+    rows = []
+    for i in range(12):
+        # Copies that differ in an id, an advert and a script; the text is not template.
+        copied = f'<div id="a{i}"><script>track({i})</script><div class="ad">Buy {i}</div><p>Told once</p><p>Told twice</p></div><div><p>Top bar</p></div>'
+        rows.append((i, "http://a.example/x", copied, "c", "c"))
+        rows.append((100 + i, "http://a.example/y", f"<div><p>Other {i}</p></div><div><p>Top bar</p></div>", "c", "c"))
+    for i in range(1500):
+        bar = "<div><p>Section bar</p></div>" if i < 120 else ""
+        rows.append((1000 + i, "http://b.example/z", f"<div><p>Text {i}</p></div>{bar}", "c", "c"))
+    got = {r.page_id: r.text for r in main_texts(spark.createDataFrame(rows, SCHEMA)).collect()}
+    want = {i: "Told once\n\nTold twice" for i in range(12)} | {100 + i: f"Other {i}" for i in range(12)} | {1000 + i: f"Text {i}" for i in range(1500)}
+    assert got == want
