@@ -3,8 +3,10 @@
 Each page is read once into its text blocks and, for each block, the hashes of the
 element subtrees that hold it. Spark counts between how many different contents (the
 page's other blocks) of a host a subtree stands, so copies of a page count once;
-subtrees that stand between many are template, and the blocks inside them go. Elements that never hold article text (menus, scripts,
-adverts, forms, comments and the like) are left out while reading.
+subtrees that stand between many are template, and the blocks inside them go. Menus,
+footers, scripts, adverts, forms and comments are left out by tag or name while reading.
+What only looks like template by its name (sidebars, headers, banners and the like) is
+counted where the host has enough contents, and left out by name on smaller hosts.
 """
 
 from __future__ import annotations
@@ -26,6 +28,10 @@ from furrow.session import broadcast_if_small, persist_reliably
 LEAST_PAGES = 5
 LEAST_SHARE = 0.1
 ENOUGH_PAGES = 100
+# On a host of so many different contents counts decide on what only looks like template.
+COUNTED_PAGES = 50
+# Stands among a page's subtrees for a guess, and among a host's template for enough contents.
+_COUNTED = 0
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.DOTALL
@@ -82,10 +88,11 @@ def _signed(number: int) -> int:
 
 @dataclass
 class Page:
-    """Blocks of a page's main part, each with its subtrees; the subtrees with the sum of the block hashes outside them; that sum for the whole page."""
+    """Blocks of a page's main part, each with its subtrees and whether its name speaks against it; the subtrees with the sum of the other blocks' hashes outside them; that sum for the whole page."""
 
     blocks: list[str]
     owners: list[list[int]]
+    guesses: list[bool]
     subtrees: set[tuple[int, int]]
     content: int
 
@@ -120,7 +127,7 @@ def _rule(tag: str, attributes: str, main: int) -> int:
 def read_page(html: str) -> list[tuple[str, list[int]]]:
     """Blocks of the page's main part in order, each with the hashes of the subtrees that may be template."""
     page = parse_page(html)
-    return list(zip(page.blocks, page.owners))
+    return [(b, o) for b, o, g in zip(page.blocks, page.owners, page.guesses) if not g]
 
 
 def parse_page(html: str) -> Page:
@@ -148,7 +155,7 @@ def parse_page(html: str) -> Page:
         if done.blocks:
             digest = _hash("\x00".join(done.parts))
             # Inside an article its own paragraphs are never template, only what is put between them.
-            if done.tag not in ("html", "body", "article", "main") and not (done.main == 2 and done.tag in _LEAVES):
+            if done.tag not in ("html", "body", "article", "main") and not (done.main >= 2 and done.tag in _LEAVES):
                 done.digest = digest
                 for b in done.blocks:
                     owners[b].append(digest)
@@ -206,7 +213,7 @@ def parse_page(html: str) -> Page:
             if stack[i].tag not in _LEAVES:
                 break
         top = stack[-1]
-        main = 2 if tag == "article" else max(top.main, 1 if tag == "main" else 0)
+        main = top.main | (2 if tag == "article" else 1 if tag == "main" else 0)
         # What is left out for good passes this on; the rest is settled at the end.
         rule = _ALWAYS if top.rule == _ALWAYS else _rule(tag, attributes, top.main)
         if tag in ("article", "main") and rule == _KEPT:
@@ -222,20 +229,22 @@ def parse_page(html: str) -> Page:
     flush()
     for element in elements[1:]:
         element.rule = max(element.rule, element.above.rule)
-    best = max((e.main for _, e in blocks if e.rule == _KEPT), default=0)
-    chosen = [(b, e, o) for (b, e), o in zip(blocks, owners) if e.rule == _KEPT and e.main == best]
+    # Beside a main element only articles are read; without one the whole body is.
+    least = int(any(e.rule == _KEPT and e.main & 1 for _, e in blocks))
+    chosen = [(b, e, o) for (b, e), o in zip(blocks, owners) if e.rule <= _GUESS and e.main >= least]
     for block, element, _ in chosen:
-        element.inside += _hash(block)
+        if element.rule == _KEPT:
+            element.inside += _hash(block)
     for element in reversed(elements[1:]):
         element.above.inside += element.inside
     whole = stack[0].inside
     held = {o for _, _, own in chosen for o in own}
     subtrees = {(e.digest, _signed(whole - e.inside)) for e in elements if e.digest in held}
-    return Page([b for b, _, _ in chosen], [o for _, _, o in chosen], subtrees, _signed(whole))
+    return Page([b for b, _, _ in chosen], [o for _, _, o in chosen], [e.rule == _GUESS for _, e, _ in chosen], subtrees, _signed(whole))
 
 
 _SUBTREES = pa.list_(pa.struct([("subtree", pa.int64()), ("outside", pa.int64())]))
-_READ = "page_id long, url string, host string, content long, blocks array<string>, owners array<array<long>>, subtrees array<struct<subtree:long,outside:long>>"
+_READ = "page_id long, url string, host string, content long, blocks array<string>, owners array<array<long>>, guesses array<boolean>, subtrees array<struct<subtree:long,outside:long>>"
 _HOST = re.compile(r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)")
 
 
@@ -243,25 +252,26 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start in range(0, len(batch), 256):
             part = batch.slice(start, 256)
-            columns: list[list] = [[] for _ in range(5)]
+            columns: list[list] = [[] for _ in range(6)]
             for url, html in zip(part["url"].to_pylist(), part["html"].to_pylist()):
                 host = _HOST.match(url or "")
                 page = parse_page(html or "")
                 subtrees = [{"subtree": s, "outside": o} for s, o in sorted(page.subtrees)]
-                for column, value in zip(columns, (host.group(1).lower() if host else "", page.content, page.blocks, page.owners, subtrees)):
+                for column, value in zip(columns, (host.group(1).lower() if host else "", page.content, page.blocks, page.owners, page.guesses, subtrees)):
                     column.append(value)
-            kinds = (pa.string(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.list_(pa.int64())), _SUBTREES)
+            kinds = (pa.string(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.list_(pa.int64())), pa.list_(pa.bool_()), _SUBTREES)
             arrays = [part["page_id"], part["url"], *(pa.array(c, k) for c, k in zip(columns, kinds))]
-            yield pa.RecordBatch.from_arrays(arrays, ["page_id", "url", "host", "content", "blocks", "owners", "subtrees"])
+            yield pa.RecordBatch.from_arrays(arrays, ["page_id", "url", "host", "content", "blocks", "owners", "guesses", "subtrees"])
 
 
 def main_texts(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
     """page_id, url and text of every row of `pages` (page_id, url, html).
 
-    The text holds the blocks of the page's articles (else of its main element, else of
-    its body) outside elements that never hold article text and outside the host's
-    template, each with its references decoded and white space as single spaces, joined
-    by two line ends; it is empty if nothing is left. Pages with equal
+    The text holds the blocks of the page's main element and its articles (without a main
+    element, of its whole body) outside menus, footers, adverts, forms and comments and
+    outside the host's template, each with its references decoded and white space as
+    single spaces, joined by two line ends; it is empty if nothing is left. Paragraphs,
+    headings and cells of an article are never template. Pages with equal
     blocks outside a subtree count once towards it, whatever else differs in them. A null
     html is empty; a null url or one without a host shares the host "". Repeated rows and
     null ids stay; other columns are left aside.
@@ -274,10 +284,12 @@ def main_texts(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: fl
     # Only subtrees between enough contents move on.
     least = F.least(F.col("pages") * least_share, F.lit(ENOUGH_PAGES))
     often = counted.filter(F.col("times") >= least_pages).join(hosts, "host").filter(F.col("times") >= least).select("host", "subtree")
-    template = broadcast_if_small(often)
-    held = read.select("row", "host", F.explode(F.array_distinct("subtrees.subtree")).alias("subtree")).join(template, ["host", "subtree"])
+    counts = hosts.filter(F.col("pages") >= COUNTED_PAGES).select("host", F.lit(_COUNTED).cast("long").alias("subtree"))
+    template = broadcast_if_small(often.unionByName(counts))
+    guess = F.when(F.array_contains("guesses", True), F.array(F.lit(_COUNTED).cast("long"))).otherwise(F.array().cast("array<long>"))
+    held = read.select("row", "host", F.explode(F.array_union("subtrees.subtree", guess)).alias("subtree")).join(template, ["host", "subtree"])
     hits = broadcast_if_small(held.groupBy("row").agg(F.collect_set("subtree").alias("template")))
-    none = F.array().cast("array<long>")
-    pairs = F.arrays_zip("blocks", "owners")
-    left = F.filter(pairs, lambda b: ~F.coalesce(F.arrays_overlap(b["owners"], F.coalesce("template", none)), F.lit(False)))
+    found = F.coalesce("template", F.array().cast("array<long>"))
+    pairs = F.arrays_zip("blocks", "owners", "guesses")
+    left = F.filter(pairs, lambda b: ~F.arrays_overlap(b["owners"], found) & (~b["guesses"] | F.array_contains(found, _COUNTED)))
     return read.join(hits, "row", "left").select("page_id", "url", F.array_join(left["blocks"], "\n\n").alias("text"))

@@ -71,3 +71,16 @@ def test_copies_count_once_and_sections_of_large_hosts_are_found(spark):
     got = {r.page_id: r.text for r in main_texts(spark.createDataFrame(rows, SCHEMA)).collect()}
     want = {i: "Told once\n\nTold twice" for i in range(12)} | {100 + i: f"Other {i}" for i in range(12)} | {1000 + i: f"Text {i}" for i in range(1500)}
     assert got == want
+
+
+def test_story_beside_articles_stays_and_counts_decide_on_names(spark):
+    cards = "<article><p>Card</p></article>"
+    assert blocks(f"<div><p>Story</p></div>{cards}") == ["Story", "Card"]
+    assert blocks(f"<main><p>Story</p></main>{cards}<p>out</p>") == ["Story", "Card"]
+    rows = []
+    for i in range(60):
+        side = f'<aside><p>Follow us</p></aside><div class="sidebar"><p>Note {i}</p></div><nav><p>Menu {i}</p></nav>'
+        rows.append((i, "http://a.example/x", f"<div><p>Text {i}</p></div>{side}", "c", "c"))
+    rows.append((100, "http://b.example/x", '<p>Text</p><div class="sidebar"><p>Note</p></div>', "c", "c"))
+    got = {r.page_id: r.text for r in main_texts(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {i: f"Text {i}\n\nNote {i}" for i in range(60)} | {100: "Text"}
