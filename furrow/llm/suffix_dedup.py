@@ -7,7 +7,8 @@ the few bytes around it, and suffixes of different buckets are never equal. A bu
 suffixes is sorted on its own: by the first COVER bytes, and where these tie, by ranks
 computed beforehand for the suffixes at a difference cover sample, which contains a
 common offset for any two suffixes. Neighbours in sorted order that agree over LENGTH
-bytes are repeats. Memory is bounded by the bucket, not by the corpus.
+bytes are repeats. Strings of an anchor that would fill more than a block are dealt one by
+one by all their bytes instead. Memory is bounded by the bucket, not by the corpus.
 """
 
 from __future__ import annotations
@@ -30,8 +31,13 @@ COVER = 16
 BUCKET_BYTES = 6_000_000
 SEGMENT_BYTES = 400_000
 FLUSH_BYTES = 20_000_000
-# Strings sorted at a time, unless one bucket of suffixes holds more.
+# Strings sorted at a time, unless one bucket of suffixes holds more; an anchor with more is split.
 BLOCK_STRINGS = 1_000_000
+# Anchors are counted in about so many bytes of text, and in one of so many documents at least.
+COUNTED_BYTES = 20_000_000
+COUNTED_STEP = 64
+# Chunks of hot anchors that are split at a time.
+SPLIT_CHUNKS = 20_000
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
 
@@ -181,48 +187,115 @@ _ROWS = pa.schema([("bucket", pa.int32()), ("chunks", pa.binary()), ("doc_bucket
 ROWS = "bucket int, chunks binary, doc_bucket int, spans binary"
 
 
-def _dealer(length: int, buckets: int, doc_buckets: int) -> Callable:
-    """Chunks of each text, per bucket of anchors; copies within a flush keep one chunk, that of the smallest document."""
+def _pieces(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[list]:
+    """Chunks of the texts, gathered up to FLUSH_BYTES."""
+    held, size = [], 0
+    for batch in batches:
+        docs, rows = (np.array(batch[c].to_numpy(zero_copy_only=False), np.int64) for c in ("doc_id", "row"))
+        for first, data, offsets in text_blocks(batch["text"], SEGMENT_BYTES):
+            n = len(offsets) - 1
+            # A long text is cut into segments that share length - 1 bytes, so each string lies in one.
+            for at in range(0, max(len(data), 1), SEGMENT_BYTES) if n == 1 else (0,):
+                piece = data[at : at + SEGMENT_BYTES + length - 1] if n == 1 else data
+                cuts = np.array([0, len(piece)]) if n == 1 else offsets
+                found = _chunks(docs[first : first + n], rows[first : first + n], np.full(n, at), piece, cuts, length)
+                held.append(found)
+                size += len(found[1])
+                if size >= FLUSH_BYTES:
+                    yield held
+                    held, size = [], 0
+    if held:
+        yield held
+
+
+def _joined(held: list) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    columns = {n: np.concatenate([c[n] for c, _ in held]) for n in _NAMES}
+    data = np.concatenate([d for _, d in held])
+    held.clear()
+    return columns, data
 
-    def flush(held: list) -> pa.RecordBatch:
-        columns = {n: np.concatenate([c[n] for c, _ in held]) for n in _NAMES}
-        data = np.concatenate([d for _, d in held])
-        held.clear()
+
+def _without_copies(columns: dict[str, np.ndarray], data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which chunks are not copies of a smaller document's chunk, and the spans of those that are."""
+    back, least = _least_by(_contents(columns, data), columns["doc"])
+    later = columns["doc"] > least[back]
+    gone = {n: c[later] for n, c in columns.items()}
+    return np.flatnonzero(~later), _spans(gone["doc"], gone["row"], gone["place"], gone["place"].astype(np.int64) + gone["size"])
+
+
+def _counter(length: int) -> Callable:
+    """Strings of each anchor, copies of a chunk counted once a flush."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _pieces(batches, length):
+            columns, data = _joined(held)
+            first = np.unique(_contents(columns, data), return_index=True)[1]
+            anchor, back = np.unique(columns["hash"][first], return_inverse=True)
+            strings = np.bincount(back, columns["size"][first].astype(np.int64) - length + 1, len(anchor)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(strings)], ["anchor", "strings"])
+
+    return count
+
+
+def hot_anchors(texts: DataFrame, length: int, total: int) -> np.ndarray:
+    """Anchors that seem to have more than BLOCK_STRINGS strings, by a sample of documents; which ones decides where strings meet, not what is found."""
+    step = max(1, min(COUNTED_STEP, total // COUNTED_BYTES))
+    sample = texts.filter(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0)
+    counted = sample.mapInArrow(_counter(length), "anchor long, strings long").groupBy("anchor").agg(F.sum("strings").alias("strings"))
+    return np.sort(np.array([r.anchor for r in counted.filter(F.col("strings") * step > BLOCK_STRINGS).collect()], np.int64).view(_U))
+
+
+def _one_by_one(columns: dict[str, np.ndarray], data: np.ndarray, length: int) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """The strings of some chunks as chunks of their own."""
+    size = columns["size"].astype(np.int64)
+    count = size - length + 1
+    chunk, inner = np.repeat(np.arange(len(size)), count), ranges(count)
+    split = {n: c[chunk] for n, c in columns.items()}
+    split["place"] = (split["place"] + inner).astype(np.int32)
+    split["before"] = (split["before"] - inner).astype(np.uint8)
+    split["size"] = np.full(len(chunk), length, np.uint8)
+    return split, _gather(data, (np.cumsum(size) - size)[chunk] + inner, split["size"].astype(np.int64))
+
+
+def _dealer(length: int, buckets: int, doc_buckets: int, hot: np.ndarray) -> Callable:
+    """Chunks of each text, per bucket of anchors; copies within a flush keep one chunk, that of the smallest document.
+
+    Strings of hot anchors are dealt one by one, by a hash of their bytes.
+    """
+
+    def rows_of(columns: dict[str, np.ndarray], data: np.ndarray, key: np.ndarray) -> list[tuple]:
         rows: list[tuple] = []
-        back, least = _least_by(_contents(columns, data), columns["doc"])
-        later = columns["doc"] > least[back]
-        gone = {n: c[later] for n, c in columns.items()}
-        spans = _spans(gone["doc"], gone["row"], gone["place"], gone["place"].astype(np.int64) + gone["size"])
-        kept = np.flatnonzero(~later)
-        bucket = (columns["hash"][kept] % _U(buckets)).astype(np.int64)
+        bucket = (key % _U(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
-        columns, data = _pick(columns, data, kept[order])
+        columns, data = _pick(columns, data, order)
         edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
         cuts = np.concatenate([[0], np.cumsum(columns["size"], dtype=np.int64)])[edges]
         for b in np.flatnonzero(np.diff(edges)):
             part = {n: c[edges[b] : edges[b + 1]] for n, c in columns.items()}
             rows.append((int(b), _write(part, data[cuts[b] : cuts[b + 1]]), None, None))
+        return rows
+
+    def flush(held: list) -> pa.RecordBatch:
+        columns, data = _joined(held)
+        kept, spans = _without_copies(columns, data)
+        split = np.isin(columns["hash"][kept], hot) if len(hot) else np.zeros(len(kept), bool)
+        rows: list[tuple] = []
+        found = [spans]
+        for a in range(0, int(split.sum()), SPLIT_CHUNKS):
+            single, bytes_ = _one_by_one(*_pick(columns, data, kept[split][a : a + SPLIT_CHUNKS]), length)
+            alone, copies = _without_copies(single, bytes_)
+            single, bytes_ = _pick(single, bytes_, alone)
+            rows += rows_of(single, bytes_, _contents(single, bytes_))
+            found.append(copies)
+        columns, data = _pick(columns, data, kept[~split])
+        rows += rows_of(columns, data, columns["hash"])
+        spans = np.concatenate(found)
         # What is decided already passes through some bucket.
         rows += [(d % buckets, None, d, blob) for d, blob in _span_blobs(spans, doc_buckets)]
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_ROWS)], schema=_ROWS)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in batches:
-            docs, rows = (np.array(batch[c].to_numpy(zero_copy_only=False), np.int64) for c in ("doc_id", "row"))
-            for first, data, offsets in text_blocks(batch["text"], SEGMENT_BYTES):
-                n = len(offsets) - 1
-                # A long text is cut into segments that share length - 1 bytes, so each string lies in one.
-                for at in range(0, max(len(data), 1), SEGMENT_BYTES) if n == 1 else (0,):
-                    piece = data[at : at + SEGMENT_BYTES + length - 1] if n == 1 else data
-                    cuts = np.array([0, len(piece)]) if n == 1 else offsets
-                    found = _chunks(docs[first : first + n], rows[first : first + n], np.full(n, at), piece, cuts, length)
-                    held.append(found)
-                    size += len(found[1])
-                    if size >= FLUSH_BYTES:
-                        yield flush(held)
-                        size = 0
-        if held:
+        for held in _pieces(batches, length):
             yield flush(held)
 
     return deal
@@ -322,7 +395,7 @@ def _sorter(length: int, doc_buckets: int) -> Callable:
         order = np.argsort(group, kind="stable")
         order = order[members[group[order]] > 1]
         sizes = columns["size"].astype(np.int64)[first[order]]
-        # Suffix buckets in blocks of bounded size; a bucket is never split.
+        # Suffix buckets in blocks of bounded size; a bucket is never split here, large ones come dealt by string.
         total, a = np.cumsum(sizes), 0
         edges = np.flatnonzero(np.append(np.diff(group[order]) != 0, True)) + 1 if len(order) else np.zeros(0, np.int64)
         users = np.argsort(back[keep], kind="stable")
@@ -413,7 +486,7 @@ def _remover(key: tuple, sent: pa.Table, found: pa.Table) -> pa.Table:
     for doc, row, text in zip(docs["doc_id"].to_pylist(), docs["row"].to_pylist(), docs["text"]):
         raw = text.as_buffer() if text.is_valid else b""
         own = spans[:0]
-        if doc is not None:
+        if len(spans):
             own = spans[np.searchsorted(spans["doc"], doc, "left") : np.searchsorted(spans["doc"], doc, "right")]
             own = own[own["row"] == row]
         digest, at, removed, runs = hashlib.sha256(), 0, 0, []
@@ -436,6 +509,15 @@ def _remover(key: tuple, sent: pa.Table, found: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _RESULT)], schema=_RESULT)
 
 
+def _untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows without an id, which stay as they are."""
+    for batch in batches:
+        texts = [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in batch["text"]]
+        n = len(texts)
+        values = ([None] * n, [len(t) for t in texts], [0] * n, [0] * n, [hashlib.sha256(t).hexdigest() for t in texts], texts)
+        yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(values, _RESULT)], schema=_RESULT)
+
+
 _RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
@@ -456,8 +538,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     # Only where ids repeat do their rows need another mark.
     repeated = not keyed.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty()
     keyed = keyed.withColumn("row", F.xxhash64("text") if repeated else F.lit(0).cast("long"))
-    dealt = keyed.filter("doc_id is not null and text is not null").mapInArrow(_dealer(length, buckets, buckets), ROWS)
+    named = keyed.filter("doc_id is not null")
+    texts = named.filter("text is not null")
+    dealt = texts.mapInArrow(_dealer(length, buckets, buckets, hot_anchors(texts, length, total)), ROWS)
     spans = dealt.groupBy("bucket").applyInArrow(_sorter(length, buckets), "doc_bucket int, spans binary")
-    placed = keyed.withColumn("doc_bucket", F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(buckets)).cast("int"))
+    placed = named.withColumn("doc_bucket", F.pmod("doc_id", F.lit(buckets)).cast("int"))
     sent = placed.mapInArrow(_sender(buckets), "doc_bucket int, docs binary")
-    return sent.groupBy("doc_bucket").cogroup(spans.groupBy("doc_bucket")).applyInArrow(_remover, RESULT)
+    removed = sent.groupBy("doc_bucket").cogroup(spans.groupBy("doc_bucket")).applyInArrow(_remover, RESULT)
+    return removed.union(keyed.filter("doc_id is null").mapInArrow(_untouched, RESULT))

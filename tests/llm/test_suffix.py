@@ -1,5 +1,9 @@
 import hashlib
+import random
+from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from furrow.llm import suffix_dedup
@@ -38,6 +42,38 @@ def test_removed_bytes_equal_brute_force(spark, monkeypatch, seed, block):
     assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, bytes(r.kept)) for r in got), key=repr) == brute(rows, 50)
 
 
+def phrase_rows(n=400):
+    """Texts of different letters around one phrase whose hash is small, so that it is the anchor there."""
+    rng = random.Random(5)
+    letters = lambda k: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(k))
+    tries = "".join(letters(14) for _ in range(4000)).encode()
+    at = int(np.argmin(suffix_dedup._anchors(np.frombuffer(tries, np.uint8), 50)[1]))
+    phrase = tries[at : at + 14].decode()
+    rows = [(i, letters(60) + phrase + letters(60)) for i in range(n)]
+    return rows + [(n + i, letters(9) + rows[i][1][20 + i : 100 + i] + letters(9)) for i in range(20)]
+
+
+def test_strings_of_a_frequent_anchor_are_dealt_apart(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "BLOCK_STRINGS", 2_000)
+    monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", 3_000)
+    monkeypatch.setattr(suffix_dedup, "SPLIT_CHUNKS", 70)
+    held = Counter()
+    rows = phrase_rows()
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    hot = suffix_dedup.hot_anchors(frame.selectExpr("doc_id", "text", "0L row"), 50, 1)
+    assert len(hot) == 1
+    batch = pa.RecordBatch.from_pydict({"doc_id": [r[0] for r in rows], "row": [0] * len(rows), "text": [r[1] for r in rows]})
+    for out in suffix_dedup._dealer(50, 19, 19, hot)([batch]):
+        for bucket, blob in zip(out["bucket"].to_pylist(), out["chunks"].to_pylist()):
+            if blob is not None:
+                columns, _ = suffix_dedup._read(blob)
+                held[bucket] += int((columns["size"].astype(int) - 49)[columns["hash"] == hot[0]].sum())
+    assert max(held.values()) < 0.1 * sum(held.values())
+    got = remove_repeats(frame).collect()
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, bytes(r.kept)) for r in got), key=repr) == brute(rows, 50)
+    assert sum(r.n_removed for r in got) >= 20 * 80
+
+
 def test_cover_and_empty_table(spark):
     for period in (8, 16, 31):
         cover = difference_cover(period)
