@@ -312,21 +312,21 @@ class Suffixes:
         self.chunk = np.repeat(np.arange(len(size)), count)
         inner = ranges(count)
         self.at = first[self.chunk] + inner
-        self.bucket = group[self.chunk] * 64 + (columns["before"].astype(np.int64)[self.chunk] - inner)
+        self.bucket = group[self.chunk] * (length - K + 2) + (columns["before"].astype(np.int64)[self.chunk] - inner)
         self.residue = (columns["place"].astype(np.int64)[self.chunk] + inner) % COVER
         # Eight bytes from every place as a big-endian number; zeros after the end.
-        padded = np.concatenate([data, np.zeros(COVER + 64, np.uint8)]).astype(_U)
-        self.word = np.zeros(len(data) + COVER + 56, _U)
+        padded = np.concatenate([data, np.zeros(COVER + length + 16, np.uint8)]).astype(_U)
+        self.word = np.zeros(len(data) + COVER + length + 8, _U)
         for i in range(8):
             self.word = (self.word << _U(8)) | padded[i : i + len(self.word)]
         self.place_residue = np.repeat((columns["place"].astype(np.int64) - first) % COVER, size)
 
     def sample_ranks(self) -> np.ndarray:
-        """Rank of the suffix at each place of the difference cover sample, by its first 56 bytes."""
+        """Rank of the suffix at each place of the difference cover sample, by its first `length` bytes or a few more."""
         cover = difference_cover(COVER)
         places = np.arange(len(self.place_residue))
         places = places[np.isin((places + self.place_residue) % COVER, cover)]
-        keys = [self.word[places + 8 * i] for i in range(6, -1, -1)]
+        keys = [self.word[places + 8 * i] for i in range(-(-self.length // 8) - 1, -1, -1)]
         order = np.lexsort(keys)
         new = np.zeros(len(order), bool)
         for key in keys:

@@ -74,6 +74,33 @@ def test_strings_of_a_frequent_anchor_are_dealt_apart(spark, monkeypatch):
     assert sum(r.n_removed for r in got) >= 20 * 80
 
 
+@pytest.mark.parametrize("length", [50, 57, 64, 78])
+def test_strings_that_differ_late_are_told_apart(length):
+    rng = random.Random(3)
+    start = bytes(rng.choice(b"abcdefgh") for _ in range(length))
+    # One anchor and place for all, so that only the last bytes tell them apart; each content comes several times between others.
+    ends = [bytes([97 + i % 5] * 6) for i in range(60)]
+    rng.shuffle(ends)
+    texts = [start[:-6] + e for e in ends]
+    n, data = len(texts), np.frombuffer(b"".join(texts), np.uint8)
+    columns = {"before": np.full(n, 3, np.uint8), "size": np.full(n, length, np.uint8), "place": np.array([rng.randrange(99) for _ in texts], np.int32)}
+    numbers = suffix_dedup.Suffixes(columns, data, np.zeros(n, np.int64), length).classes()
+    assert len(set(zip(numbers.tolist(), texts))) == len(set(numbers.tolist())) == 5
+
+
+def test_bucket_numbers_of_groups_stay_apart():
+    columns = {"before": np.array([64, 0], np.uint8), "size": np.array([78, 78], np.uint8), "place": np.zeros(2, np.int32)}
+    found = suffix_dedup.Suffixes(columns, np.zeros(156, np.uint8), np.array([0, 1]), 78)
+    assert len(set(found.bucket.tolist())) == 2
+
+
+@pytest.mark.parametrize("length", [14, 78])
+def test_shortest_and_longest_strings(spark, length):
+    rows = document_rows(4)
+    got = remove_repeats(spark.createDataFrame(rows, SCHEMA).repartition(3), length).collect()
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, bytes(r.kept)) for r in got), key=repr) == brute(rows, length)
+
+
 def test_cover_and_empty_table(spark):
     for period in (8, 16, 31):
         cover = difference_cover(period)
