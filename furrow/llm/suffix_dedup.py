@@ -330,7 +330,8 @@ class Suffixes:
         order = np.lexsort(keys)
         new = np.zeros(len(order), bool)
         for key in keys:
-            new[1:] |= key[order][1:] != key[order][:-1]
+            key = key[order]
+            new[1:] |= key[1:] != key[:-1]
         rank = np.full(len(self.word), -1)
         rank[places[order]] = np.cumsum(new)
         return rank
@@ -338,13 +339,16 @@ class Suffixes:
     def classes(self) -> np.ndarray:
         """A number for each string, equal for strings of equal content."""
         order = np.lexsort((self.word[self.at + 8], self.word[self.at], self.bucket))
-        keys = (self.bucket, self.word[self.at], self.word[self.at + 8])
-        head = np.append(True, np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)) if len(order) else np.zeros(0, bool)
+        head = np.arange(len(order)) == 0
+        at = self.at[order]
+        for key in (self.bucket[order], self.word[at], self.word[at + 8]):
+            head[1:] |= key[1:] != key[:-1]
         if not head.all():
             order, head = self._resolve(order, head)
+            at = self.at[order]
         same = ~head
         for step in (*range(COVER, self.length - 8, 8), self.length - 8):
-            word = self.word[self.at[order] + step]
+            word = self.word[at + step]
             same[1:] &= word[1:] == word[:-1]
         numbers = np.empty(len(order), np.int64)
         numbers[order] = np.cumsum(~same)
