@@ -39,6 +39,8 @@ SECOND_PERSON = frozenset("you your yours yourself u du dich dir dein deine ihr
 DISGUISE = str.maketrans("013457@$!|", "oieastasil")
 _WORD = re.compile(r"[^\W_]+(?:[^\w\s]?[^\W_]+)*|[^\s]*[0-9@$!|*][^\s]*")
 _PLAIN = re.compile(r"[^\W\d_]+")
+_STAND_IN = re.compile(r"[013457@$!|]")
+_RUN = re.compile(r"(?:[^\W_]|[@$!|])+")
 _HIDDEN = re.compile(r"[^\W\d_][0-9@$!|*]+[^\W\d_]|(?:\b[^\W\d_][ .*-]){3,}")
 
 
@@ -46,6 +48,15 @@ def tokens(text: str) -> list[str]:
     return _PLAIN.findall(text.lower())
 
 
+def disguised(text: str) -> Iterator[set[str]]:
+    """For each run of letters, digits and stand-ins that holds a stand-in: what it may say, with and without marks at its ends."""
+    for token in text.lower().split():
+        if _STAND_IN.search(token):
+            for run in _RUN.findall(token):
+                ends = {run, run.rstrip("!|"), run.strip("!|"), run.lstrip("!|")}
+                yield {e.translate(DISGUISE) for e in ends if _STAND_IN.search(e)}
+
+
 @dataclass
 class Lexicon:
     """Weights of words and of beginnings."""
@@ -60,14 +71,14 @@ class Lexicon:
         starts = [w[:BEGINNING] for w in found if len(w) > BEGINNING]
         start_marks = sum(1 for s in starts if s in self.beginnings)
         near = 0
-        if marks and len(marks) < n:
+        if marks:
             second = np.array([i for i, w in enumerate(found) if w in SECOND_PERSON] or [-(10**9)])
             place = np.searchsorted(second, marks)
             gaps = np.minimum(np.abs(second[np.minimum(place, len(second) - 1)] - marks), np.abs(second[np.maximum(place - 1, 0)] - marks))
             near = int((gaps <= NEAR).sum())
         size = max(len(text), 1)
         hidden = _HIDDEN.findall(text)
-        unmasked = sum(1 for h in re.findall(r"\S*[0-9@$!|]\S*", text) if h.lower().translate(DISGUISE) in self.words) if hidden else 0
+        unmasked = sum(1 for said in disguised(text) if not said.isdisjoint(self.words))
         letters = max(sum(map(len, found)), 1)
         return [
             100.0 * len(marks) / n,

@@ -45,6 +45,13 @@ def test_features_of_odd_texts_are_finite():
         assert np.isfinite(lexicon.features(text)).all()
 
 
+def test_disguises_at_the_ends_and_before_punctuation_are_undone():
+    lexicon = Lexicon({"stupid": 1.0, "ass": 1.0, "idiot": 1.0}, {})
+    for text, times in (("$tupid", 1), ("an a$$", 1), ("1diot", 1), ("what an id1ot, really.", 1), ("(ID1OT!) a$$!!", 2), ("stupid! 100 $5 id-iot", 0), ("!diot|a b", 0)):
+        assert lexicon.features(text)[11] == times, text
+    assert Lexicon({"you": 1.0}, {}).features("you you")[6] == 100.0
+
+
 def test_every_row_is_scored_with_and_without_labels(spark):
     docs = spark.createDataFrame(document_rows(2), SCHEMA)
     none = spark.createDataFrame([(None, 1), (3, None)], "doc_id long, toxic int")
