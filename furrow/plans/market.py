@@ -16,6 +16,7 @@ from furrow.plans.standins import (
     month_sql,
     observations,
     price_series,
+    units,
 )
 from furrow.session import persist_reliably
 from furrow.sources.tables import table
