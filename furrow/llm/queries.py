@@ -3,6 +3,8 @@
 from furrow.llm import (  # noqa: F401
     chat_query,
     decontaminate_query,
+    drift_query,
+    fill_query,
     jaccard_query,
     langid_query,
     packing_query,
@@ -10,5 +12,6 @@ from furrow.llm import (  # noqa: F401
     quality_query,
     site_query,
     suffix_query,
+    token_files_query,
     toxicity_query,
 )
