@@ -10,9 +10,9 @@ from furrow.sources.tables import table
 
 _START_SQL = f"""
 WITH v AS MATERIALIZED (
-  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, x -> CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+  SELECT row_number() OVER () AS r, vec_id, [CAST(floor(64 * CAST(e AS DOUBLE)) AS BIGINT) FOR e IN embedding] AS x
   FROM embeddings
-  WHERE len(embedding) = 64 AND len(list_filter(embedding, x -> x IS NOT NULL AND isfinite(x) AND abs(x) <= {LARGEST // 64})) = 64),
+  WHERE len(embedding) = 64 AND len([e FOR e IN embedding IF e IS NOT NULL AND isfinite(e) AND abs(e) <= {LARGEST // 64}]) = 64),
 c0 AS MATERIALIZED (
   SELECT row_number() OVER (ORDER BY sha256('1:' || CAST(vec_id AS VARCHAR)) NULLS LAST, x) - 1 AS id, x FROM v
   QUALIFY id < {CLUSTERS})"""
@@ -23,7 +23,7 @@ def _assignment_sql(turn: int) -> str:
     return f"""
 a{turn} AS MATERIALIZED (
   SELECT r, vec_id, x, arg_min(id, d * {CLUSTERS} + id) AS cluster, min(d) AS d
-  FROM (SELECT v.r, v.vec_id, v.x, c.id, CAST(list_sum(list_transform(list_zip(v.x, c.x), p -> (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d FROM v, c{turn} c)
+  FROM (SELECT v.r, v.vec_id, v.x, c.id, CAST(list_sum([(p[1] - p[2]) * (p[1] - p[2]) FOR p IN list_zip(v.x, c.x)]) AS BIGINT) AS d FROM v, c{turn} c)
   GROUP BY r, vec_id, x)"""
 
 
