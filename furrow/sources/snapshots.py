@@ -10,7 +10,7 @@ from __future__ import annotations
 import posixpath
 import sys
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyarrow import fs
@@ -109,40 +109,92 @@ def copy_tree(spark: SparkSession, source: str, target: str, files_per_task: int
     return size.files
 
 
-def _swap(spark: SparkSession, incoming: str, target: str) -> None:
-    """Put `incoming` in the place of `target`; the old tree goes only after the new one is there."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path
-    new, place, old = path(incoming), path(target), path(f"{target}.outgoing-{uuid.uuid4().hex}")
-    store = new.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+def _siblings(spark: SparkSession, target: str) -> tuple:
+    """What earlier syncs left beside `target`: the ids of their incoming and outgoing trees and of their seals."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    place = path(target)
+    store = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found: dict[str, set[str]] = {kind: set() for kind in ("incoming", "outgoing", "sealed")}
+    if store.exists(place.getParent()):
+        for status in store.listStatus(place.getParent()):
+            for kind, ids in found.items():
+                head, mark, number = status.getPath().getName().rpartition(f".{kind}-")
+                if mark and head == place.getName():
+                    ids.add(number)
+    return store, found
+
+
+def recover_sync(spark: SparkSession, target: str) -> list[str]:
+    """Finish or undo a sync of `target` that stopped half-way; what was done, in words.
+
+    A copy that was sealed takes the target's place; one that was not is removed. A tree
+    that was set aside comes back when nothing whole can take its place. Running it again
+    changes nothing.
+    """
+    target = target.rstrip("/")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    store, found = _siblings(spark, target)
+    place, done = path(target), []
+    for number in sorted(found["sealed"]):
+        incoming, outgoing = path(f"{target}.incoming-{number}"), path(f"{target}.outgoing-{number}")
+        if number in found["incoming"]:
+            _exchange(store, incoming, place, outgoing)
+            done.append("finished")
+        store.delete(outgoing, True)
+        store.delete(path(f"{target}.sealed-{number}"), False)
+    for number in sorted(found["incoming"] - found["sealed"]):
+        store.delete(path(f"{target}.incoming-{number}"), True)
+        done.append("undone")
+    for number in sorted(found["outgoing"] - found["sealed"]):
+        outgoing = path(f"{target}.outgoing-{number}")
+        if store.exists(place):
+            store.delete(outgoing, True)
+        elif store.rename(outgoing, place):
+            done.append("restored")
+    return done
+
+
+def _exchange(store, incoming, place, outgoing) -> None:
+    """Set the target aside and put the incoming tree in its place."""
     store.mkdirs(place.getParent())
-    replacing = store.exists(place)
-    if replacing and not store.rename(place, old):
-        raise OSError(f"could not set {target} aside")
-    if not store.rename(new, place):
-        if replacing:
-            store.rename(old, place)
-        raise OSError(f"could not move {incoming} to {target}")
-    if replacing:
-        store.delete(old, True)
-
-
-def sync_release(spark: SparkSession, source: str, target: str, force: bool = False) -> str:
+    if store.exists(place) and not store.rename(place, outgoing):
+        raise OSError(f"could not set {place} aside")
+    if not store.rename(incoming, place):
+        if store.exists(outgoing):
+            store.rename(outgoing, place)
+        raise OSError(f"could not move {incoming} to {place}")
+
+
+def sync_release(spark: SparkSession, source: str, target: str, force: bool = False, on_step: Callable[[str], None] = lambda step: None) -> str:
     """Bring a release tree to `target` unless its registry is there; 'kept' or 'replaced'.
 
-    The copy is made next to the target and checked first, so a bad source
-    leaves the old release in place.
+    The copy is made next to the target, checked and sealed first, so a bad source leaves
+    the old release in place, and the next sync finishes or undoes one that stopped
+    anywhere (`recover_sync`). Between the two renames of the exchange the folder is
+    missing; readers who cannot bear that use `sources.versions`. One job at a time syncs
+    a target. `on_step` is called after 'copied', 'sealed' and 'exchanged'.
     """
     target = target.rstrip("/")
+    recover_sync(spark, target)
     if not force and registry_present(spark, target):
         return "kept"
     if list_files(spark, source).isEmpty():
         raise FileNotFoundError(f"no release files below {source}")
     if not registry_present(spark, source):
         raise FileNotFoundError(f"{REGISTRY_NAME} is missing below {source}")
-    staging = f"{target}.incoming-{uuid.uuid4().hex}"
+    number = uuid.uuid4().hex
+    staging = f"{target}.incoming-{number}"
     copy_tree(spark, source, staging)
     if not registry_present(spark, staging):
         raise FileNotFoundError(f"{REGISTRY_NAME} is missing after the copy to {staging}")
-    _swap(spark, staging, target)
+    on_step("copied")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    seal, outgoing = path(f"{target}.sealed-{number}"), path(f"{target}.outgoing-{number}")
+    store = seal.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store.create(seal, False).close()
+    on_step("sealed")
+    _exchange(store, path(staging), path(target), outgoing)
+    on_step("exchanged")
+    store.delete(outgoing, True)
+    store.delete(seal, False)
     return "replaced"
