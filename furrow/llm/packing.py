@@ -115,7 +115,7 @@ def _rows(sequences: list[tuple[int, list[Piece]]]) -> pa.RecordBatch:
 
 def _packer(path: str, length: int, limit: int, least_cut: int) -> Callable:
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordTokens(path)
+        encoder = WordTokens.shared(path)
         windows = Windows(length, limit, least_cut)
         number, ready = TaskContext.get().partitionId() << 32, []
         end = np.array([END_ID], np.uint32)

@@ -31,9 +31,9 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
 from furrow.llm.blocks import text_blocks
+from furrow.llm.cached_tokens import ByteTokens
 from furrow.operators.order import running_totals
 from furrow.session import persist_reliably, work_path
 from furrow.sources.stores import open_store, qualify
@@ -57,25 +57,26 @@ DOCUMENTS = "doc_id long, start long, n_tokens long, ids binary"
 _FRAMES = "doc_id long, n_tokens long, digest long, row long, frame binary"
 
 
-def _tokenizer(path: str) -> Tokenizer:
+def _tokenizer(path: str) -> tuple[ByteTokens, int]:
+    """The tokenizer and the bytes per id that its vocabulary needs."""
     # Tasks share their machine's cores, so the tokenizer keeps to one.
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return Tokenizer.from_file(path)
+    found = ByteTokens.shared(path)
+    return found, 2 if max(found.whole.get_vocab_size(with_added_tokens=True), END_ID + 1) <= 1 << 16 else 4
 
 
-def _width(path: str) -> int:
-    return 2 if max(Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True), END_ID + 1) <= 1 << 16 else 4
-
-
-def _serialized(tokenizer: Tokenizer, texts: list[str], width: int) -> Iterator[bytes]:
+def _serialized(tokenizer: ByteTokens, texts: pa.Array, width: int) -> Iterator[bytes]:
     """Ids of each text with the end id, as little-endian numbers of `width` bytes."""
     end = np.array([END_ID], f"<u{width}").tobytes()
-    for found in tokenizer.encode_batch_fast(texts, add_special_tokens=False):
-        yield np.array(found.ids, f"<u{width}").tobytes() + end
+    for ids in tokenizer.encode(texts):
+        yield ids.astype(f"<u{width}").tobytes() + end
 
 
 def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
     shared = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
+    if shared:
+        # Digested once, not for every document.
+        shared.precompute_compress(level=LEVEL)
     return zstandard.ZstdCompressor(level=LEVEL, dict_data=shared, write_checksum=True, write_content_size=True)
 
 
@@ -89,26 +90,26 @@ def train_dictionary(docs: DataFrame, tokenizer: str, rows: int = SAMPLE_ROWS, c
     The sample is drawn by hashes alone, so only its texts reach the driver. Empty where
     the sample is too small to train on; documents are then compressed without one.
     """
-    order = F.xxhash64(F.col("doc_id").cast("string"), F.char_length("text"))
-    fitting = docs.filter((F.char_length("text") > 0) & (F.char_length("text") <= characters))
-    chosen = fitting.select(order.alias("o")).orderBy("o").limit(rows)
-    # One row per hash; `rows` bounds both sides of the join.
-    texts = fitting.select(order.alias("o"), "text").join(F.broadcast(chosen.distinct()), "o").groupBy("o").agg(F.min("text").alias("text"))
-    sample = list(_serialized(_tokenizer(tokenizer), [r.text for r in sorted(texts.collect())], _width(tokenizer)))
+    order = F.xxhash64(F.col("doc_id").cast("string"))
+    chosen = docs.select(order.alias("o")).orderBy("o").limit(rows).distinct()
+    # One text per hash; `rows` bounds both sides of the join.
+    fitting = docs.filter((F.char_length("text") > 0) & (F.char_length("text") <= characters)).select(order.alias("o"), "text")
+    texts = fitting.join(F.broadcast(chosen), "o").groupBy("o").agg(F.min("text").alias("text"))
+    encoding, width = _tokenizer(tokenizer)
+    sample = list(_serialized(encoding, pa.array([r.text for r in sorted(texts.collect())], pa.string()), width))
     try:
         return zstandard.train_dictionary(min(size, sum(map(len, sample)) // 8), sample).as_bytes()
     except (zstandard.ZstdError, ValueError):
         return b""
 
 
-def _encoder(tokenizer: str, width: int, dictionary: bytes) -> Callable:
+def _encoder(tokenizer: str, dictionary: bytes) -> Callable:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding, compressor = _tokenizer(tokenizer), _compressor(dictionary)
+        (encoding, width), compressor = _tokenizer(tokenizer), _compressor(dictionary)
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
-            for first, data, offsets in text_blocks(batch["text"]):
-                whole = data.tobytes()
-                ids = list(_serialized(encoding, [whole[a:b].decode() for a, b in zip(offsets[:-1], offsets[1:])], width))
+            for first, _, offsets in text_blocks(batch["text"], BATCH_BYTES):
+                ids = list(_serialized(encoding, batch["text"].slice(first, len(offsets) - 1), width))
                 frames = [compressor.compress(i) for i in ids]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -182,8 +183,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str | None = None, file_
     spark = docs.sparkSession
     home = qualify(spark, path or work_path(spark, "tokens"))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    dictionary, width = train_dictionary(docs, tokenizer), _width(tokenizer)
-    frames = persist_reliably(docs.mapInArrow(_encoder(tokenizer, width, dictionary), _FRAMES))
+    dictionary, (_, width) = train_dictionary(docs, tokenizer), _tokenizer(tokenizer)
+    frames = persist_reliably(docs.mapInArrow(_encoder(tokenizer, dictionary), _FRAMES))
     total = frames.agg(F.coalesce(F.sum(F.octet_length("frame")), F.lit(0)).alias("b")).first().b
     files = max(1, -(-int(total) // file_bytes), min(spark.sparkContext.defaultParallelism, int(total) // (file_bytes // 16)))
     order = [F.col("doc_id").asc_nulls_first(), F.col("n_tokens"), F.col("digest"), F.col("row")]

@@ -1,130 +1,35 @@
-"""Token ids of whole texts for the lower-casing word tokenizer, at the speed of its distinct words.
-
-Pre-tokens of such a tokenizer are encoded one by one, so each distinct pre-token is
-encoded once per task and the ids of a text are put together from them. Texts outside
-the plain Latin range, or with a special token's string, go to the tokenizer whole.
-"""
+"""The lower-casing word tokenizer, whose pre-tokens leave white space out."""
 
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
-from tokenizers import Tokenizer, pre_tokenizers
-
-from furrow.llm.blocks import ranges, span_hashes, text_blocks
-
-# Below this code point every character is stable under composition.
-_PLAIN = 0x250
-_LETTER, _NUMBER, _OTHER, _SPACE = 1, 2, 3, 0
-_CACHE_WORDS = 1_000_000
-
-
-def _character_tables(tokenizer: Tokenizer) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Kind and lower-case form of plain characters as the tokenizer itself treats them, and which it treats otherwise."""
-    kind, lower, odd = np.zeros(_PLAIN, np.uint8), np.arange(_PLAIN, dtype=np.uint32), np.zeros(_PLAIN, bool)
-    for code in range(_PLAIN):
-        normal = tokenizer.normalizer.normalize_str(chr(code))
-        if len(normal) != 1 or ord(normal) >= _PLAIN:
-            odd[code] = True
-            continue
-        lower[code] = ord(normal)
-        pieces = [b - a for _, (a, b) in tokenizer.pre_tokenizer.pre_tokenize_str(f"a{normal}{normal}b")]
-        shape = {(4,): _LETTER, (1, 1, 1, 1): _NUMBER, (1, 2, 1): _OTHER, (1, 1): _SPACE}
-        kind[code] = shape.get(tuple(pieces), 0)
-        odd[code] = tuple(pieces) not in shape
-    return kind, lower, odd
-
-
-class WordTokens:
-    """Encodes Arrow string columns; texts with `special` strings go to the tokenizer itself."""
 
-    def __init__(self, path: str):
-        self.whole = Tokenizer.from_file(path)
-        self.kind, self.lower, self.odd = _character_tables(self.whole)
-        self.bare = Tokenizer(self.whole.model)
-        self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self._forget()
-
-    def _forget(self) -> None:
-        self.keys, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.uint32)
-
-    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
-        found = [e.ids for e in self.bare.encode_batch_fast(words, add_special_tokens=False)]
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        at = len(self.flat) + np.cumsum(size) - size
-        self.flat = np.concatenate([self.flat, np.fromiter((i for ids in found for i in ids), np.uint32, int(size.sum()))])
-        self.keys, self.at, self.size = (np.concatenate(x) for x in ((self.keys, keys), (self.at, at), (self.size, size)))
-        order = np.argsort(self.keys)
-        self.keys, self.at, self.size = self.keys[order], self.at[order], self.size[order]
-
-    def _starts(self, codes: np.ndarray, kind: np.ndarray, heads: np.ndarray) -> np.ndarray:
-        """First characters of pre-tokens: runs of letters, single numbers, runs of others, English contractions."""
-        before = np.empty_like(kind)
-        before[0:1] = _SPACE
-        before[1:] = kind[:-1]
-        before[heads] = _SPACE
-        start = (kind != _SPACE) & ((kind != before) | (kind == _NUMBER))
-        quotes = np.flatnonzero(start & (codes == 39))
-        if len(quotes):
-            tail = np.zeros(len(codes), bool)
-            tail[heads] = True
-            for q in quotes.tolist():
-                rest = "".join(map(chr, codes[q + 1 : q + 3]))
-                size = 1 if rest[:1] in ("s", "t", "m", "d") and rest else 2 if rest in ("re", "ve", "ll") else 0
-                # The contraction must lie inside the text.
-                if size and not tail[q + 1 : q + 1 + size].any():
-                    start[q + 1] = False
-                    after = q + 1 + size
-                    if after < len(codes) and kind[after] != _SPACE:
-                        start[after] = True
-        return start
-
-    def _plain_ids(self, texts: list[str]) -> list[np.ndarray]:
-        raw = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
-        codes = self.lower[raw]
-        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-        offsets = np.concatenate([[0], np.cumsum(lengths)])
-        kind = self.kind[codes]
-        heads = offsets[:-1][lengths > 0]
-        start = self._starts(codes, kind, heads)
+from furrow.llm.cached_tokens import LETTER, NUMBER, OTHER, PLAIN, SPACE, CachedTokens, cut_contractions, runs
+
+
+class WordTokens(CachedTokens):
+    """Runs of letters, single numbers, runs of others, English contractions."""
+
+    def character_tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        kind, lower, odd = np.zeros(PLAIN, np.uint8), np.arange(PLAIN, dtype=np.uint32), np.zeros(PLAIN, bool)
+        for code in range(PLAIN):
+            normal = self.whole.normalizer.normalize_str(chr(code))
+            if len(normal) != 1 or ord(normal) >= PLAIN:
+                odd[code] = True
+                continue
+            lower[code] = ord(normal)
+            pieces = [b - a for _, (a, b) in self.whole.pre_tokenizer.pre_tokenize_str(f"a{normal}{normal}b")]
+            shape = {(4,): LETTER, (1, 1, 1, 1): NUMBER, (1, 2, 1): OTHER, (1, 1): SPACE}
+            kind[code] = shape.get(tuple(pieces), 0)
+            odd[code] = tuple(pieces) not in shape
+        return kind, lower, odd
+
+    def cuts(self, codes: np.ndarray, kind: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        start, head = runs(codes, kind, heads)
+        start = (start | (kind == NUMBER)) & (kind != SPACE)
+        cut_contractions(codes, kind, start, head)
         starts = np.flatnonzero(start)
         # A pre-token ends where the next one starts or at the next space or text.
-        stop = np.flatnonzero(start | (kind == _SPACE))
-        stop = np.union1d(stop, heads)
-        nxt = np.searchsorted(stop, starts, "right")
-        ends = np.append(stop, len(codes))[nxt]
-        keys = span_hashes(codes, starts, ends)
-        if len(self.keys) > _CACHE_WORDS:
-            self._forget()
-        distinct, first, back = np.unique(keys, return_index=True, return_inverse=True)
-        place = np.minimum(np.searchsorted(self.keys, distinct), max(len(self.keys) - 1, 0))
-        new = self.keys[place] != distinct if len(self.keys) else np.ones(len(distinct), bool)
-        if new.any():
-            low = codes.tobytes().decode("utf-32-le")
-            self._learn(distinct[new], [low[a:b] for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist())])
-            place = np.searchsorted(self.keys, distinct)
-        place = place[back]
-        size = self.size[place]
-        ids = self.flat[np.repeat(self.at[place], size) + ranges(size)]
-        total = np.concatenate([[0], np.cumsum(size)])
-        cuts = total[np.searchsorted(starts, offsets)]
-        return [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
-
-    def _is_plain(self, text: str) -> bool:
-        if text.isascii():
-            codes = ()
-        else:
-            codes = set(text)
-        return all(ord(c) < _PLAIN and not self.odd[ord(c)] for c in codes) and not any(s in text for s in self.special)
-
-    def encode(self, column: pa.Array):
-        """Ids of each text of the column in turn."""
-        for row, data, offsets in text_blocks(column):
-            whole = bytes(data)
-            texts = [whole[a:b].decode() for a, b in zip(offsets[:-1], offsets[1:])]
-            plain = [self._is_plain(t) for t in texts]
-            fast = iter(self._plain_ids([t for t, p in zip(texts, plain) if p]))
-            for text, p in zip(texts, plain):
-                yield next(fast) if p else np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
+        stop = start | (kind == SPACE) | head[:-1]
+        stops = np.append(np.flatnonzero(stop), len(codes))
+        return starts, stops[np.cumsum(stop)[starts]]

@@ -8,6 +8,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from furrow.llm import token_files
+from furrow.llm.cached_tokens import ByteTokens
 from furrow.llm.token_files import read_documents, read_tokens, train_dictionary, write_tokens
 from furrow.session import work_path
 from tests.llm.cases import SCHEMA, document_rows
@@ -77,8 +78,17 @@ def test_the_shared_dictionary_pays_off_for_short_documents(spark):
     dictionary = train_dictionary(docs, PATH)
     assert dictionary and dictionary == train_dictionary(docs.repartition(7), PATH)
     texts = [r.text for r in docs.limit(200).collect()]
-    raw = list(token_files._serialized(token_files._tokenizer(PATH), texts, 2))
+    raw = list(token_files._serialized(token_files._tokenizer(PATH)[0], pa.array(texts), 2))
     alone, shared = (sum(len(token_files._compressor(d).compress(r)) for r in raw) for d in (b"", dictionary))
     assert shared < 0.8 * alone
     assert [token_files._decompressor(dictionary).decompress(token_files._compressor(dictionary).compress(r)) for r in raw[:5]] == raw[:5]
     assert train_dictionary(docs.limit(1), PATH) == b"" and pa.array(raw).null_count == 0
+
+
+def test_cached_ids_equal_the_tokenizer():
+    whole = Tokenizer.from_file(PATH)
+    rng = random.Random(3)
+    texts = ["", "It's we'll 'tis o'clock's 're''s 12'm don'T", "a<|endoftext|>b", "İstanbul ǅ éè́ ñ\x85x\xa0y", "½² ...''s  's\n's", None, "x" * 5000, " ", "\n\n", " a", "a  b\n\n c \t", "中文 字"]
+    texts += ["".join(rng.choice("abÉß'stmdrevl .,12\n\t\xa0²_é") for _ in range(rng.randrange(80))) for _ in range(1500)]
+    got = list(ByteTokens(PATH).encode(pa.array(texts, pa.string())))
+    assert [ids.tolist() for ids in got] == [whole.encode(t or "", add_special_tokens=False).ids for t in texts]
