@@ -220,11 +220,10 @@ def cluster(vectors: DataFrame, k: int = CLUSTERS, rounds: int = ROUNDS, scale:
         loose = loosening(centroids, moved, radii)
         centroids = moved
         state = persist_reliably(state.mapInArrow(_tightener(centroids, drift, loose), _STATE))
-    digests = [(i, hashlib.sha256(",".join(map(str, c)).encode()).hexdigest()) for i, c in enumerate(centroids.tolist())]
-    names = state.sparkSession.createDataFrame(digests, "cluster int, centroid_sha256 string")
-    sums = state.groupBy("cluster").agg(F.sum(F.col("distance").cast("decimal(38,0)")).alias("s"))
-    whole = sums.agg(F.sum("s").alias("t"))
-    facts = sums.join(F.broadcast(whole)).join(names, "cluster").select("cluster", F.expr("try_cast(s AS long)").alias("cluster_inertia"), F.expr("try_cast(t AS long)").alias("inertia"), "centroid_sha256")
-    # k rows.
+    # At most k rows; a sum beyond a long is null.
+    sums = {r.cluster: int(r.s) for r in state.groupBy("cluster").agg(F.sum(F.col("distance").cast("decimal(38,0)")).alias("s")).collect()}
+    long = lambda x: x if x < 1 << 63 else None
+    named = [(i, hashlib.sha256(",".join(map(str, c)).encode()).hexdigest(), long(sums.get(i, 0)), long(sum(sums.values()))) for i, c in enumerate(centroids.tolist())]
+    facts = state.sparkSession.createDataFrame(named, "cluster int, centroid_sha256 string, cluster_inertia long, inertia long")
     joined = state.join(F.broadcast(facts), "cluster")
     return joined.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256", "scanned")
