@@ -97,19 +97,45 @@ class Lexicon:
         ]
 
 
-def _odds(texts: list[list[str]], labels: np.ndarray) -> dict[str, float]:
-    """Terms that labelled texts hold far more often than others, by smoothed log odds of documents."""
-    toxic, clean = Counter(), Counter()
-    for terms, y in zip(texts, labels):
-        (toxic if y else clean).update(set(terms))
-    n1, n0 = max(int(labels.sum()), 1), max(int(len(labels) - labels.sum()), 1)
-    odds = {t: float(np.log((c + 0.5) / (n1 + 1)) - np.log((clean[t] + 0.5) / (n0 + 1))) for t, c in toxic.items() if c >= LEAST_TEXTS}
-    return {t: o for t, o in odds.items() if o >= LEAST_ODDS}
+def _terms(text: str) -> tuple[set[str], set[str]]:
+    """The words and the beginnings of longer words that a text holds."""
+    found = set(tokens(text))
+    return found, {w[:BEGINNING] for w in found if len(w) > BEGINNING}
 
 
-def learn_lexicon(texts: list[str], labels: np.ndarray) -> Lexicon:
-    found = [tokens(t) for t in texts]
-    return Lexicon(_odds(found, labels), _odds([[w[:BEGINNING] for w in f if len(w) > BEGINNING] for f in found], labels))
+class TermCounts:
+    """In how many texts of each fold and label a term stands; of clean texts only terms that could enter a lexicon count.
+
+    Texts are taken one by one, toxic ones first, so nothing but the counts stays.
+    """
+
+    def __init__(self, texts: list[str], labels: np.ndarray, folds: np.ndarray):
+        self.kinds = []
+        self.rows = {y: np.bincount(folds[(labels > 0) == y], minlength=FOLDS) for y in (True, False)}
+        toxic = [[Counter() for _ in range(FOLDS)] for _ in range(2)]
+        for i in np.flatnonzero(labels > 0).tolist():
+            for counts, terms in zip(toxic, _terms(texts[i])):
+                counts[folds[i]].update(terms)
+        possible = [{t for t, c in sum(counts, Counter()).items() if c >= LEAST_TEXTS} for counts in toxic]
+        clean = [[Counter() for _ in range(FOLDS)] for _ in range(2)]
+        for i in np.flatnonzero(labels <= 0).tolist():
+            for counts, terms, wanted in zip(clean, _terms(texts[i]), possible):
+                counts[folds[i]].update(terms & wanted)
+        self.kinds = list(zip(possible, toxic, clean))
+
+    def lexicon(self, without: int | None = None) -> "Lexicon":
+        """Terms that toxic texts hold far more often than others, by smoothed log odds of texts; one fold may stay out."""
+        kept = [k for k in range(FOLDS) if k != without]
+        n1, n0 = (max(int(self.rows[y][kept].sum()), 1) for y in (True, False))
+        found = []
+        for possible, toxic, clean in self.kinds:
+            odds = {}
+            for term in possible:
+                c, other = sum(toxic[k][term] for k in kept), sum(clean[k][term] for k in kept)
+                if c >= LEAST_TEXTS:
+                    odds[term] = float(np.log((c + 0.5) / (n1 + 1)) - np.log((other + 0.5) / (n0 + 1)))
+            found.append({t: o for t, o in odds.items() if o >= LEAST_ODDS})
+        return Lexicon(*found)
 
 
 class Trees:
@@ -219,9 +245,9 @@ def fit(texts: list[str], labels: np.ndarray) -> ToxicityModel:
     labels = labels.astype(float)
     fold = np.arange(len(texts)) % FOLDS
     x = np.zeros((len(texts), len(Lexicon({}, {}).features(""))))
+    counts = TermCounts(texts, labels, fold)
     for k in range(FOLDS):
-        others = np.flatnonzero(fold != k)
-        part = learn_lexicon([texts[i] for i in others], labels[others])
+        part = counts.lexicon(without=k)
         for i in np.flatnonzero(fold == k):
             x[i] = part.features(texts[i])
     raw = np.zeros(len(texts))
@@ -229,7 +255,7 @@ def fit(texts: list[str], labels: np.ndarray) -> ToxicityModel:
         held = fold == k
         if held.any():
             raw[held] = Trees().fit(x[~held], labels[~held]).raw(x[held])
-    return ToxicityModel(learn_lexicon(texts, labels), Trees().fit(x, labels), Isotonic().fit(raw, labels))
+    return ToxicityModel(counts.lexicon(), Trees().fit(x, labels), Isotonic().fit(raw, labels))
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, characters: int = SAMPLE_CHARACTERS) -> ToxicityModel:

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 
+from furrow.llm import toxicity
 from furrow.llm.toxicity import Isotonic, Lexicon, Trees, fit, score, train
 from tests.llm.cases import SCHEMA, document_rows, prose
 
@@ -29,6 +30,25 @@ def test_held_out_texts_are_told_apart():
     assert scores[labels > 0].min() > np.median(scores[labels == 0])
 
 
+def test_lexicons_equal_plain_counts():
+    texts, labels = labelled(5, 400)
+    folds = np.arange(len(texts)) % toxicity.FOLDS
+    counts = toxicity.TermCounts(texts, labels, folds)
+    for without in (None, 0, 2):
+        rows = [(set(toxicity.tokens(t)), y > 0) for t, y, k in zip(texts, labels, folds) if k != without]
+        n1, n0 = sum(y for _, y in rows), sum(not y for _, y in rows)
+        for cut, got in ((None, counts.lexicon(without).words), (toxicity.BEGINNING, counts.lexicon(without).beginnings)):
+            sets = [({w[:cut] for w in found if cut is None or len(w) > cut}, y) for found, y in rows]
+            want = {}
+            for term in set().union(*(s for s, _ in sets)):
+                c, other = (sum(term in s for s, y in sets if y == label) for label in (True, False))
+                odds = np.log((c + 0.5) / (n1 + 1)) - np.log((other + 0.5) / (n0 + 1))
+                if c >= toxicity.LEAST_TEXTS and odds >= toxicity.LEAST_ODDS:
+                    want[term] = odds
+            assert want and got.keys() == want.keys() and all(abs(got[t] - want[t]) < 1e-12 for t in want)
+    assert toxicity.TermCounts([], np.zeros(0), np.zeros(0, int)).lexicon() == Lexicon({}, {})
+
+
 def test_isotonic_fit_rises_and_trees_learn_a_step():
     rng = np.random.default_rng(0)
     raw = rng.normal(size=500)
