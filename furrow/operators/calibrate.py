@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import VectorAssembler
+from dataclasses import dataclass
+from math import log
+
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from furrow.functions import exact
 from furrow.operators.order import running_totals
+from furrow.session import persist_reliably
 
 
 def score_table(scored: DataFrame, digits: int | None = None) -> DataFrame:
@@ -37,9 +39,68 @@ def fit_isotonic(scored: DataFrame, digits: int | None = None) -> IsotonicRegres
     ).fit(rows)
 
 
-def fit_logistic(scored: DataFrame) -> LogisticRegressionModel:
-    rows = VectorAssembler(inputCols=["score"], outputCol="features").transform(scored)
-    return LogisticRegression(labelCol="label", maxIter=50).fit(rows)
+@dataclass(frozen=True)
+class LogisticLine:
+    """Log odds as a line over the score, how many Newton steps it took and whether they settled."""
+
+    slope: float
+    intercept: float
+    steps: int
+    settled: bool
+
+    @property
+    def coefficients(self) -> list[float]:
+        return [self.slope]
+
+    def probability(self, score: Column) -> Column:
+        return F.lit(1.0) / (F.lit(1.0) + F.exp(-(self.slope * score + F.lit(self.intercept))))
+
+
+def _logistic_sums(counts: DataFrame, slope: float, intercept: float) -> Row:
+    """Deviance, gradient and Hessian of a line: sums over distinct scores, whatever the number of rows."""
+    line = F.lit(slope) * F.col("score") + F.lit(intercept)
+    p = F.lit(1.0) / (F.lit(1.0) + F.exp(-line))
+    miss, weight = F.col("n_pos") - F.col("n") * p, F.col("n") * p * (F.lit(1.0) - p)
+    # log(1 + exp(line)) without overflow.
+    log_sum = F.greatest(line, F.lit(0.0)) + F.log1p(F.exp(-F.abs(line)))
+    s = F.col("score")
+    parts = {"deviance": F.col("n") * log_sum - F.col("n_pos") * line, "g0": miss, "g1": miss * s, "h00": weight, "h01": weight * s, "h11": weight * s * s}
+    return counts.agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(k) for k, c in parts.items()]).first()
+
+
+def fit_logistic(scored: DataFrame, tolerance: float = 1e-10, max_steps: int = 50) -> LogisticLine:
+    """The line of largest likelihood for log odds, by Newton steps from zero, halved while they make things worse.
+
+    Rows with a null score or label, or a score that is no number, are left out. Without
+    two distinct scores the slope is zero; without both labels too, and the intercept is
+    that of the share with one row of half a positive added. Labels that a score parts
+    altogether have no finite line: the steps then end at `max_steps`, unsettled. Each
+    step reads the table of distinct scores once.
+    """
+    usable = scored.select(F.col("score").cast("double").alias("score"), "label").filter("score is not null and not isnan(score) and label is not null")
+    counts = persist_reliably(score_table(usable))
+    facts = counts.agg(F.sum("n").alias("n"), F.sum("n_pos").alias("n_pos"), F.count(F.lit(1)).alias("scores")).first()
+    if facts.scores < 2 or facts.n_pos in (0, facts.n):
+        n, n_pos = facts.n or 0, facts.n_pos or 0
+        share = n_pos / n if 0 < n_pos < n else (n_pos + 0.5) / (n + 1)
+        return LogisticLine(0.0, log(share / (1 - share)), 0, True)
+    slope = intercept = 0.0
+    now = _logistic_sums(counts, slope, intercept)
+    for step in range(1, max_steps + 1):
+        det = now.h00 * now.h11 - now.h01 * now.h01
+        if det <= 0:
+            break
+        up, along = (now.h11 * now.g0 - now.h01 * now.g1) / det, (now.h00 * now.g1 - now.h01 * now.g0) / det
+        share, after = 1.0, None
+        while share > 1e-6:
+            after = _logistic_sums(counts, slope + share * along, intercept + share * up)
+            if after.deviance <= now.deviance * (1 + 1e-12) + 1e-12:
+                break
+            share /= 2
+        slope, intercept, now = slope + share * along, intercept + share * up, after
+        if max(abs(up), abs(along)) * share <= tolerance * max(1.0, abs(slope), abs(intercept)):
+            return LogisticLine(slope, intercept, step, True)
+    return LogisticLine(slope, intercept, max_steps, False)
 
 
 def reliability_bins(scored: DataFrame, bins: int = 10) -> DataFrame:

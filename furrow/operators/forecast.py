@@ -165,3 +165,57 @@ def train_global(features: DataFrame, inputs: Sequence[str], label: str, seed: i
     settings = {"maxIter": 20, "maxDepth": 5, "subsamplingRate": 1.0, **params}
     booster = GBTRegressor(featuresCol="features", labelCol=label, predictionCol="forecast", seed=seed, **settings)
     return Pipeline(stages=[assembler, booster]).fit(features.dropna(subset=[*inputs, label]))
+
+
+def _gram(rows: DataFrame, inputs: Sequence[str], label: str, by: Sequence[str]) -> DataFrame:
+    """Counts, sums and products of inputs and label per group: exact decimals, added where the rows lie."""
+    names = [*inputs, label]
+    values = [exact.decimal(F.col(c), 6).alias(f"x{i}") for i, c in enumerate(names)]
+    whole = rows.dropna(subset=names).select(*by, *values)
+    sums = [F.sum(f"x{i}").alias(f"s{i}") for i in range(len(names))]
+    products = [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}_{j}") for i in range(len(inputs)) for j in range(i, len(names))]
+    return whole.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *sums, *products)
+
+
+def fit_ridge(rows: DataFrame, inputs: Sequence[str], label: str, by: Sequence[str] = (), penalty: float = 1.0) -> DataFrame:
+    """Ridge regression per group, or one over all rows: (by, n, intercept, one coefficient per input).
+
+    Rows with an empty input or label are left out; no rows give no model. Values count to
+    the millionth. The Gram matrix is a mergeable sum, so nothing is sampled and no group
+    meets in one task; the centred system, with `penalty` on its diagonal, is solved in the
+    group's own row by a Cholesky factor. A positive penalty keeps it solvable.
+    """
+    if penalty <= 0:
+        raise ValueError("the penalty must be positive")
+    p = len(inputs)
+    wide = lambda name: exact.wide(F.col(name))
+    n = exact.wide(F.col("n"))
+    centred = {f"a{i}_{j}": wide(f"q{i}_{j}") - wide(f"s{i}") * wide(f"s{j}") / n for i in range(p) for j in range(i, p + 1)}
+    for i in range(p):
+        centred[f"a{i}_{i}"] = centred[f"a{i}_{i}"] + F.lit(penalty)
+    means = {f"m{i}": wide(f"s{i}") / n for i in range(p + 1)}
+    solved = _gram(rows, inputs, label, by).filter("n > 0").withColumns(centred | means)
+    # Each step only reads columns of earlier ones, so no expression is written out twice.
+    less = lambda start, terms: F.col(start) - sum(terms[1:], terms[0]) if terms else F.col(start)
+    for j in range(p):
+        solved = solved.withColumn(f"l{j}_{j}", F.sqrt(less(f"a{j}_{j}", [F.col(f"l{j}_{k}") * F.col(f"l{j}_{k}") for k in range(j)])))
+        # The label's column takes part like one more row of the factor: that solves the first triangle.
+        solved = solved.withColumns({f"l{i}_{j}": less(f"a{j}_{i}", [F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}") for k in range(j)]) / F.col(f"l{j}_{j}") for i in range(j + 1, p + 1)})
+    for i in reversed(range(p)):
+        solved = solved.withColumn(f"b{i}", less(f"l{p}_{i}", [F.col(f"l{k}_{i}") * F.col(f"b{k}") for k in range(i + 1, p)]) / F.col(f"l{i}_{i}"))
+    lines = [F.col(f"b{i}") * F.col(f"m{i}") for i in range(p)]
+    return solved.select(*by, "n", less(f"m{p}", lines).alias("intercept"), *[F.col(f"b{i}").alias(c) for i, c in enumerate(inputs)])
+
+
+def forecast_ridge(rows: DataFrame, models: DataFrame, inputs: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """`rows` with `forecast`; null where an input is empty or the group has no model. Values count to the millionth."""
+    line = lambda intercept, slopes: sum([slope * exact.wide(exact.decimal(F.col(c), 6)) for c, slope in slopes.items()], intercept)
+    if not by:
+        # One row, as many numbers as inputs.
+        found = models.first()
+        if found is None:
+            return rows.withColumn("forecast", F.lit(None).cast("double"))
+        return rows.withColumn("forecast", line(F.lit(found["intercept"]), {c: F.lit(found[c]) for c in inputs}))
+    renamed = models.select(*by, *[F.col(c).alias(f"_{c}") for c in ("intercept", *inputs)])
+    joined = join_with_nulls(rows, broadcast_if_small(renamed), by, "left")
+    return joined.withColumn("forecast", line(F.col("_intercept"), {c: F.col(f"_{c}") for c in inputs})).drop(*[f"_{c}" for c in ("intercept", *inputs)])

@@ -64,6 +64,10 @@ def rewrite_by_rule_table(
             F.size("_parts") >= depth, F.array_join(F.slice("_parts", 1, depth), "/")
         )
         match = lead == F.col(key)
+        if known.size > max_bytes:
+            # Shorter paths match nothing; null keys would all be dealt to one partition.
+            apart = F.concat(F.lit("/"), F.xxhash64(text).cast("string"))
+            match = (F.coalesce(lead, apart) == F.col(key)) & (F.size("_parts") >= depth)
         for name in scope:
             match = match & (F.col(name) == F.col(f"_{name}{depth}"))
         result = result.join(side, match, "left").drop(

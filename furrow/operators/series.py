@@ -49,3 +49,34 @@ def subtotals(facts: DataFrame, sets: Sequence[Sequence[str]], columns: Sequence
         "n",
         F.col("v").cast("double").alias("value"),
     )
+
+
+def gap_free(series: DataFrame, key: Sequence[str], value: str = "value") -> DataFrame:
+    """Every month from a key's first to its last: (key, t, observed, last_value, interpolated).
+
+    `series` has one row per key and month `t`; rows with a null value count as gaps, and
+    keys without any value drop out. A gap carries the value before it and a point on the
+    straight line to the value after it. Each known month writes out the months up to the
+    next one, so no calendar is joined and only known months are sorted.
+    """
+    order = Window.partitionBy(*key).orderBy("t")
+    known = series.filter(F.col(value).isNotNull()).select(*key, "t", F.col(value).alias("_v"))
+    known = known.withColumns({"_next_t": F.lead("t").over(order), "_next_v": F.lead("_v").over(order)})
+    months = F.sequence(F.col("t"), F.coalesce(F.col("_next_t") - 1, F.col("t")))
+    rows = known.select("*", F.explode(months).alias("_t"))
+    low, high = F.col("_v").cast("double"), F.col("_next_v").cast("double")
+    share = (F.col("_t") - F.col("t")).cast("double") / (F.col("_next_t") - F.col("t")).cast("double")
+    observed = F.col("_t") == F.col("t")
+    return rows.select(
+        *key,
+        F.col("_t").alias("t"),
+        observed.alias("observed"),
+        F.col("_v").alias("last_value"),
+        F.when(observed, low).otherwise(low + share * (high - low)).alias("interpolated"),
+    )
+
+
+def month_lags(dense: DataFrame, key: Sequence[str], lags: Sequence[int], value: str = "interpolated") -> DataFrame:
+    """Values so many months before, from a gap-free series: a row is a month, so rows back are months back."""
+    order = Window.partitionBy(*key).orderBy("t")
+    return dense.withColumns({f"month_lag_{k}": F.lag(value, k).over(order) for k in lags})

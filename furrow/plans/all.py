@@ -1,3 +1,3 @@
 """Imports every plan module, which registers its queries."""
 
-from furrow.plans import environment, feedback, files, manifests, market, paths, releases, scoring, settings, versions  # noqa: F401
+from furrow.plans import environment, feedback, files, manifests, market, paths, rejects, releases, scoring, settings, versions  # noqa: F401

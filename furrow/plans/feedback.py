@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from furrow.operators import feedback, series
 from furrow.plans.registry import query
-from furrow.plans.standins import EVENT_NUMBER_SQL, amount, event_number, families, lines, month_sql
+from furrow.plans.standins import EVENT_NUMBER_SQL, PRICE_SERIES_SQL, amount, event_number, families, lines, month_sql, price_series
 from furrow.session import work_path
 from furrow.sources import logs
 from furrow.sources.tables import table
@@ -192,6 +192,27 @@ def chart_running(spark: SparkSession, base: str) -> DataFrame:
     return series.running_series(_facts(spark, base), "family", "v")
 
 
+@query(
+    "chart_gap_free",
+    f"""
+WITH {PRICE_SERIES_SQL},
+k AS (SELECT crop_id, t, value, lead(t) OVER w AS next_t, lead(value) OVER w AS next_v FROM series WINDOW w AS (PARTITION BY crop_id ORDER BY t)),
+m AS (SELECT *, unnest(range(t, coalesce(next_t, t + 1))) AS s FROM k),
+d AS (SELECT crop_id, CAST(s AS INTEGER) AS t, s = t AS observed, CAST(value AS DOUBLE) AS last_value,
+             CASE WHEN s = t THEN CAST(value AS DOUBLE)
+                  ELSE CAST(value AS DOUBLE) + CAST(s - t AS DOUBLE) / CAST(next_t - t AS DOUBLE) * (CAST(next_v AS DOUBLE) - CAST(value AS DOUBLE)) END AS interpolated
+      FROM m)
+SELECT *, coalesce(lag(interpolated, 1) OVER w, -1) AS month_lag_1, coalesce(lag(interpolated, 12) OVER w, -1) AS month_lag_12
+FROM d WINDOW w AS (PARTITION BY crop_id ORDER BY t)
+""",
+)
+def chart_gap_free(spark: SparkSession, base: str) -> DataFrame:
+    """Monthly prices without gaps, and lags by month rather than by row."""
+    dense = series.gap_free(price_series(spark, base), ["crop_id"])
+    lagged = series.month_lags(dense, ["crop_id"], (1, 12)).withColumn("last_value", F.col("last_value").cast("double"))
+    return lagged.withColumns({c: F.coalesce(c, F.lit(-1.0)) for c in ("month_lag_1", "month_lag_12")})
+
+
 @query(
     "chart_subtotals",
     _FACTS_SQL
@@ -232,6 +253,26 @@ def stream_training_samples(spark: SparkSession, base: str) -> DataFrame:
     return _show(streams.settle(closed))
 
 
+@query("stream_first_labels", _SAMPLES_SQL)
+def stream_first_labels(spark: SparkSession, base: str) -> DataFrame:
+    """Both logs as streams that grow between two runs; join and first feedback are two stateful steps of one stream."""
+    root = work_path(spark, "stream-labels")
+    inference_path, feedback_path = f"{root}/inference", f"{root}/feedback"
+    requests, reactions = inference_log(spark, base), feedback_log(spark, base)
+
+    def samples(read: Callable[[str, str], DataFrame]) -> DataFrame:
+        marked = [read(path, schema).withWatermark("ts", DELAY) for path, schema in ((inference_path, logs.INFERENCE_SCHEMA), (feedback_path, logs.FEEDBACK_SCHEMA))]
+        return streams.first_labels(*marked, BOUND)
+
+    for late in (False, True):
+        part = F.col("ts") >= F.lit(HALF_WAY)
+        logs.append_log(requests.filter(part if late else ~part), inference_path)
+        logs.append_log(reactions.filter(part if late else ~part), feedback_path)
+        runs.append_to_parquet(samples(lambda path, schema: logs.stream_log(spark, path, schema)), f"{root}/samples", f"{root}/checkpoint")
+    whole = samples(lambda path, schema: logs.read_log(spark, path, schema))
+    return _show(streams.close_bounded(spark.read.parquet(f"{root}/samples"), whole, ["request_id"]))
+
+
 @query(
     "stream_daily_counts",
     """

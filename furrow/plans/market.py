@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from furrow.functions import exact
 from furrow.functions.calendar import month_label, year_of
-from furrow.operators import features, forecast
+from furrow.operators import features, forecast, nearest
 from furrow.plans.registry import query
 from furrow.plans.standins import (
     OBSERVATIONS_SQL,
@@ -161,16 +161,54 @@ def _rolling_sql(k: int) -> str:
          / CAST(count(value) OVER {_frame(k)} * (count(value) OVER {_frame(k)} - 1) AS DOUBLE)) END AS std_{k}"""
 
 
+_KNOWN_SQL = "lower(trim(p_name)) || ' ' || lower(p_brand)"
+_SPELT_SQL = f"""CASE p_partkey % 4
+           WHEN 0 THEN left(k, CAST(p_size % 9 AS INTEGER)) || substr(k, CAST(p_size % 9 + 2 AS INTEGER))
+           WHEN 1 THEN left(k, CAST(p_size % 7 AS INTEGER)) || 'xy' || substr(k, CAST(p_size % 7 + 1 AS INTEGER))
+           WHEN 2 THEN left(k, CAST(p_size % 8 AS INTEGER)) || 'q' || substr(k, CAST(p_size % 8 + 2 AS INTEGER)) || '#'
+           ELSE k || ' of the old sort' END"""
+
+
 @query(
-    "lag_features",
+    "mapping_nearest",
     f"""
+WITH p AS (SELECT p_partkey, p_size, {_KNOWN_SQL} AS k FROM part),
+known AS (SELECT DISTINCT k FROM p WHERE p_size < 25),
+spelt AS (SELECT DISTINCT {_SPELT_SQL} AS name FROM p)
+SELECT name, k AS candidate, CAST(levenshtein(name, k) AS INTEGER) AS distance
+FROM spelt, known WHERE abs(length(name) - length(k)) <= 2 AND levenshtein(name, k) <= 2
+""",
+)
+def mapping_nearest(spark: SparkSession, base: str) -> DataFrame:
+    """Misspelt source names with the mapped names within two edits."""
+    name = F.concat(F.lower(F.trim("p_name")), F.lit(" "), F.lower("p_brand"))
+    parts = table(spark, base, "part").select("p_partkey", "p_size", name.alias("k"))
+    cut = lambda n, skip: (F.substring(F.col("k"), F.lit(1), F.col("p_size") % n), F.substring(F.col("k"), F.col("p_size") % n + 1 + skip, F.char_length("k")))
+    dropped, doubled, changed = cut(9, 1), cut(7, 0), cut(8, 1)
+    turn = F.col("p_partkey") % 4
+    spelt = (
+        F.when(turn == 0, F.concat(*dropped))
+        .when(turn == 1, F.concat(doubled[0], F.lit("xy"), doubled[1]))
+        .when(turn == 2, F.concat(changed[0], F.lit("q"), changed[1], F.lit("#")))
+        .otherwise(F.concat("k", F.lit(" of the old sort")))
+    )
+    return nearest.nearest_names(parts.select(spelt.alias("name")), parts.filter("p_size < 25").select(F.col("k").alias("name")))
+
+
+_FEATURES_SQL = f"""
 WITH {PRICE_SERIES_SQL},
 f AS (
   SELECT crop_id, t, CAST(t // 12 + 1970 AS INTEGER) AS year, CAST(t % 12 + 1 AS INTEGER) AS month,
          CAST(value AS DOUBLE) AS price,
          CAST(lag(value, 1) OVER w AS DOUBLE) AS lag_1, CAST(lag(value, 3) OVER w AS DOUBLE) AS lag_3,
          CAST(lag(value, 12) OVER w AS DOUBLE) AS lag_12, {_rolling_sql(3)}, {_rolling_sql(12)}
-  FROM series WINDOW w AS (PARTITION BY crop_id ORDER BY t))
+  FROM series WINDOW w AS (PARTITION BY crop_id ORDER BY t))"""
+
+
+@query(
+    "lag_features",
+    _FEATURES_SQL
+    + """
 SELECT crop_id, t, year, month, price, coalesce(lag_1, -1) AS lag_1, coalesce(lag_3, -1) AS lag_3,
        coalesce(lag_12, -1) AS lag_12, coalesce(mean_3, -1) AS mean_3, coalesce(std_3, -1) AS std_3,
        coalesce(mean_12, -1) AS mean_12, coalesce(std_12, -1) AS std_12,
@@ -309,14 +347,73 @@ def blend(spark: SparkSession, base: str) -> DataFrame:
     return out.select("crop_id", "t", "cutoff", "actual", F.round("blended", 6).alias("blended"))
 
 
+# Inputs of the models over all keys, and the month from which they are scored.
+INPUTS = ["lag_1", "lag_3", "mean_3", "mean_12", "std_3", "month"]
+SPLIT = (2000 - 1970) * 12
+PENALTY = 1.0
+
+
+def _model_rows(spark: SparkSession, base: str) -> DataFrame:
+    return _features(spark, base).select(
+        "crop_id", "t", exact.wide(F.col("price")).alias("price"), "month",
+        *[exact.wide(F.col(c)).alias(c) for c in INPUTS if c != "month"],
+    )
+
+
 @query("global_model")
 def global_model(spark: SparkSession, base: str) -> DataFrame:
     """Boosted regression on the lag features; scored on the months after the training span."""
-    inputs = ["lag_1", "lag_3", "mean_3", "mean_12", "std_3", "month"]
-    rows = _features(spark, base).select(
-        "crop_id", "t", exact.wide(F.col("price")).alias("price"), "month",
-        *[exact.wide(F.col(c)).alias(c) for c in inputs if c != "month"],
-    )
-    split = (2000 - 1970) * 12
-    model = forecast.train_global(rows.filter(F.col("t") < split), inputs, "price")
-    return model.transform(rows.filter(F.col("t") >= split)).select("crop_id", "t", "price", "forecast")
+    rows = _model_rows(spark, base)
+    model = forecast.train_global(rows.filter(F.col("t") < SPLIT), INPUTS, "price")
+    return model.transform(rows.filter(F.col("t") >= SPLIT)).select("crop_id", "t", "price", "forecast")
+
+
+def _ridge_sql(by: str) -> str:
+    """Gram sums per group, then the Cholesky factor and both triangles, one common table each."""
+    p, names = len(INPUTS), [*INPUTS, "price"]
+    values = ", ".join(f"CAST({c} AS DECIMAL(18,6)) AS x{i}" for i, c in enumerate(names))
+    sums = ", ".join(f"CAST(sum(x{i}) AS DOUBLE) AS s{i}" for i in range(p + 1))
+    products = ", ".join(f"CAST(sum(CAST(x{i} AS DECIMAL(38,6)) * x{j}) AS DOUBLE) AS q{i}_{j}" for i in range(p) for j in range(i, p + 1))
+    present = " AND ".join(f"{c} IS NOT NULL" for c in names)
+    less = lambda start, terms: f"{start} - ({' + '.join(terms)})" if terms else start
+    steps = [", ".join(f"q{i}_{j} - s{i} * s{j} / n{f' + {PENALTY}::DOUBLE' if i == j else ''} AS a{i}_{j}" for i in range(p) for j in range(i, p + 1))]
+    steps.append(", ".join(f"s{i} / n AS m{i}" for i in range(p + 1)))
+    for j in range(p):
+        steps.append(f"sqrt({less(f'a{j}_{j}', [f'l{j}_{k} * l{j}_{k}' for k in range(j)])}) AS l{j}_{j}")
+        steps.append(", ".join(f"({less(f'a{j}_{i}', [f'l{i}_{k} * l{j}_{k}' for k in range(j)])}) / l{j}_{j} AS l{i}_{j}" for i in range(j + 1, p + 1)))
+    for i in reversed(range(p)):
+        steps.append(f"({less(f'l{p}_{i}', [f'l{k}_{i} * b{k}' for k in range(i + 1, p)])}) / l{i}_{i} AS b{i}")
+    steps.append(f"{less(f'm{p}', [f'b{i} * m{i}' for i in range(p)])} AS b")
+    tables = [f"d AS (SELECT crop_id, t, {values} FROM f WHERE {present})"]
+    tables.append(f"g0 AS (SELECT {by} AS grp, CAST(count(*) AS DOUBLE) AS n, {sums}, {products} FROM d JOIN part ON p_partkey = crop_id WHERE t < {SPLIT} GROUP BY 1)")
+    tables += [f"g{i + 1} AS (SELECT *, {step} FROM g{i})" for i, step in enumerate(steps)]
+    return f"{_FEATURES_SQL},\n" + ",\n".join(tables) + f",\nridge AS (SELECT * FROM g{len(steps)})"
+
+
+@query(
+    "ridge_coefficients",
+    _ridge_sql("p_type")
+    + "\nSELECT grp AS family, CAST(n AS BIGINT) AS n, round(b, 6) AS intercept, "
+    + ", ".join(f"round(b{i}, 6) AS {c}" for i, c in enumerate(INPUTS))
+    + " FROM ridge",
+)
+def ridge_coefficients(spark: SparkSession, base: str) -> DataFrame:
+    """One ridge model per crop family."""
+    rows = _model_rows(spark, base).filter(F.col("t") < SPLIT).join(families(spark, base), "crop_id")
+    models = forecast.fit_ridge(rows, INPUTS, "price", ["family"], PENALTY)
+    return models.select("family", "n", *[F.round(c, 6).alias(c) for c in ("intercept", *INPUTS)])
+
+
+@query(
+    "ridge_forecast",
+    _ridge_sql("1")
+    + "\nSELECT crop_id, t, CAST(x6 AS DOUBLE) AS price, round(b + "
+    + " + ".join(f"b{i} * CAST(x{i} AS DOUBLE)" for i in range(len(INPUTS)))
+    + f", 6) AS forecast FROM d, ridge WHERE t >= {SPLIT}",
+)
+def ridge_forecast(spark: SparkSession, base: str) -> DataFrame:
+    """One ridge model over all keys, scored on the months after the training span; rows with all inputs."""
+    rows = persist_reliably(_model_rows(spark, base).dropna())
+    model = forecast.fit_ridge(rows.filter(F.col("t") < SPLIT), INPUTS, "price", penalty=PENALTY)
+    scored = forecast.forecast_ridge(rows.filter(F.col("t") >= SPLIT), model, INPUTS)
+    return scored.select("crop_id", "t", "price", F.round("forecast", 6).alias("forecast"))

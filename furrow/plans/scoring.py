@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from furrow.functions import exact
-from furrow.operators import calibrate, recommend
+from furrow.operators import boxes, calibrate, hulls, recommend
 from furrow.plans.registry import query
 from furrow.plans.standins import (
     EVENT_NUMBER_SQL,
@@ -74,28 +74,41 @@ def calibration_metrics(spark: SparkSession, base: str) -> DataFrame:
     "calibration_isotonic",
     _SCORED_SQL
     + """,
-t AS (SELECT CAST(score AS DECIMAL(18,2)) AS s, count(*) AS n, sum(label) AS pos FROM scored GROUP BY 1),
-blocks AS (SELECT a.s AS lo, b.s AS hi, (SELECT CAST(sum(pos) AS DOUBLE) / sum(n) FROM t WHERE t.s BETWEEN a.s AND b.s) AS mean
-           FROM t a JOIN t b ON a.s <= b.s),
-low AS (SELECT x.s, k.lo, min(k.mean) AS worst FROM t x JOIN blocks k ON k.lo <= x.s AND k.hi >= x.s GROUP BY 1, 2)
-SELECT CAST(t.s AS DOUBLE) AS score, t.n, round(max(worst), 9) AS probability
-FROM t JOIN low ON low.s = t.s GROUP BY t.s, t.n
+t AS (SELECT score, count(*) AS n, sum(label) AS pos, CAST(sum(count(*)) OVER (ORDER BY score) AS BIGINT) AS cn,
+             CAST(sum(sum(label)) OVER (ORDER BY score) AS BIGINT) AS cp FROM scored GROUP BY score),
+blocks AS (SELECT a.score AS lo, b.score AS hi, CAST(b.cp - a.cp + a.pos AS DOUBLE) / CAST(b.cn - a.cn + a.n AS DOUBLE) AS mean
+           FROM t a JOIN t b ON a.score <= b.score),
+low AS (SELECT hi AS score, min(mean) OVER (PARTITION BY lo ORDER BY hi DESC) AS worst FROM blocks)
+SELECT score, n, round(max(worst), 9) AS probability FROM low JOIN t USING (score) GROUP BY score, n
 """,
 )
 def calibration_isotonic(spark: SparkSession, base: str) -> DataFrame:
-    scored = _scored(spark, base)
-    model = calibrate.fit_isotonic(scored, digits=2)
-    points = calibrate.score_table(scored, digits=2).select(exact.wide(F.col("score")).alias("score"), "n")
-    return model.transform(points).select("score", "n", F.round("probability", 9).alias("probability"))
+    points = persist_reliably(calibrate.score_table(_scored(spark, base).filter("score is not null")))
+    fitted = hulls.apply_blocks(points, hulls.isotonic_blocks(points))
+    return fitted.select("score", "n", F.round("probability", 9).alias("probability"))
 
 
-@query("calibration_logistic")
+@query(
+    "calibration_logistic",
+    _BINS_SQL.replace("WITH ", "WITH RECURSIVE ", 1)
+    + """,
+t AS (SELECT score, count(*) AS n, sum(label) AS pos FROM scored GROUP BY score),
+newton(step, a, b) AS (
+  SELECT 0, CAST(0 AS DOUBLE), CAST(0 AS DOUBLE)
+  UNION ALL
+  SELECT step + 1, a + (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01), b + (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01)
+  FROM (SELECT step, a, b, sum(pos - n * p) AS g0, sum((pos - n * p) * score) AS g1, sum(n * p * (1 - p)) AS h00,
+               sum(n * p * (1 - p) * score) AS h01, sum(n * p * (1 - p) * score * score) AS h11
+        FROM (SELECT step, a, b, score, n, pos, 1 / (1 + exp(-(a + b * score))) AS p FROM newton, t WHERE step < 15)
+        GROUP BY step, a, b)),
+line AS (SELECT a, b FROM newton WHERE step = 15)
+SELECT mean_score AS score, rate, n, round(1 / (1 + exp(-(a + b * mean_score))), 9) AS probability FROM bins, line
+""",
+)
 def calibration_logistic(spark: SparkSession, base: str) -> DataFrame:
     scored = _scored(spark, base)
-    model = calibrate.fit_logistic(scored)
     steps = calibrate.reliability_bins(scored).select(F.col("mean_score").alias("score"), "rate", "n")
-    line = model.coefficients[0] * F.col("score") + model.intercept
-    return steps.withColumn("probability", F.lit(1.0) / (F.lit(1.0) + F.exp(-line)))
+    return steps.withColumn("probability", F.round(calibrate.fit_logistic(scored).probability(F.col("score")), 9))
 
 
 WEIGHTS = {"profit": 0.5, "volume": 0.3, "cost": -0.2}
@@ -232,6 +245,38 @@ def env_suitable(spark: SparkSession, base: str) -> DataFrame:
     )
 
 
+@query(
+    "env_boxes",
+    """
+WITH profiles AS (
+  SELECT p_brand || '/' || p_type AS crop, min(p_size) AS size_lo, min(p_size) + CASE WHEN count(*) % 3 = 0 THEN 40 ELSE 2 END AS size_hi,
+         floor(min(p_retailprice)) AS price_lo, floor(min(p_retailprice)) + CASE WHEN count(*) % 4 = 0 THEN 500 ELSE 6 END AS price_hi,
+         0.02::DOUBLE AS tax_lo, CASE WHEN min(p_size) % 2 = 0 THEN 'infinity'::DOUBLE ELSE 0.04::DOUBLE END AS tax_hi
+  FROM part GROUP BY 1),
+q AS (SELECT l_quantity AS size, 900.0::DOUBLE + (l_partkey % 97) AS price, l_tax AS tax, l_partkey AS request FROM lineitem),
+m AS (SELECT q.*, crop FROM q JOIN profiles ON size BETWEEN size_lo AND size_hi AND price BETWEEN price_lo AND price_hi AND tax BETWEEN tax_lo AND tax_hi)
+SELECT crop, count(*) AS n_requests, count(DISTINCT request) AS n_places, min(price) AS lowest, max(size) AS largest FROM m GROUP BY 1
+""",
+)
+def env_boxes(spark: SparkSession, base: str) -> DataFrame:
+    """Profiles with narrow, wide and open ranges in three factors."""
+    price = F.lit(900.0) + F.col("l_partkey") % 97
+    requests = table(spark, base, "lineitem").select(F.col("l_quantity").alias("size"), price.alias("price"), F.col("l_tax").alias("tax"), F.col("l_partkey").alias("request"))
+    distinct = requests.groupBy("size", "price", "tax", "request").agg(F.count(F.lit(1)).alias("times"))
+    n, size, price = F.count(F.lit(1)), F.min("p_size"), F.floor(F.min("p_retailprice"))
+    profiles = table(spark, base, "part").groupBy(F.concat_ws("/", "p_brand", "p_type").alias("crop")).agg(
+        size.alias("size_lo"),
+        (size + F.when(n % 3 == 0, 40).otherwise(2)).alias("size_hi"),
+        price.alias("price_lo"),
+        (price + F.when(n % 4 == 0, 500).otherwise(6)).alias("price_hi"),
+        F.lit(0.02).alias("tax_lo"),
+        F.when(size % 2 == 0, float("inf")).otherwise(0.04).alias("tax_hi"),
+    )
+    return boxes.inside_boxes(distinct, profiles, ["size", "price", "tax"]).groupBy("crop").agg(
+        F.sum("times").alias("n_requests"), F.count_distinct("request").alias("n_places"), F.min("price").alias("lowest"), F.max("size").alias("largest")
+    )
+
+
 @query(
     "env_match",
     """

@@ -50,6 +50,23 @@ def labelled_pairs(inference: DataFrame, feedback: DataFrame, bound: str) -> Dat
     )
 
 
+def first_labels(inference: DataFrame, feedback: DataFrame, bound: str) -> DataFrame:
+    """One sample per request, labelled by its first feedback: the join and the minimum in one stream.
+
+    The minimum has its own state: one row per open request, however much feedback the
+    request gets, and it closes once the join's watermark has passed the request's bound.
+    The join keeps a reaction only until no request that it could belong to can still
+    arrive. A batch gives the same rows.
+    """
+    pairs = labelled_pairs(inference, feedback, bound)
+    reaction = F.when(F.col("feedback_id").isNotNull(), F.struct("feedback_ts", "feedback_id", "rating"))
+    return (
+        pairs.groupBy(*SAMPLE_COLUMNS)
+        .agg(F.min(reaction).alias("first"))
+        .select(*SAMPLE_COLUMNS, F.col("first.feedback_ts").alias("feedback_ts"), label(F.col("first.rating")).alias("label"))
+    )
+
+
 def settle(pairs: DataFrame) -> DataFrame:
     """Batch step over the pair table: one sample per request, labelled by its first feedback."""
     requests = pairs.groupBy("request_id").agg(F.first(F.struct(*SAMPLE_COLUMNS[1:])).alias("r"))

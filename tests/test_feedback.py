@@ -74,6 +74,45 @@ def test_stream_equals_batch(spark, data, tmp_path):
     assert shown(samples) == expected(requests, reactions)
 
 
+def labels_stream(spark, first, second):
+    return streams.first_labels(
+        logs.stream_log(spark, first, logs.INFERENCE_SCHEMA).withWatermark("ts", "1 hour"), logs.stream_log(spark, second, logs.FEEDBACK_SCHEMA).withWatermark("ts", "1 hour"), BOUND
+    )
+
+
+def test_chained_stream_labels_each_request_once(spark, data, tmp_path):
+    requests, reactions, inference, ratings = data
+    first, second, out = str(tmp_path / "inference"), str(tmp_path / "feedback"), str(tmp_path / "samples")
+    half = inference.selectExpr("percentile_approx(unix_micros(ts), 0.5) as h").first().h
+    for test in (f"unix_micros(ts) < {half}", f"unix_micros(ts) >= {half}"):
+        logs.append_log(inference.filter(test), first)
+        logs.append_log(ratings.filter(test), second)
+        runs.append_to_parquet(labels_stream(spark, first, second), out, str(tmp_path / "ck"))
+    emitted = spark.read.parquet(out)
+    assert emitted.count() == emitted.select("request_id").distinct().count() > len(requests) / 2
+    want = expected(requests, reactions)
+    assert shown(emitted).items() <= want.items()
+    whole = streams.first_labels(inference, ratings, BOUND)
+    assert shown(streams.close_bounded(emitted, whole, ["request_id"])) == want
+
+
+def test_state_of_a_request_does_not_follow_its_feedback(spark, tmp_path):
+    start = dt.datetime(2024, 1, 1)
+    states = {}
+    for times in (1, 400):
+        first, second = str(tmp_path / f"inference{times}"), str(tmp_path / f"feedback{times}")
+        requests = [(i, start + dt.timedelta(minutes=i), 1, 1, 0.5) for i in range(20)]
+        reactions = [(i * times + n, i, start + dt.timedelta(minutes=i, seconds=1 + n), 1, 1) for i in range(20) for n in range(times)]
+        # A later request and a later reaction: the clock moves on past the first ones, but not past their bound.
+        requests.append((99, start + dt.timedelta(minutes=150), 1, 1, 0.5))
+        reactions.append((10**6, 99, start + dt.timedelta(minutes=151), 1, 1))
+        logs.append_log(spark.createDataFrame(requests, logs.INFERENCE_SCHEMA), first)
+        logs.append_log(spark.createDataFrame(reactions, logs.FEEDBACK_SCHEMA), second)
+        progress = runs.append_to_parquet(labels_stream(spark, first, second), str(tmp_path / f"out{times}"), str(tmp_path / f"ck{times}"))
+        states[times] = sorted(o.numRowsTotal for o in progress[-1].stateOperators)
+    assert states[1] == states[400]
+
+
 def test_two_sinks(spark, data, tmp_path):
     requests, _, inference, _ = data
     source = str(tmp_path / "log")

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from furrow.operators import calibrate, recommend
+from furrow.operators import calibrate, hulls, recommend
 
 
 @pytest.fixture(scope="module")
@@ -44,6 +44,57 @@ def test_isotonic_is_monotone(scored):
     assert calibrate.fit_logistic(frame).coefficients[0] > 0
 
 
+def pooled(counts):
+    """Isotonic values by the max-min formula."""
+    out = []
+    for k in range(len(counts)):
+        ends = [min(sum(c[2] for c in counts[a : z + 1]) / sum(c[1] for c in counts[a : z + 1]) for z in range(k, len(counts))) for a in range(k + 1)]
+        out.append(max(ends))
+    return out
+
+
+@pytest.mark.parametrize("slices", [1, 2, 5, 8])
+@pytest.mark.parametrize("kind", ["noise", "rising", "falling", "ties"])
+def test_hulls_give_the_isotonic_fit_whatever_the_slices(spark, slices, kind):
+    rng = random.Random(f"{kind}{slices}")
+    counts = []
+    for i in range(60):
+        n = rng.randint(1, 9) if kind != "ties" else 2
+        share = {"noise": rng.random(), "rising": i / 60, "falling": 1 - i / 60, "ties": (i // 10) / 6}[kind]
+        counts.append((i / 7, n, round(n * share)))
+    frame = spark.createDataFrame(counts, "score double, n bigint, n_pos bigint")
+    blocks = hulls.isotonic_blocks(frame.repartition(3), slices)
+    found = sorted(blocks.collect())
+    assert [r.probability for r in found] == sorted({r.probability for r in found})
+    assert sum(r.n for r in found) == sum(c[1] for c in counts)
+    fitted = {r.score: r.probability for r in hulls.apply_blocks(frame, blocks).collect()}
+    assert [fitted[c[0]] for c in counts] == pytest.approx(pooled(counts), abs=1e-12)
+
+
+def test_hulls_between_and_beyond_the_scores(spark):
+    blocks = hulls.isotonic_blocks(spark.createDataFrame([(0.2, 10, 1), (0.4, 10, 5), (None, 3, 3), (float("nan"), 3, 3)], "score double, n bigint, n_pos bigint"))
+    points = spark.createDataFrame([(-1.0,), (0.2,), (0.3,), (0.4,), (9.0,)], "score double")
+    assert [r.probability for r in hulls.apply_blocks(points, blocks).orderBy("score").collect()] == pytest.approx([0.1, 0.1, 0.3, 0.5, 0.5])
+    none = hulls.isotonic_blocks(spark.createDataFrame([], "score double, n bigint, n_pos bigint"))
+    assert none.count() == 0 and {r.probability for r in hulls.apply_blocks(points, none).collect()} == {None}
+
+
+def test_newton_finds_the_line_of_largest_likelihood(spark, scored):
+    rows, frame = scored
+    line = calibrate.fit_logistic(frame)
+    s, y = np.array(rows).T
+    p = 1 / (1 + np.exp(-(line.intercept + line.slope * s)))
+    # At the maximum both gradients vanish.
+    assert line.settled and line.steps < 10 and abs((y - p).sum()) < 1e-6 and abs(((y - p) * s).sum()) < 1e-6
+    schema = "score double, label int"
+    far = calibrate.fit_logistic(spark.createDataFrame([(float(i), int(i > 50)) for i in range(100)], schema))
+    assert not far.settled and far.slope > 1
+    same = calibrate.fit_logistic(spark.createDataFrame([(0.5, 1), (0.5, 0), (0.5, 1), (None, 1), (0.1, None)], schema))
+    assert same.slope == 0 and same.intercept == pytest.approx(np.log(2))
+    for rows, share in (([], 0.5), ([(0.1, 1), (0.2, 1)], 2.5 / 3)):
+        assert calibrate.fit_logistic(spark.createDataFrame(rows, schema)).intercept == pytest.approx(np.log(share / (1 - share)))
+
+
 def test_weighted_score_and_top_k(spark):
     rows = [("a" if i % 3 else "b", i, float(i % 50), float(i % 7)) for i in range(2000)]
     frame = spark.createDataFrame(rows, "region string, crop_id int, gain double, cost double")

@@ -103,3 +103,47 @@ def test_boosting_learns_the_last_value(spark):
     model = forecast.train_global(frame, ["lag"], "price", maxIter=8, maxDepth=4)
     worst = model.transform(frame).select(F.max(F.abs(F.col("forecast") - F.col("price")))).first()[0]
     assert worst < 15
+
+
+def ridge_by_numpy(rows, penalty):
+    x, y = np.array([r[1:-1] for r in rows], float), np.array([r[-1] for r in rows], float)
+    middle = x.mean(0)
+    gram = (x - middle).T @ (x - middle) + penalty * np.eye(x.shape[1])
+    slopes = np.linalg.solve(gram, (x - middle).T @ (y - y.mean()))
+    return y.mean() - middle @ slopes, slopes
+
+
+def test_ridge_equals_the_normal_equations(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(300):
+        a, b = round(rng.gauss(100, 30), 3), round(rng.gauss(0, 2), 3)
+        rows.append((("p", "q", None)[i % 3], a, b, round(a * 0.5 + rng.gauss(0, 1), 3), round(3 * a - 7 * b + rng.gauss(0, 5) + 40, 3)))
+    rows += [("p", None, 1.0, 1.0, 1.0), ("p", 1.0, 1.0, 1.0, None), ("r", 1.0, 2.0, 3.0, 4.0), ("empty", None, None, None, None)]
+    frame = spark.createDataFrame(rows, "k string, a double, b double, c double, y double")
+    whole = [r for r in rows if None not in r[1:]]
+    model = forecast.fit_ridge(frame.repartition(5), ["a", "b", "c"], "y", penalty=2.5)
+    got, (intercept, slopes) = model.first(), ridge_by_numpy(whole, 2.5)
+    assert (got.n, got.intercept) == (len(whole), pytest.approx(intercept, rel=1e-9)) and [got.a, got.b, got.c] == pytest.approx(slopes.tolist(), rel=1e-7)
+    scored = forecast.forecast_ridge(frame, model, ["a", "b", "c"]).collect()
+    for r in scored:
+        want = None if None in (r.a, r.b, r.c) else pytest.approx(intercept + np.dot(slopes, [r.a, r.b, r.c]), rel=1e-9)
+        assert r.forecast == want
+    groups = forecast.fit_ridge(frame, ["a", "b", "c"], "y", ["k"], penalty=0.5)
+    found = {r.k: r for r in groups.collect()}
+    assert set(found) == {"p", "q", None, "r"} and (found["r"].n, found["r"].intercept, found["r"].a) == (1, 4.0, 0.0)
+    for k in ("p", None):
+        intercept, slopes = ridge_by_numpy([r for r in whole if r[0] == k], 0.5)
+        assert [found[k].a, found[k].b, found[k].c] == pytest.approx(slopes.tolist(), rel=1e-7)
+    by_group = {(r.k, r.a): r.forecast for r in forecast.forecast_ridge(frame, groups, ["a", "b", "c"], ["k"]).collect()}
+    first = next(r for r in whole if r[0] is None)
+    assert by_group[None, first[1]] == pytest.approx(intercept + np.dot(slopes, first[1:4]), rel=1e-9) and by_group["empty", None] is None
+
+
+def test_ridge_without_rows_and_without_penalty(spark):
+    none = spark.createDataFrame([], "a double, y double")
+    model = forecast.fit_ridge(none, ["a"], "y")
+    assert model.count() == 0
+    assert forecast.forecast_ridge(spark.createDataFrame([(1.0, 2.0)], "a double, y double"), model, ["a"]).first().forecast is None
+    with pytest.raises(ValueError):
+        forecast.fit_ridge(none, ["a"], "y", penalty=0)
