@@ -1,7 +1,10 @@
 """From raw documents to packed sequences in five stages.
 
 Each stage reads what its predecessor kept, written as Parquet; all but the last return
-the columns of `documents`. Rows without an id stay until the last stage.
+the columns of `documents`. In every stage an empty table gives an empty table, null ids
+and other nulls are no reason to lose a row, whole texts count whatever their length, and
+further columns stay as they came, whatever their names. What a stage does with repeated
+rows, ties, null and empty texts is said with it.
 """
 
 from __future__ import annotations
@@ -23,33 +26,55 @@ from furrow.sources.tables import table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored below one half; the model learns from all labels of these documents."""
+    """Documents scored below one half; the model learns from the labels of these documents.
+
+    A score depends on the text alone, so repeated rows stay or go together; a null or
+    empty text has the score of an empty one. A document scored one half goes, unless no
+    label has been learned from: then every score is one half and all stay.
+    """
     configure(spark)
     model = train(docs, table(spark, sf_dir, "labels"))
-    return score(docs, model).filter("score < 0.5").select(*docs.columns)
+    out = next(name for i in range(len(docs.columns) + 1) if (name := f"toxicity{i}") not in docs.columns)
+    kept = F.col(out) < 0.5 if model.trees.nodes else F.lit(True)
+    return score(docs, model, out).filter(kept).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by a Jaccard similarity of 0.8 on five-word shingles."""
+    """One document of each group linked by a Jaccard similarity of 0.8 on five-word shingles.
+
+    That with the smallest id stays, and one of its repeated rows. Texts below five words
+    are one shingle. Null texts, texts without words and rows without an id all stay.
+    """
     configure(spark)
     return keep_one(docs, percent=80, size=5)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item.
+
+    Repeated rows stay or go together, and null and empty texts hold nothing. Items of
+    fewer than five words have no shingle and are not looked for.
+    """
     configure(spark)
     return without_items(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data replaced by marks; n_chars follows the text."""
+    """Personal data replaced by marks; n_chars follows the text.
+
+    Every row stays, repeated rows too. Null texts stay null with their n_chars as it was.
+    """
     configure(spark)
     clean = redact(docs)
     return clean.withColumn("n_chars", F.coalesce(F.char_length("text").cast("long"), F.col("n_chars"))).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the remaining documents in sequences of at most 2048 tokens."""
+    """Pieces of the remaining documents in sequences of at most 2048 tokens.
+
+    Every row is a document of its own, repeated rows and equal ids included; a null or
+    empty text is its end id. Other columns than doc_id and text end here.
+    """
     configure(spark)
     pieces = pack(docs, public_tokenizers.path("word_bpe_49k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
