@@ -225,10 +225,13 @@ def joined(spans: Column) -> Column:
 def redact(docs: DataFrame, model: SpanModel | None = None) -> DataFrame:
     """`docs` with each span of `text` replaced by its kind in angle brackets; overlapping spans give one mark.
 
-    Null texts stay null. Columns and rows stay as they are otherwise.
+    Null texts stay null. Columns and rows stay as they are otherwise, whatever the
+    columns are called.
     """
     columns = docs.columns
-    spans = find_spans(docs, model or fit(docs))
+    # The row travels in one column, so its columns cannot clash with those of the search.
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), "text")
+    spans = find_spans(whole, model or fit(docs))
     text = F.col("text")
 
     def step(state: Column, s: Column) -> Column:
@@ -240,4 +243,4 @@ def redact(docs: DataFrame, model: SpanModel | None = None) -> DataFrame:
     rest = lambda state: F.concat(state["out"], F.substring(text, state["at"] + 1, F.char_length(text)))
     clean = F.aggregate("pii", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, rest)
     changed = F.when(F.size("pii") > 0, clean).otherwise(text)
-    return spans.withColumn("text", changed).select(*columns)
+    return spans.select(*[changed.alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in columns])

@@ -273,19 +273,19 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, character
     return fit([r.text for r in sample], np.array([r.toxic > 0 for r in sample], float))
 
 
-def _scorer(model: ToxicityModel) -> Callable:
+def _scorer(model: ToxicityModel, out: str) -> Callable:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t or "" for t in batch["text"].to_pylist()]
-            yield batch.append_column("score", pa.array(model.scores(texts), pa.float64()))
+            yield batch.append_column(out, pa.array(model.scores(texts), pa.float64()))
 
     return score
 
 
-def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """`docs` with `score`, between 0 and 1, of every whole text; a null text counts as empty.
+def score(docs: DataFrame, model: ToxicityModel, out: str = "score") -> DataFrame:
+    """`docs` with a score between 0 and 1 of every whole text in column `out`; a null text counts as empty.
 
-    All rows and columns stay, repeated rows included; a column called score is replaced.
+    All rows and columns stay, repeated rows included; a column called like `out` is replaced.
     """
-    docs = docs.drop("score")
-    return docs.mapInArrow(_scorer(model), StructType([*docs.schema.fields, StructField("score", DoubleType())]))
+    docs = docs.drop(out)
+    return docs.mapInArrow(_scorer(model, out), StructType([*docs.schema.fields, StructField(out, DoubleType())]))
