@@ -4,9 +4,8 @@ Each page is read once into its text blocks and, for each block, the hashes of t
 element subtrees that hold it. Spark counts between how many different contents (the
 page's other blocks) of a host a subtree stands, so copies of a page count once;
 subtrees that stand between many are template, and the blocks inside them go. Menus,
-footers, scripts, adverts, forms and comments are left out by tag or name while reading.
-What only looks like template by its name (sidebars, headers, banners and the like) is
-counted where the host has enough contents, and left out by name on smaller hosts.
+headers, footers, sidebars, notices, scripts, adverts, forms and comments are left out by
+tag or name while reading, on every host alike.
 """
 
 from __future__ import annotations
@@ -28,10 +27,6 @@ from furrow.session import broadcast_if_small, persist_reliably
 LEAST_PAGES = 5
 LEAST_SHARE = 0.1
 ENOUGH_PAGES = 100
-# On a host of so many different contents counts decide on what only looks like template.
-COUNTED_PAGES = 50
-# Stands among a page's subtrees for a guess, and among a host's template for enough contents.
-_COUNTED = 0
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.DOTALL
@@ -47,7 +42,7 @@ _NAMED = frozenset("form button select dialog menu search object video audio can
 _NAMED_ROLES = frozenset("navigation contentinfo search form dialog menu menubar".split())
 _GUESSED_ROLES = frozenset("banner complementary alert".split())
 # Whole class or id words. Comments and adverts count everywhere, the others only outside articles.
-_COMMENTS = re.compile(r"comments?|(?:user[-_])?comments?[-_]?(?:list|area|section|block|box|body|content|form|thread|wrapper|container|\d+)|repl(?:y|ies)|respond|disqus(?:[-_]thread)?", re.IGNORECASE)
+_COMMENTS = re.compile(r"(?:(?:user|reader|page|post|article|blog)s?[-_])?comments?(?:[-_]?(?:list|area|section|block|box|body|content|form|thread|wrapper|container|\d+))?|(?:user[-_])?discussions?(?:[-_](?:list|area|section|thread))?|repl(?:y|ies)|respond|disqus(?:[-_]thread)?", re.IGNORECASE)
 _ADVERTS = re.compile(r"(?:ads?|adverts?|advertisements?)(?:[-_](?:banner|block|box|container|label|slot|unit|wrapper|\d+))?|adsbygoogle|sponsored(?:[-_](?:content|links?|post))?", re.IGNORECASE)
 _AROUND = r"(?:(?:site|page|main|top|bottom|left|right|primary|secondary|global|mobile)[-_])?(?:{})(?:[-_]?(?:bar|block|box|buttons?|container|inner|items?|links?|list|wrap|wrapper|\d+))?"
 _MENUS = re.compile(_AROUND.format("menu|nav|navbar|navigation|breadcrumbs?|footer"), re.IGNORECASE)
@@ -58,6 +53,11 @@ _NAMES = re.compile(
     re.IGNORECASE,
 )
 _ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.IGNORECASE)
+# Names that no article's own part bears count inside articles too; beside a name of the main part none of the others count.
+_PLAIN = re.compile(
+    _AROUND.format(r"sidebar|(?:cookies?|consent|gdpr|privacy)[-_](?:banner|consent|message|notice|popup)|newsletter(?:[-_](?:signup|form|box))?|share[-_](?:buttons?|bar|links?)|social[-_](?:share|sharing|links?|buttons?|bar)"), re.IGNORECASE
+)
+_STORY = re.compile(r"(?:main|page|post|entry|article|story)?[-_]?(?:content|story|text|body|entry|post)", re.IGNORECASE)
 # A new one of these ends an open one.
 _ENDS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre td th dd dt tr figcaption".split())
@@ -88,11 +88,10 @@ def _signed(number: int) -> int:
 
 @dataclass
 class Page:
-    """Blocks of a page's main part, each with its subtrees and whether its name speaks against it; the subtrees with the sum of the other blocks' hashes outside them; that sum for the whole page."""
+    """Blocks of a page's main part, each with its subtrees; the subtrees with the sum of the other blocks' hashes outside them; that sum for the whole page."""
 
     blocks: list[str]
     owners: list[list[int]]
-    guesses: list[bool]
     subtrees: set[tuple[int, int]]
     content: int
 
@@ -112,14 +111,16 @@ def _rule(tag: str, attributes: str, main: int) -> int:
             rule = max(rule, _RULE if value.lower() in _NAMED_ROLES else _GUESS if main < 2 and value.lower() in _GUESSED_ROLES else _KEPT)
         # The id of a heading or paragraph is an anchor.
         elif name == "class" or (name == "id" and tag not in _LEAVES):
-            for word in value.split():
+            words = value.split()
+            story = any(_STORY.fullmatch(w) for w in words)
+            for word in words:
                 if _COMMENTS.fullmatch(word):
                     return _ALWAYS
                 if tag in ("article", "main"):
                     continue
                 if _ADVERTS.fullmatch(word) or (main < 2 and _MENUS.fullmatch(word)):
                     rule = max(rule, _RULE)
-                elif main < 2 and _NAMES.fullmatch(word):
+                elif not story and (_NAMES.fullmatch(word) if main < 2 else _PLAIN.fullmatch(word)):
                     rule = max(rule, _GUESS)
     return rule
 
@@ -127,10 +128,27 @@ def _rule(tag: str, attributes: str, main: int) -> int:
 def read_page(html: str) -> list[tuple[str, list[int]]]:
     """Blocks of the page's main part in order, each with the hashes of the subtrees that may be template."""
     page = parse_page(html)
-    return [(b, o) for b, o, g in zip(page.blocks, page.owners, page.guesses) if not g]
+    return list(zip(page.blocks, page.owners))
+
+
+def _after_inline(html: str, at: int, tag: str, unbalanced: set[str]) -> int:
+    """Place after the end of an inline element that begins before `at`; elements of its name inside it count.
+
+    Where ends are missing, the first end tag is taken, and from then on for this tag.
+    """
+    depth, first = 1, None
+    for mark in re.compile(rf"<(/?){re.escape(tag)}(?=[\s/>])[^>]*>", re.IGNORECASE).finditer(html, at):
+        depth += -1 if mark.group(1) else 1
+        if mark.group(1) and first is None:
+            first = mark.end()
+        if depth == 0 or (first and tag in unbalanced):
+            return mark.end()
+    unbalanced.add(tag)
+    return first or at
 
 
 def parse_page(html: str) -> Page:
+    unbalanced: set[str] = set()
     stack = [_Element("", None, _KEPT, 0)]
     elements = [stack[0]]
     blocks: list[tuple[str, _Element]] = []
@@ -195,8 +213,7 @@ def parse_page(html: str) -> Page:
             text.append(" ")
         if tag not in _BLOCKS and stack[-1].rule < _ALWAYS and tag not in _VOID and _rule(tag, attributes, stack[-1].main) > _GUESS:
             # An inline element that is left out: its text goes up to its end tag.
-            over = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(html, at)
-            at = over.end() if over else at
+            at = _after_inline(html, at, tag, unbalanced)
             continue
         if tag not in _BLOCKS:
             continue
@@ -231,20 +248,19 @@ def parse_page(html: str) -> Page:
         element.rule = max(element.rule, element.above.rule)
     # Beside a main element only articles are read; without one the whole body is.
     least = int(any(e.rule == _KEPT and e.main & 1 for _, e in blocks))
-    chosen = [(b, e, o) for (b, e), o in zip(blocks, owners) if e.rule <= _GUESS and e.main >= least]
+    chosen = [(b, e, o) for (b, e), o in zip(blocks, owners) if e.rule == _KEPT and e.main >= least]
     for block, element, _ in chosen:
-        if element.rule == _KEPT:
-            element.inside += _hash(block)
+        element.inside += _hash(block)
     for element in reversed(elements[1:]):
         element.above.inside += element.inside
     whole = stack[0].inside
     held = {o for _, _, own in chosen for o in own}
     subtrees = {(e.digest, _signed(whole - e.inside)) for e in elements if e.digest in held}
-    return Page([b for b, _, _ in chosen], [o for _, _, o in chosen], [e.rule == _GUESS for _, e, _ in chosen], subtrees, _signed(whole))
+    return Page([b for b, _, _ in chosen], [o for _, _, o in chosen], subtrees, _signed(whole))
 
 
 _SUBTREES = pa.list_(pa.struct([("subtree", pa.int64()), ("outside", pa.int64())]))
-_READ = "page_id long, url string, host string, content long, blocks array<string>, owners array<array<long>>, guesses array<boolean>, subtrees array<struct<subtree:long,outside:long>>"
+_READ = "page_id long, url string, host string, content long, blocks array<string>, owners array<array<long>>, subtrees array<struct<subtree:long,outside:long>>"
 _HOST = re.compile(r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)")
 
 
@@ -252,24 +268,24 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start in range(0, len(batch), 256):
             part = batch.slice(start, 256)
-            columns: list[list] = [[] for _ in range(6)]
+            columns: list[list] = [[] for _ in range(5)]
             for url, html in zip(part["url"].to_pylist(), part["html"].to_pylist()):
                 host = _HOST.match(url or "")
                 page = parse_page(html or "")
                 subtrees = [{"subtree": s, "outside": o} for s, o in sorted(page.subtrees)]
-                for column, value in zip(columns, (host.group(1).lower() if host else "", page.content, page.blocks, page.owners, page.guesses, subtrees)):
+                for column, value in zip(columns, (host.group(1).lower() if host else "", page.content, page.blocks, page.owners, subtrees)):
                     column.append(value)
-            kinds = (pa.string(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.list_(pa.int64())), pa.list_(pa.bool_()), _SUBTREES)
+            kinds = (pa.string(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.list_(pa.int64())), _SUBTREES)
             arrays = [part["page_id"], part["url"], *(pa.array(c, k) for c, k in zip(columns, kinds))]
-            yield pa.RecordBatch.from_arrays(arrays, ["page_id", "url", "host", "content", "blocks", "owners", "guesses", "subtrees"])
+            yield pa.RecordBatch.from_arrays(arrays, ["page_id", "url", "host", "content", "blocks", "owners", "subtrees"])
 
 
 def main_texts(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
     """page_id, url and text of every row of `pages` (page_id, url, html).
 
     The text holds the blocks of the page's main element and its articles (without a main
-    element, of its whole body) outside menus, footers, adverts, forms and comments and
-    outside the host's template, each with its references decoded and white space as
+    element, of its whole body) outside menus, headers, footers, sidebars, notices, adverts,
+    forms and comments and outside the host's template, each with its references decoded and white space as
     single spaces, joined by two line ends; it is empty if nothing is left. Paragraphs,
     headings and cells of an article are never template. Pages with equal
     blocks outside a subtree count once towards it, whatever else differs in them. A null
@@ -284,12 +300,9 @@ def main_texts(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: fl
     # Only subtrees between enough contents move on.
     least = F.least(F.col("pages") * least_share, F.lit(ENOUGH_PAGES))
     often = counted.filter(F.col("times") >= least_pages).join(hosts, "host").filter(F.col("times") >= least).select("host", "subtree")
-    counts = hosts.filter(F.col("pages") >= COUNTED_PAGES).select("host", F.lit(_COUNTED).cast("long").alias("subtree"))
-    template = broadcast_if_small(often.unionByName(counts))
-    guess = F.when(F.array_contains("guesses", True), F.array(F.lit(_COUNTED).cast("long"))).otherwise(F.array().cast("array<long>"))
-    held = read.select("row", "host", F.explode(F.array_union("subtrees.subtree", guess)).alias("subtree")).join(template, ["host", "subtree"])
+    template = broadcast_if_small(often)
+    held = read.select("row", "host", F.explode("subtrees.subtree").alias("subtree")).join(template, ["host", "subtree"])
     hits = broadcast_if_small(held.groupBy("row").agg(F.collect_set("subtree").alias("template")))
     found = F.coalesce("template", F.array().cast("array<long>"))
-    pairs = F.arrays_zip("blocks", "owners", "guesses")
-    left = F.filter(pairs, lambda b: ~F.arrays_overlap(b["owners"], found) & (~b["guesses"] | F.array_contains(found, _COUNTED)))
+    left = F.filter(F.arrays_zip("blocks", "owners"), lambda b: ~F.arrays_overlap(b["owners"], found))
     return read.join(hits, "row", "left").select("page_id", "url", F.array_join(left["blocks"], "\n\n").alias("text"))
