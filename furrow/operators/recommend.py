@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from furrow.functions import exact
@@ -101,7 +101,7 @@ def centroids(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     )
 
 
-def _closeness(catalogue, vector):
+def closeness(catalogue: Column, vector: Column) -> Column:
     """Sorted (negated cosine, key) of one packed catalogue slice against a vector."""
     norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
@@ -146,7 +146,7 @@ def cosine_top_k(
         one = F.broadcast(packed.filter(F.col("slice") == number))
         # A request without a vector looks at no slice and gets no match.
         rows = rows.withColumn("_slice", F.when(F.col("_v").isNotNull(), F.lit(number).cast("bigint")))
-        near = _closeness(F.coalesce("packed", F.array()), F.col("_v"))
+        near = closeness(F.coalesce("packed", F.array()), F.col("_v"))
         rows = (
             rows.join(one, F.col("_slice") == F.col("slice"), "left")
             .withColumn("_best", F.slice(F.array_sort(F.concat("_best", near)), 1, k))

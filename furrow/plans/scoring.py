@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from furrow.functions import exact
-from furrow.operators import boxes, calibrate, hulls, recommend
+from furrow.operators import boxes, calibrate, hulls, pivots, recommend
 from furrow.plans.registry import query
 from furrow.plans.standins import (
     EVENT_NUMBER_SQL,
@@ -277,6 +277,24 @@ def env_boxes(spark: SparkSession, base: str) -> DataFrame:
     )
 
 
+@query(
+    "env_neighbours",
+    """
+WITH q AS (SELECT vec_id AS request, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 20 = 0),
+pairs AS (SELECT request, vec_id AS crop, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), v), 9) AS sim FROM embeddings, q WHERE len(embedding) = len(v)),
+r AS (SELECT *, row_number() OVER (PARTITION BY request ORDER BY sim DESC, crop) AS rank FROM pairs)
+SELECT request, CAST(rank AS INTEGER) AS rank, crop, round(sim, 6) AS similarity FROM r WHERE rank <= 3
+""",
+)
+def env_neighbours(spark: SparkSession, base: str) -> DataFrame:
+    """The closest places to every twentieth, with most of the catalogue skipped by its angle to a pivot."""
+    vectors = table(spark, base, "embeddings")
+    requests = vectors.filter(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("request"), "embedding")
+    catalogue = vectors.select(F.col("vec_id").alias("crop"), F.col("embedding").alias("centroid"))
+    near = pivots.cosine_top_k_pruned(requests, catalogue, "embedding", "crop", k=3)
+    return near.select("request", "rank", "crop", F.round("similarity", 6).alias("similarity"))
+
+
 @query(
     "env_match",
     """
