@@ -12,10 +12,13 @@ that classifier decides which candidates become spans. Base spans always stay.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
+from furrow.functions.paths import let
+
 KINDS = ("email", "ip", "card", "phone", "secret")
 BASE_KINDS = KINDS[:4]
 
@@ -41,29 +44,64 @@ CANDIDATE_HINTS = {"secret": r"[=:][ ]?\"?[A-Za-z0-9+/_-]{16}|[A-Z]{4}[A-Z0-9]{1
 # Words that name such data.
 GAZETTEER = r"(?i)(?:password|passwd|pwd|token|secret|apikey|api_key|access_key|auth|credential|akia|phone|tel|mobile|fax|call)"
 CONTEXT = 24
+# Spans are gathered and texts are cut in pieces of so many, so that work per span does not follow their number.
+CHUNK = 256
+BLOCK = 1024
 LABELERS = ("strict", "gazetteer", "context", "shape")
 FEATURES = ("digits", "mixed", "assigned", "long", "named")
 EM_ROUNDS = 50
 FIT_ROUNDS = 2000
 
 
+_SPAN = "struct<kind:string,start:int,end:int,value:string,before:string,after:string>"
+
+
+def _scanned(size: Column, zero: Column, kind: str, step: Callable[[Column, Column], Column]) -> Column:
+    """Items of a scan over 0..size-1 as an array; `step(state, i)` gives the next state `s` and an `item` of type `kind`.
+
+    Items are gathered in chunks, so that one more does not copy all before it.
+    """
+    none = F.array().cast(f"array<{kind}>")
+
+    def chunk(held: Column, c: Column) -> Column:
+        def one(inner: Column, i: Column) -> Column:
+            return let(step(inner["s"], i), lambda n: F.struct(n["s"].alias("s"), F.concat(inner["out"], F.array(n["item"])).alias("out")))
+
+        places = F.sequence(c * CHUNK, F.least(c * CHUNK + CHUNK, size) - 1)
+        found = F.aggregate(places, F.struct(held["s"].alias("s"), none.alias("out")), one)
+        return let(found, lambda x: F.struct(x["s"].alias("s"), F.concat(held["out"], F.array(x["out"])).alias("out")))
+
+    start = F.struct(zero.alias("s"), F.array().cast(f"array<array<{kind}>>").alias("out"))
+    chunks = F.sequence(F.lit(0), ((size - 1) / CHUNK).cast("int"))
+    return F.when(size == 0, none).otherwise(F.aggregate(chunks, start, chunk, lambda held: F.flatten(held["out"])))
+
+
+def _last(text: Column) -> Column:
+    return F.right(text, F.lit(CONTEXT))
+
+
 def _spans(kind: str, pattern: str, hint: str, text: Column) -> Column:
-    """Array of (kind, start, end, value) in code points, leftmost and non-overlapping."""
+    """Array of (kind, start, end, value) in code points, leftmost and non-overlapping, with the text just before and the character after.
+
+    Places and contexts come from the pieces between matches, each looked at once.
+    """
     quiet = ~F.contains(text, F.lit(hint)) if hint == "@" else ~text.rlike(hint)
-    found = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
-    gaps = F.transform(F.split(text, pattern, -1), F.char_length)
-    sizes = F.transform(found, F.char_length)
-    none = F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>")
-    zero = F.struct(F.lit(0).alias("at"), none.alias("out"))
+    none = F.array().cast(f"array<{_SPAN}>")
+    cut = F.struct(F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)).alias("found"), F.split(text, pattern, -1).alias("gaps"))
+    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"))
+
+    def placed(cut: Column) -> Column:
+        def step(state: Column, i: Column) -> Column:
+            gap, hit, rest = F.get(cut["gaps"], i), F.get(cut["found"], i), F.get(cut["gaps"], i + 1)
+            after = F.when(rest != "", F.left(rest, F.lit(1))).otherwise(F.left(F.coalesce(F.get(cut["found"], i + 1), F.lit("")), F.lit(1)))
+            start, before = state["at"] + F.char_length(gap), _last(F.concat(state["tail"], _last(gap)))
+            span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), (start + F.char_length(hit)).alias("end"), hit.alias("value"), before.alias("before"), after.alias("after"))
+            tail = lambda v: _last(F.concat(v["before"], _last(v["value"])))
+            return let(span, lambda v: F.struct(F.struct(v["end"].alias("at"), tail(v).alias("tail")).alias("s"), v.alias("item")))
 
-    def step(state: Column, i: Column) -> Column:
-        start = state["at"] + F.get(gaps, i)
-        end = start + F.get(sizes, i)
-        one = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), F.get(found, i).alias("value"))
-        return F.struct(end.alias("at"), F.concat(state["out"], F.array(one)).alias("out"))
+        return _scanned(F.size(cut["found"]), zero, _SPAN, step)
 
-    placed = F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), zero, step, lambda state: state["out"])
-    return F.when(quiet | (F.size(found) == 0), none).otherwise(placed)
+    return F.when(quiet, none).otherwise(let(cut, placed))
 
 
 def _digits(value: Column) -> Column:
@@ -88,8 +126,19 @@ def _valid(span: Column) -> Column:
     return F.when(span["kind"] == "email", True).when(span["kind"] == "ip", ip).when(span["kind"] == "card", card).otherwise(phone)
 
 
-def _apart(span: Column, others: Column) -> Column:
-    return ~F.exists(others, lambda o: (o["start"] < span["end"]) & (span["start"] < o["end"]))
+def _fenced(spans: Column) -> Column:
+    """Spans in chunks with the least start and the largest end of each."""
+
+    def fence(c: Column) -> Column:
+        start, end = (lambda part, name=name: F.transform(part, lambda s: s[name]) for name in ("start", "end"))
+        return let(F.slice(spans, c * CHUNK + 1, CHUNK), lambda part: F.struct(F.array_min(start(part)).alias("low"), F.array_max(end(part)).alias("high"), part.alias("spans")))
+
+    return F.transform(F.sequence(F.lit(0), F.greatest(((F.size(spans) - 1) / CHUNK).cast("int"), F.lit(0))), fence)
+
+
+def _apart(span: Column, fences: Column) -> Column:
+    meets = lambda o: (o["start"] < span["end"]) & (span["start"] < o["end"])
+    return ~F.exists(fences, lambda f: F.coalesce((f["low"] < span["end"]) & (span["start"] < f["high"]), F.lit(False)) & F.exists(f["spans"], meets))
 
 
 def _found(docs: DataFrame) -> DataFrame:
@@ -99,17 +148,16 @@ def _found(docs: DataFrame) -> DataFrame:
     docs = docs.withColumn("matched", F.transform(matched, lambda s: s.withField("valid", _valid(s))))
     docs = docs.withColumn("base", F.filter("matched", lambda s: s["valid"]))
     others = F.concat(*(_spans(k, CANDIDATES[k], CANDIDATE_HINTS[k], text) for k in CANDIDATES))
-    others = F.filter(others, lambda s: _apart(s, F.col("base")))
-    judged = lambda spans, base: F.transform(spans, lambda s: _judged(s, text, base))
+    free = lambda spans: let(_fenced(F.col("base")), lambda fences: F.filter(spans, lambda s: _apart(s, fences)))
+    others = let(others, lambda spans: F.when((F.size(spans) == 0) | (F.size("base") == 0), spans).otherwise(free(spans)))
+    judged = lambda spans, base: F.transform(spans, lambda s: _judged(s, base))
     return docs.withColumn("others", judged(others, False)).withColumn("candidates", F.concat(judged(F.col("matched"), True), F.col("others")))
 
 
-def _judged(span: Column, text: Column, base: bool) -> Column:
+def _judged(span: Column, base: bool) -> Column:
     """A span with the labelers' votes (1 for, -1 against, 0 none) and the classifier's features (0 or 1)."""
     value, size = span["value"], F.char_length(span["value"])
-    first = F.greatest(span["start"] - CONTEXT, F.lit(0))
-    before = F.substring(text, first + 1, span["start"] - first)
-    after = F.substring(text, span["end"] + 1, F.lit(1))
+    before, after = span["before"], span["after"]
     digits, letters = F.length(_digits(value)), F.length(F.regexp_replace(value, "[^A-Za-z]", ""))
     key = F.regexp_extract(value, "([A-Za-z0-9+/_-]+)$", 1)
     mixed = key.rlike("[0-9]") & key.rlike("[A-Za-z]")
@@ -222,6 +270,15 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+def _part(blocks: Column, start: Column, end: Column) -> Column:
+    """The characters start..end of a text in blocks of `BLOCK`, without a walk from its beginning."""
+    first, last = (start / BLOCK).cast("int"), (end / BLOCK).cast("int")
+    block = lambda i: F.coalesce(F.get(blocks, i), F.lit(""))
+    within = F.substring(block(first), start % BLOCK + 1, end - start)
+    over = F.concat(F.substring(block(first), start % BLOCK + 1, F.lit(BLOCK)), F.array_join(F.slice(blocks, first + 2, last - first - 1), ""), F.substring(block(last), F.lit(1), end % BLOCK))
+    return F.when(first == last, within).otherwise(over)
+
+
 def redact(docs: DataFrame, model: SpanModel | None = None) -> DataFrame:
     """`docs` with each span of `text` replaced by its kind in angle brackets; overlapping spans give one mark.
 
@@ -234,13 +291,19 @@ def redact(docs: DataFrame, model: SpanModel | None = None) -> DataFrame:
     spans = find_spans(whole, model or fit(docs))
     text = F.col("text")
 
-    def step(state: Column, s: Column) -> Column:
-        fresh = s["start"] >= state["at"]
-        kept = F.substring(text, state["at"] + 1, s["start"] - state["at"])
-        out = F.when(fresh, F.concat(state["out"], kept, F.lit("<"), s["kind"], F.lit(">"))).otherwise(state["out"])
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), out.alias("out"))
+    def marked(held: Column) -> Column:
+        def step(at: Column, i: Column) -> Column:
+            def piece(s: Column) -> Column:
+                mark = F.concat(_part(held["blocks"], at, s["start"]), F.lit("<"), s["kind"], F.lit(">"))
+                return F.struct(F.greatest(at, s["end"]).alias("s"), F.when(s["start"] >= at, mark).otherwise(F.lit("")).alias("item"))
+
+            return let(F.get(held["pii"], i), piece)
+
+        pieces = _scanned(F.size(held["pii"]), F.lit(0), "string", step)
+        end = F.array_max(F.transform(held["pii"], lambda s: s["end"]))
+        return F.concat(F.array_join(pieces, ""), _part(held["blocks"], end, F.char_length(text)))
 
-    rest = lambda state: F.concat(state["out"], F.substring(text, state["at"] + 1, F.char_length(text)))
-    clean = F.aggregate("pii", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, rest)
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    clean = let(F.struct(F.col("pii").alias("pii"), blocks.alias("blocks")), marked)
     changed = F.when(F.size("pii") > 0, clean).otherwise(text)
     return spans.select(*[changed.alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in columns])

@@ -76,6 +76,36 @@ def test_secrets_are_found_and_masked(spark):
     assert "1beb58b8" not in got[secret] and "b7db7aa4" not in got[secret]
 
 
+def masked(text, spans):
+    """The text with its spans replaced by marks, overlapping ones by the first's."""
+    out, at = [], 0
+    for kind, start, end in spans:
+        if start >= at:
+            out += [text[at:start], f"<{kind}>"]
+        at = max(at, end)
+    return "".join(out) + text[at:]
+
+
+def test_marks_equal_plain_replacement(spark):
+    rows = [(i, t * k, "en", "s", 1, "x") for i, (t, k) in enumerate((t, k) for t in texts() if len(t) < 3000 for k in (1, 40))]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    model = fit(docs)
+    found = {r.doc_id: r.p for r in find_spans(docs, model).select("doc_id", joined(F.col("pii")).alias("p")).collect()}
+    for r in redact(docs, model).collect():
+        spans = [(k, int(a), int(b)) for k, a, b in (s.split(":") for s in found[r.doc_id].split(",") if s)]
+        assert r.text == masked(rows[r.doc_id][1], spans)
+
+
+def test_many_spans_in_one_text(spark):
+    n = 20_000
+    text = " ".join(f"é{i % 7}@x.org +1 (988) 555-24{i % 90 + 10} token=b7db7aa4a5fcc{i % 900 + 100}" for i in range(n // 3))
+    docs = spark.createDataFrame([(1, text, "en", "s", 1, "x")], SCHEMA)
+    model = fit(docs)
+    row = find_spans(docs, model).select(joined(F.col("base")).alias("b"), F.size("pii").alias("n")).first()
+    assert row.b == ",".join(base(text)) and row.n >= 2 * (n // 3)
+    assert "@" not in redact(docs, model).first().text
+
+
 def test_empty_tables_and_native_plan(spark):
     docs = spark.createDataFrame([], SCHEMA)
     assert find_spans(docs, fit(docs)).count() == 0 and redact(docs).count() == 0
