@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
@@ -20,6 +22,9 @@ RUNTIME_SETTINGS = {
 }
 
 BROADCAST_BYTES = 64 * 1024 * 1024
+# Garbage is collected for the sake of shuffle files no more often than this.
+COLLECT_SECONDS = 3.0
+_collected = 0.0
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -82,7 +87,31 @@ def persist_reliably(df: DataFrame) -> DataFrame:
     """
     path = work_path(df.sparkSession, "table")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    kept = df.sparkSession.read.schema(df.schema).parquet(path)
+    kept.stored_at = path
+    return kept
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Delete tables of `persist_reliably` that nothing reads any more, and let Spark drop the shuffle files of finished steps.
+
+    Frames that are no such tables are left alone. Only for tables whose readers have all
+    been written themselves; a frame that still reads one fails.
+    """
+    spark = None
+    for table in tables:
+        path = getattr(table, "stored_at", None)
+        if path is not None:
+            spark = table.sparkSession
+            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+            table.stored_at = None
+    global _collected
+    if spark is not None and time.monotonic() - _collected > COLLECT_SECONDS:
+        # Spark's cleaner follows the garbage collectors of both sides.
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        _collected = time.monotonic()
 
 
 def measure(df: DataFrame, *facts: Column) -> tuple[DataFrame, Row]:
