@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from furrow.session import persist_reliably
+from furrow.session import persist_reliably, release
 
 
 def _stars(links: DataFrame, large: bool) -> DataFrame:
@@ -26,17 +26,20 @@ def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of `links` (a, b); the component is its smallest node.
 
     Nulls and links of a node with itself are left out; direction and repeats do not
-    matter; no links give no rows. Hubs are handled by aggregates and joins, never by
+    matter; no links give no rows. The result is a table of its own. Hubs are handled by aggregates and joins, never by
     collected neighbour lists.
     """
     now = persist_reliably(links.select("a", "b").filter("a <> b").distinct())
     facts = F.struct(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h"))
     before = None
     while True:
-        now = persist_reliably(_stars(_stars(now, True), False))
+        now, old = persist_reliably(_stars(_stars(now, True), False)), now
+        release(old)
         state = now.agg(facts.alias("f")).first().f
         if state == before:
             break
         before = state
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
+    found = persist_reliably(now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots))
+    release(now)
+    return found

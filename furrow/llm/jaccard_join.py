@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from furrow.llm.blocks import LOWER, mix, shingles, span_hashes, text_blocks, words
 from furrow.llm.components import components
-from furrow.session import broadcast_if_small, persist_reliably
+from furrow.session import broadcast_if_small, persist_reliably, release
 
 SIZE = 3
 PERCENT = 90
@@ -303,14 +303,20 @@ def _heavy_links(docs: DataFrame, profile: DataFrame, owners: DataFrame, nodes:
     entries = persist_reliably(entries.join(shared, "token"))
     # Entries with a possible partner in their list, by size and then by parity bits.
     for tests in (["n"], ["n", "parity"]):
-        entries = _with_partner(entries.join(nodes.select("node", *tests), "node"), "node", percent)
+        entries, old = _with_partner(entries.join(nodes.select("node", *tests), "node"), "node", percent), entries
+        release(old)
+    first_entries = entries
     # Only their full sets are written and moved.
     full = persist_reliably(_full_sets(docs, entries.select("node").distinct(), profile, owners, size))
-    tested = None
+    tested = placed = None
     for turn in range(PARTNER_ROUNDS + LEADER_ROUNDS + 1):
-        placed = persist_reliably(_with_component(entries, components(links)))
-        lists = placed.groupBy("token").agg(F.min(F.struct("node", "component")).alias("lead"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-        placed = persist_reliably(placed.join(lists.filter("lo <> hi").select("token", "lead"), "token"))
+        parts = components(links)
+        every, old = persist_reliably(_with_component(entries, parts)), placed
+        # What the last turn placed was read for the last time.
+        release(parts, old)
+        lists = every.groupBy("token").agg(F.min(F.struct("node", "component")).alias("lead"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+        placed = persist_reliably(every.join(lists.filter("lo <> hi").select("token", "lead"), "token"))
+        release(every)
         apart = F.col("component") != F.col("lead.component")
         if turn < PARTNER_ROUNDS + LEADER_ROUNDS:
             # The leader of each list against all entries it is not linked with yet.
@@ -318,11 +324,10 @@ def _heavy_links(docs: DataFrame, profile: DataFrame, owners: DataFrame, nodes:
         else:
             # What is left: entries outside the leader's component against their whole list; a pair comes from its first common list.
             met = _with_partner(placed.join(nodes.select("node", "n", "parity"), "node"), "component", percent)
-            placed = placed.join(met, ["token", "node"], "left_semi")
-            one, other = _facing(placed.join(nodes.select("node", "n", "parity", "prefix"), "node"), apart)
+            one, other = _facing(placed.join(met, ["token", "node"], "left_semi").join(nodes.select("node", "n", "parity", "prefix"), "node"), apart)
             first = F.array_min(F.array_intersect("prefix_a", "prefix_b")) == F.col("token_a")
-            met = one.join(other, (F.col("token_a") == F.col("token_b")) & (F.col("component_a") != F.col("component_b")) & _could_link(percent) & first)
-            pairs = _ordered(met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
+            close = one.join(other, (F.col("token_a") == F.col("token_b")) & (F.col("component_a") != F.col("component_b")) & _could_link(percent) & first)
+            pairs = _ordered(close.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         if turn < PARTNER_ROUNDS:
@@ -332,8 +337,14 @@ def _heavy_links(docs: DataFrame, profile: DataFrame, owners: DataFrame, nodes:
             # Then all; the leader's entry is done with.
             entries = placed.filter(F.col("node") != F.col("lead.node")).select("token", "node")
         pairs = persist_reliably(pairs)
-        links = persist_reliably(links.unionByName(_decide(pairs, full, percent)))
-        tested = pairs if tested is None else persist_reliably(tested.unionByName(pairs))
+        links, old = persist_reliably(links.unionByName(_decide(pairs, full, percent))), links
+        release(old)
+        if tested is None:
+            tested = pairs
+        else:
+            tested, old = persist_reliably(tested.unionByName(pairs)), tested
+            release(old, pairs)
+    release(first_entries, placed, full, tested)
     return links
 
 
@@ -352,6 +363,11 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, size: int = SIZE
     Sets are compared through 64-bit hashes of their shingles. Nothing but a frequency
     sketch of fixed size and counts per small set size reaches the driver.
     """
+    return _components_of(docs, percent, size)[0]
+
+
+def _components_of(docs: DataFrame, percent: int, size: int) -> tuple[DataFrame, list[DataFrame]]:
+    """The result of `jaccard_components`, and the tables it reads, which go when it has been written."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     grades = spark.sparkContext.broadcast(frequency_grades(docs, size))
@@ -365,13 +381,14 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, size: int = SIZE
     boundary = choose_boundary({r["n"]: r["count"] for r in small}, float(lengths or 1.0), percent)
     light = persist_reliably(_light_links(nodes, boundary, percent).distinct())
     links = _heavy_links(docs, profile, owners, nodes, boundary, percent, size, light)
-    parts = persist_reliably(components(links))
+    parts = components(links)
+    release(links, nodes)
     placed = owners.join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "least")
     named = placed.groupBy("component").agg(F.min("least").alias("component_id"))
     classes = placed.join(named, "component").select("node", "component_id")
     found = profile.select("doc_id", F.col("n").alias("n_shingles"), "node").join(classes, "node", "left")
     own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return found.select("doc_id", "n_shingles", own.alias("component_id"))
+    return found.select("doc_id", "n_shingles", own.alias("component_id")), [profile, owners, parts]
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT, size: int = SIZE) -> DataFrame:
@@ -380,9 +397,12 @@ def keep_one(docs: DataFrame, percent: int = PERCENT, size: int = SIZE) -> DataF
     Texts without words and rows without an id stay. An id goes when none of its rows
     names its component; repeated rows of a kept id (same id and text) leave one.
     """
-    found = persist_reliably(jaccard_components(docs, percent, size).filter("doc_id is not null and n_shingles > 0"))
+    every, tables = _components_of(docs, percent, size)
+    found = persist_reliably(every.filter("doc_id is not null and n_shingles > 0"))
+    release(*tables)
     ids = found.groupBy("doc_id").agg(F.max(F.col("component_id") == F.col("doc_id")).alias("names"), F.count(F.lit(1)).alias("times"))
     ids = persist_reliably(ids.filter("not names or times > 1"))
+    release(found)
     gone = broadcast_if_small(ids.filter("not names").select("doc_id"))
     repeated = broadcast_if_small(ids.filter("names").select("doc_id"))
     kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
