@@ -131,6 +131,29 @@ def test_suitable_matches_brute_force(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("small", [True, False], ids=["broadcast", "shuffled"])
+def test_profile_matches_go_through_distinct_values_and_many_small_tasks(spark, monkeypatch, small):
+    monkeypatch.setattr(recommend, "PAIRS_PER_TASK", 500)
+    if not small:
+        monkeypatch.setattr(recommend, "BROADCAST_BYTES", 0)
+    rng = random.Random(6)
+    crops = [(f"c{c}", *sorted((rng.uniform(0, 9), rng.uniform(0, 9)))) for c in range(12)]
+    places = [(rng.choice([None, *range(60)]), rng.choice([None, *range(10)])) for _ in range(900)]
+    profiles = spark.createDataFrame(crops, "crop string, heat_lo double, heat_hi double")
+    requests = spark.createDataFrame(places, "place int, heat int").select("place", F.col("heat").cast("double").alias("heat"))
+    seen = []
+
+    def match(points):
+        seen.append(points.count())
+        return recommend.suitable(points, profiles, ["heat"], 2.0)
+
+    out = recommend.profile_matches(requests, ["heat"], "place", "crop", match, F.max("heat").alias("most"))
+    got = {r.crop: (r.n_requests, r.n_places, r.most) for r in out.collect()}
+    hits = {c: [(p, h) for p, h in places if h is not None and a <= h <= b] for c, a, b in crops}
+    assert got == {c: (len(v), len({p for p, _ in v if p is not None}), max(h for _, h in v)) for c, v in hits.items() if v}
+    assert seen == [10] and sum(map(len, hits.values())) > 2000
+
+
 @pytest.mark.parametrize("slice_bytes", [1 << 24, 400], ids=["one slice", "many slices"])
 def test_cosine_top_k(spark, slice_bytes):
     rng = np.random.default_rng(2)
