@@ -1,6 +1,8 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from furrow.operators import pivots
 from furrow.operators.pivots import cosine_top_k_pruned
 
 
@@ -59,3 +61,35 @@ def test_empty_sides(spark):
     assert cosine_top_k_pruned(requests, profiles.limit(0), "v", "crop", 2).count() == 0
     row = cosine_top_k_pruned(requests, profiles, "v", "crop", 5).orderBy("rank").collect()
     assert [r.crop for r in row] == [1, 0] and {r.compared for r in row} == {2}
+
+
+def test_ties_null_keys_text_keys_and_other_lengths(spark, monkeypatch):
+    monkeypatch.setattr(pivots, "BLOCK_REQUESTS", 4)
+    rng = np.random.default_rng(3)
+    spots = rng.normal(size=(5, 6))
+    # Copies tie exactly; a vector of other length is compared with its like only.
+    centers = [(f"k{i:03d}" if i else None, (spots[i % 5] * (1 + i % 3)).tolist()) for i in range(60)] + [("short", [1.0, 2.0])]
+    asked = [(i, v.tolist()) for i, v in enumerate([*spots, *rng.normal(size=(20, 6))])] + [(90, [2.0, 4.0])]
+    requests = spark.createDataFrame(asked, "id int, v array<double>")
+    profiles = spark.createDataFrame(centers, "crop string, centroid array<double>")
+    rows = cosine_top_k_pruned(requests.repartition(3), profiles, "v", "crop", 4, pivots=3, slice_vectors=7).collect()
+    got = {}
+    for r in sorted(rows, key=lambda r: (r.id, r["rank"])):
+        got.setdefault(r.id, []).append(r.crop)
+    cosine = lambda a, b: float(np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b))
+    want = {i: [c for _, _, c in sorted((-round(cosine(v, w), 9), c or "", c) for c, w in centers if len(w) == len(v))[:4]] for i, v in asked}
+    assert got == want and got[90] == ["short"] and got[0][0] is None
+
+
+def test_nine_digits_are_rounded_as_spark_does(spark):
+    values = np.array([0.1234567895, -0.1234567895, 0.1234567894999, 0.0000000005, -4e-10, 1.0, -0.9999999995, 0.3, 0.7071067811865476])
+    want = [r[0] for r in spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "i int, x double").orderBy("i").select(F.round("x", 9)).collect()]
+    assert (pivots._billionths(values) / 1e9).tolist() == [w + 0.0 for w in want]
+
+
+def test_a_request_costs_no_row_per_slice(spark):
+    """Slices of one vector each: what leaves the comparison is k rows per request and task, not one per slice."""
+    rng = np.random.default_rng(4)
+    packed = spark.createDataFrame([(0, 0, [(i, [float(x) for x in rng.normal(size=4)], 1.0)]) for i in range(300)], "_pivot int, _salt int, packed array<struct<key:int,v:array<double>,size:double>>")
+    asked = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=4)], 0) for i in range(10)], "_id bigint, _v array<double>, _pivot int")
+    assert pivots._met(asked, packed, "crop", 2, 1).groupBy("_id").count().agg(F.max("count")).first()[0] == 2
