@@ -59,23 +59,23 @@ def backtest_wide(series: DataFrame, key: Sequence[str], horizon: int = 3, min_h
     """Rolling-origin forecasts, one column per member: (key, t, cutoff, actual, *MEMBERS).
 
     A month t is scored for every cut-off in (t - horizon, t]; each sees only
-    months before it. The training sums are range windows over the key's months,
-    so history is never joined to cut-offs and all steps share one sort.
+    months before it. The training sums are running sums over the key's months, added
+    once and looked up by every step, so history is never joined to cut-offs and all
+    steps share one sort.
     """
     order = Window.partitionBy(*key).orderBy("t")
+    so_far = order.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = _sums(so_far)
+    parts = [*[column.alias(name) for name, column in sums.items()], F.last("value").over(so_far).alias("latest")]
+    running = series.select(*key, "t", "value", F.struct(*parts).alias("_sums"))
     steps = []
     for step in range(horizon):
         past = order.rangeBetween(Window.unboundedPreceding, -(step + 1))
-        steps.append(
-            F.struct(
-                F.lit(step).alias("step"),
-                *[column.alias(name) for name, column in _sums(past).items()],
-                F.last("value").over(past).alias("latest"),
-            )
-        )
-    rows = series.select(*key, "t", "value", F.array(*steps).alias("steps")).select(
-        *key, "t", "value", F.inline("steps")
-    )
+        steps.append(F.struct(F.lit(step).alias("step"), F.last("_sums").over(past).alias("_past")))
+    rows = running.select(*key, "t", "value", F.array(*steps).alias("steps")).select(*key, "t", "value", F.inline("steps"))
+    # Without an earlier month nothing has been counted.
+    known = {name: F.col(f"_past.{name}") for name in [*sums, "latest"]} | {"n": F.coalesce("_past.n", F.lit(0))}
+    rows = rows.select(*key, "t", "value", "step", *[column.alias(name) for name, column in known.items()])
     n = F.col("n").cast("decimal(12,0)")
     slope, intercept = exact.fit_line(n, F.col("st"), F.col("sv"), F.col("stt"), F.col("stv"))
     return rows.filter(F.col("n") >= min_history).select(

@@ -147,3 +147,14 @@ def test_ridge_without_rows_and_without_penalty(spark):
     assert forecast.forecast_ridge(spark.createDataFrame([(1.0, 2.0)], "a double, y double"), model, ["a"]).first().forecast is None
     with pytest.raises(ValueError):
         forecast.fit_ridge(none, ["a"], "y", penalty=0)
+
+
+def test_backtest_adds_its_sums_once_for_all_steps(spark):
+    series = spark.createDataFrame([("a", t, float(t * t)) for t in (1, 2, 4, 5, 9)], "k string, t int, v double").selectExpr("k", "t", "cast(v as decimal(18,2)) value")
+    wide = forecast.backtest_wide(series, ["k"], horizon=4, min_history=1)
+    sums = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count(" windowspecdefinition(")
+    # Six running values, and one look-up a step.
+    assert sums(wide) <= 6 + 4
+    past = {(t, s): [m for m in (1, 2, 4, 5, 9) if m < t - s] for t in (1, 2, 4, 5, 9) for s in range(4)}
+    want = {(t, t - s): (p[-1] ** 2, sum(m * m for m in p) / len(p)) for (t, s), p in past.items() if p}
+    assert {(r.t, r.cutoff): (r["last"], r["mean"]) for r in wide.collect()} == want
