@@ -9,6 +9,7 @@ whole.
 
 from __future__ import annotations
 
+import os
 import sys
 from collections.abc import Iterator
 from itertools import chain
@@ -24,9 +25,9 @@ from furrow.llm.blocks import span_hashes, spread, text_blocks
 PLAIN = 0x250
 LETTER, NUMBER, OTHER, SPACE = 1, 2, 3, 0
 _KEPT = "furrow_kept_tokenizers"
-# The table of distinct pre-tokens is emptied beyond this size.
-CACHE_WORDS = 500_000
-LEARNED_WORDS = 4096
+# Beyond this size the table of distinct pre-tokens drops those that came in one block only.
+CACHE_WORDS = 150_000
+LEARNED_WORDS = 1024
 # Small, as are the blocks elsewhere: the arrays of a block take a hundred times its bytes.
 BLOCK_BYTES = 250_000
 
@@ -35,8 +36,10 @@ class IdTable:
     """Ids of pre-tokens by their hash: an open table that is probed for many keys at once."""
 
     def __init__(self):
-        self.keys, self.slots = np.zeros(1 << 17, np.uint64), np.zeros(1 << 17, np.int64)
-        self.at, self.size, self.flat = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32)
+        self.keys, self.slots = np.zeros(1 << 17, np.uint64), np.zeros(1 << 17, np.int32)
+        self.at, self.size, self.flat = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32), np.zeros(1 << 18, np.uint32)
+        # Blocks that asked for a word, up to 255.
+        self.asked = np.zeros(1 << 16, np.uint8)
         self.words = self.used = 0
 
     def places(self, keys: np.ndarray) -> np.ndarray:
@@ -72,22 +75,47 @@ class IdTable:
     def learn(self, keys: np.ndarray, found: list[list[int]]) -> None:
         """Adds unknown, distinct keys."""
         first, n = self.words, len(keys)
-        size = np.fromiter(map(len, found), np.int64, n)
-        total = int(size.sum())
-        self.at, self.size, self.flat = self._roomy(self.at, first + n), self._roomy(self.size, first + n), self._roomy(self.flat, self.used + total)
-        self.at[first : first + n] = self.used + np.cumsum(size) - size
-        self.size[first : first + n] = size
-        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(found), np.uint32, total)
-        self.words, self.used = first + n, self.used + total
-        slots = np.arange(first, first + n)
+        size = np.fromiter(map(len, found), np.int32, n)
+        self._append(size, np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum())))
+        slots = np.arange(first, first + n, dtype=np.int32)
         if 2 * self.words > len(self.keys):
             held = self.keys != 0
             old = self.keys[held], self.slots[held]
             room = 1 << int(4 * self.words - 1).bit_length()
-            self.keys, self.slots = np.zeros(room, np.uint64), np.zeros(room, np.int64)
+            self.keys, self.slots = np.zeros(room, np.uint64), np.zeros(room, np.int32)
             self._insert(*old)
         self._insert(keys, slots)
 
+    def _append(self, size: np.ndarray, ids: np.ndarray) -> None:
+        first, last, used = self.words, self.words + len(size), self.used + len(ids)
+        self.at, self.size, self.flat = self._roomy(self.at, last), self._roomy(self.size, last), self._roomy(self.flat, used)
+        self.asked = self._roomy(self.asked, last)
+        self.at[first:last] = self.used + np.cumsum(size) - size
+        self.size[first:last] = size
+        self.flat[self.used : used] = ids
+        self.words, self.used = last, used
+
+    def ask(self, slots: np.ndarray) -> None:
+        """Notes that a block holds these words."""
+        once = np.zeros(self.words, bool)
+        once[slots] = True
+        self.asked[: self.words] += once & (self.asked[: self.words] < 255)
+
+    def trimmed(self, limit: int) -> "IdTable":
+        """A table of the words that more than one block asked for; an empty one if these are more than `limit`."""
+        found = IdTable()
+        held = np.flatnonzero(self.keys)
+        held = held[self.asked[self.slots[held]] > 1]
+        if not 0 < len(held) <= limit:
+            return found
+        keys, slots = self.keys[held], self.slots[held]
+        size = self.size[slots]
+        found._append(size, self.flat[spread(self.at[slots], size)])
+        room = max(len(found.keys), 1 << int(4 * len(held) - 1).bit_length())
+        found.keys, found.slots = np.zeros(room, np.uint64), np.zeros(room, np.int32)
+        found._insert(keys, np.arange(len(held), dtype=np.int32))
+        return found
+
 
 class CachedTokens:
     """Encodes Arrow string columns; a subclass says how plain texts are cut."""
@@ -105,6 +133,8 @@ class CachedTokens:
         return kept[cls.__name__, path]
 
     def __init__(self, path: str):
+        # Tasks share the cores already; the library's own threads only cost memory.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.whole = Tokenizer.from_file(path)
         self.kind, self.lower, self.odd = self.character_tables()
         self.bare = Tokenizer(self.whole.model)
@@ -139,7 +169,7 @@ class CachedTokens:
         starts, ends = self.cuts(codes, self.kind[codes], heads)
         keys = np.maximum(span_hashes(codes, starts, ends), np.uint64(1))
         if self.table.words > CACHE_WORDS:
-            self.table = IdTable()
+            self.table = self.table.trimmed(CACHE_WORDS // 2)
         place = self.table.places(keys)
         missing = np.flatnonzero(place < 0)
         if len(missing):
@@ -152,6 +182,7 @@ class CachedTokens:
                 words = [low[a:b] for a, b in zip(starts[part].tolist(), ends[part].tolist())]
                 self.table.learn(new[at : at + LEARNED_WORDS], [e.ids for e in self.bare.encode_batch_fast(words, add_special_tokens=False)])
             place[missing] = self.table.places(keys[missing])
+        self.table.ask(place)
         size = self.table.size[place]
         ids = self.table.flat[spread(self.table.at[place], size)]
         total = np.concatenate([[0], np.cumsum(size)])

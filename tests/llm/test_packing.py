@@ -66,3 +66,18 @@ def test_windows_take_the_best_fit_and_empty_tables_give_nothing(spark):
     assert [p[0] for p in list(windows.add((3, 0, 3, ids[:3])))[0]] == [2, 3]
     assert [len(p[3]) for part in powers_of_two([(1, 0, 7, ids[:7])]) for p in part] == [4, 2, 1]
     assert pack(spark.createDataFrame([], SCHEMA), PATH).count() == 0
+
+
+def test_a_full_table_keeps_the_words_of_several_blocks(monkeypatch):
+    monkeypatch.setattr("furrow.llm.cached_tokens.CACHE_WORDS", 300)
+    whole, found = Tokenizer.from_file(PATH), WordTokens(PATH)
+    often = "these words come again and again"
+    for turn in range(8):
+        texts = [often, " ".join(f"x{chr(97 + i // 26)}{chr(97 + i % 26)}q{chr(97 + turn)}" for i in range(200))]
+        for text, ids in zip(texts, found.encode(pa.array(texts, pa.string()))):
+            assert ids.tolist() == whole.encode(text, add_special_tokens=False).ids
+        # Beyond the limit there are one block's words at most.
+        assert found.table.words <= 300 + 205
+    # The common words were never dropped.
+    assert found.table.trimmed(150).words == len(set(often.split()))
+    assert found.table.trimmed(2).words == 0
