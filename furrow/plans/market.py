@@ -363,7 +363,8 @@ def _model_rows(spark: SparkSession, base: str) -> DataFrame:
 @query("global_model")
 def global_model(spark: SparkSession, base: str) -> DataFrame:
     """Boosted regression on the lag features; scored on the months after the training span."""
-    rows = _model_rows(spark, base)
+    # Training reads the rows several times, scoring once more.
+    rows = persist_reliably(_model_rows(spark, base))
     model = forecast.train_global(rows.filter(F.col("t") < SPLIT), INPUTS, "price")
     return model.transform(rows.filter(F.col("t") >= SPLIT)).select("crop_id", "t", "price", "forecast")
 
