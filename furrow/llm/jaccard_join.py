@@ -298,12 +298,14 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, profile: DataFrame, owners: D
 def _heavy_links(docs: DataFrame, profile: DataFrame, owners: DataFrame, nodes: DataFrame, boundary: int, percent: int, size: int, links: DataFrame) -> DataFrame:
     """`links` and the links of pairs with at least one large set."""
     sets = nodes.filter(F.col("n") >= least_overlap(boundary, percent))
-    entries = sets.select(F.explode("prefix").alias("token"), "node")
+    # Sizes go with the entries, so that the first test needs no join.
+    entries = sets.select(F.explode("prefix").alias("token"), "node", "n")
     shared = entries.groupBy("token").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("token")
     entries = persist_reliably(entries.join(shared, "token"))
     # Entries with a possible partner in their list, by size and then by parity bits.
-    for tests in (["n"], ["n", "parity"]):
-        entries, old = _with_partner(entries.join(nodes.select("node", *tests), "node"), "node", percent), entries
+    for tests in ([], ["n", "parity"]):
+        known = entries.join(nodes.select("node", *tests), "node") if tests else entries
+        entries, old = _with_partner(known, "node", percent), entries
         release(old)
     first_entries = entries
     # Only their full sets are written and moved.
