@@ -22,6 +22,13 @@ def _stars(links: DataFrame, large: bool) -> DataFrame:
     return moved.filter("a <> b").distinct()
 
 
+def _are_stars(links: DataFrame) -> bool:
+    """Whether every node is either a centre or linked with one centre only."""
+    ends = links.select(F.col("a").alias("node"), F.lit(1).alias("out")).unionAll(links.select(F.col("b").alias("node"), F.lit(0).alias("out")))
+    odd = ends.groupBy("node").agg(F.sum("out").alias("out"), F.min("out").alias("least")).filter("out > 1 or out > 0 and least = 0")
+    return odd.agg(F.count(F.lit(1)).alias("n")).first().n == 0
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of `links` (a, b); the component is its smallest node.
 
@@ -29,16 +36,10 @@ def components(links: DataFrame) -> DataFrame:
     matter; no links give no rows. The result is a table of its own. Hubs are handled by aggregates and joins, never by
     collected neighbour lists.
     """
-    now = persist_reliably(links.select("a", "b").filter("a <> b").distinct())
-    facts = F.struct(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h"))
-    before = None
-    while True:
+    now = persist_reliably(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    while not _are_stars(now):
         now, old = persist_reliably(_stars(_stars(now, True), False)), now
         release(old)
-        state = now.agg(facts.alias("f")).first().f
-        if state == before:
-            break
-        before = state
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     found = persist_reliably(now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots))
     release(now)

@@ -19,12 +19,12 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from furrow.llm.blocks import LOWER, mix, shingles, span_hashes, text_blocks, words
 from furrow.llm.components import components
-from furrow.session import broadcast_if_small, persist_reliably, release
+from furrow.session import BROADCAST_BYTES, broadcast_if_small, persist_reliably, release
 
 SIZE = 3
 PERCENT = 90
@@ -36,6 +36,8 @@ SLICES = 64
 PARTNER_ROUNDS = 2
 LEADER_ROUNDS = 1
 PARITY_BITS = 512
+# Room of a pair of nodes in a broadcast table.
+PAIR_BYTES = 56
 # Cost of trying one entry of an inverted list, in enumerated subsets.
 LIST_ENTRY_COST = 4
 _U = np.uint64
@@ -129,6 +131,21 @@ def _parity(own: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
+def _sketch(own: np.ndarray) -> bytes:
+    """Parity bits in a width that follows the set, at least one for each shingle, so that they tell long sets apart too."""
+    width = max(PARITY_BITS, 1 << (len(own) - 1).bit_length()) if len(own) else PARITY_BITS
+    odd = np.bincount((own >> _U(32)).astype(np.int64) & (width - 1), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _differing(x: np.ndarray, y: np.ndarray) -> int:
+    """Differing bits of two sketches (as words of 64 bits) in the width of the smaller one: a bit of a half is the sum of both halves'."""
+    while len(x) != len(y):
+        x, y = (x, y) if len(x) > len(y) else (y, x)
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def _set_key(own: np.ndarray) -> int:
     mixed = mix(own)
     both = np.array([np.bitwise_xor.reduce(mixed), mixed.sum(dtype=_U)])
@@ -139,7 +156,7 @@ def _profiler(size: int, percent: int, grades) -> Callable:
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            columns: dict[str, list] = {k: [] for k in ("n", "node", "prefix", "few", "parity")}
+            columns: dict[str, list] = {k: [] for k in ("n", "node", "prefix", "few", "parity", "sketch")}
             for own, grade in _sets(batch["text"], size, grades.value):
                 n = len(own)
                 order = np.lexsort((own, grade))
@@ -149,12 +166,13 @@ def _profiler(size: int, percent: int, grades) -> Callable:
                 columns["prefix"].append(own[keep].view(np.int64))
                 columns["few"].append(own.view(np.int64) if n <= LARGEST_ENUMERATED else None)
                 columns["parity"].append(_parity(own))
+                columns["sketch"].append(_sketch(own))
             arrays = [batch["doc_id"], pa.array(np.arange(row, row + len(batch)))] + [
                 pa.array(columns[k], t)
-                for k, t in (("n", pa.int64()), ("node", pa.int64()), ("prefix", pa.list_(pa.int64())), ("few", pa.list_(pa.int64())), ("parity", pa.list_(pa.int64())))
+                for k, t in (("n", pa.int64()), ("node", pa.int64()), ("prefix", pa.list_(pa.int64())), ("few", pa.list_(pa.int64())), ("parity", pa.list_(pa.int64())), ("sketch", pa.binary()))
             ]
             row += len(batch)
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "row", "n", "node", "prefix", "few", "parity"])
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "row", "n", "node", "prefix", "few", "parity", "sketch"])
 
     return profile
 
@@ -169,7 +187,7 @@ def _lister(size: int) -> Callable:
     return sets
 
 
-_PROFILE = "doc_id long, row long, n long, node long, prefix array<long>, few array<long>, parity array<long>"
+_PROFILE = "doc_id long, row long, n long, node long, prefix array<long>, few array<long>, parity array<long>, sketch binary"
 
 
 def subsets_of(n: int, percent: int) -> int:
@@ -254,11 +272,39 @@ def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return joined.filter(_could_link(percent)).select("a", "b")
 
 
+def _alike(percent: int) -> Callable:
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total = batch["n_a"].to_numpy() + batch["n_b"].to_numpy()
+            ok = np.zeros(len(batch), bool)
+            for i, (x, y) in enumerate(zip(batch["sketch_a"], batch["sketch_b"])):
+                differing = _differing(np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8"))
+                ok[i] = (100 + percent) * differing <= (100 - percent) * total[i]
+            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(ok))
+
+    return alike
+
+
+def _compared(pairs: DataFrame, known: DataFrame, columns: list[str], judge: Callable) -> DataFrame:
+    """The stored pairs (a, b) that `judge` lets pass on these columns. Only rows of `known` that a pair names are moved."""
+    few = pairs.count() * PAIR_BYTES <= BROADCAST_BYTES
+    named, others = (F.broadcast(x) if few else x for x in (pairs, pairs.select("b")))
+    left = _side(known, "a", *columns).join(named, "a")
+    right = _side(known, "b", *columns).join(others, "b", "left_semi")
+    return left.join(right, "b").mapInArrow(judge, "a long, b long")
+
+
+def _resembling(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sketches leave a link possible; the others never move their full sets."""
+    pairs = persist_reliably(pairs)
+    found = persist_reliably(_compared(pairs, nodes, ["n", "sketch"], _alike(percent)))
+    release(pairs)
+    return found
+
+
 def _decide(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets link. Only sets that a pair names are moved."""
-    left = _side(sets, "a", "hashes").join(broadcast_if_small(pairs), "a")
-    right = _side(sets, "b", "hashes").join(broadcast_if_small(pairs.select("b").distinct()), "b", "left_semi")
-    return left.join(right, "b").mapInArrow(_judge(percent), "a long, b long")
+    """The stored pairs (a, b) whose full sets link."""
+    return _compared(pairs, sets, ["hashes"], _judge(percent))
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -266,23 +312,46 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 
 
 def _with_component(entries: DataFrame, parts: DataFrame) -> DataFrame:
-    joined = entries.select("token", "node").join(parts, "node", "left")
-    return joined.select("token", "node", F.coalesce("component", "node").alias("component"))
+    joined = entries.join(parts, "node", "left")
+    return joined.select("token", "node", "place", F.coalesce("component", "node").alias("component"))
 
 
 def _facing(known: DataFrame, apart: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """Two copies of list entries with columns named for a and b."""
-    columns = [c for c in ("token", "node", "component", "n", "parity", "prefix") if c in known.columns]
+    columns = [c for c in ("token", "node", "place", "component", "n", "parity") if c in known.columns]
     one = known if apart is None else known.filter(apart)
     return tuple(x.select(*(F.col(c).alias(f"{c}_{name}") for c in columns)) for x, name in ((one, "a"), (known, "b")))
 
 
+def _first_fits(percent: int) -> Column:
+    """Whether a link is possible if the entries of a and b are their first common one: no shingle before it is shared."""
+    left = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
+    return F.lit(100 + percent) * left >= F.lit(percent) * (F.col("n_a") + F.col("n_b"))
+
+
+def _met(one: DataFrame, other: DataFrame, apart: str, percent: int, how: str) -> DataFrame:
+    """Entries of one list that differ in `apart`, could link and could be their sets' first common ones."""
+    same = (F.col("token_a") == F.col("token_b")) & (F.col(f"{apart}_a") != F.col(f"{apart}_b"))
+    return one.join(other, same & _first_fits(percent) & _could_link(percent), how)
+
+
 def _with_partner(known: DataFrame, apart: str, percent: int) -> DataFrame:
-    """Entries (token, node) of which their list holds a partner that differs in `apart` and could link; one is enough, so no pairs come out."""
-    one, other = _facing(known)
-    fits = _could_link(percent) if "parity" in known.columns else _sizes_fit(percent)
-    met = one.join(other, (F.col("token_a") == F.col("token_b")) & (F.col(f"{apart}_a") != F.col(f"{apart}_b")) & fits, "left_semi")
-    return persist_reliably(met.select(F.col("token_a").alias("token"), F.col("node_a").alias("node")))
+    """Entries of which their list holds a partner that differs in `apart` and could link; one is enough, so no pairs come out."""
+    met = _met(*_facing(known), apart, percent, "left_semi")
+    return persist_reliably(met.select(*(F.col(f"{c}_a").alias(c) for c in ("token", "node", "place"))))
+
+
+def _shared_entries(sets: DataFrame, percent: int) -> DataFrame:
+    """Entries (token, node, place, n) of the inverted lists with another set in their list that fits in size.
+
+    In the order of sizes that is the one before or after, so a list is read once and
+    nothing is joined.
+    """
+    entries = sets.select(F.posexplode("prefix").alias("place", "token"), "node", F.col("n").cast("int").alias("n"))
+    by_size = Window.partitionBy("token").orderBy("n", "node")
+    less, more = F.lag("n").over(by_size), F.lead("n").over(by_size)
+    fits = (F.lit(100) * F.col("less") >= F.lit(percent) * F.col("n")) | (F.lit(100) * F.col("n") >= F.lit(percent) * F.col("more"))
+    return entries.withColumns({"less": less, "more": more}).filter(fits).select("token", "node", "place", "n")
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, profile: DataFrame, owners: DataFrame, size: int) -> DataFrame:
@@ -295,59 +364,59 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, profile: DataFrame, owners: D
     return found if repeated.isEmpty() else found.dropDuplicates(["node"])
 
 
-def _heavy_links(docs: DataFrame, profile: DataFrame, owners: DataFrame, nodes: DataFrame, boundary: int, percent: int, size: int, links: DataFrame) -> DataFrame:
-    """`links` and the links of pairs with at least one large set."""
+def _with_heavy_links(docs: DataFrame, profile: DataFrame, owners: DataFrame, nodes: DataFrame, boundary: int, percent: int, size: int, links: DataFrame) -> DataFrame:
+    """Components of the nodes under `links` and the links of pairs with at least one large set."""
     sets = nodes.filter(F.col("n") >= least_overlap(boundary, percent))
-    # Sizes go with the entries, so that the first test needs no join.
-    entries = sets.select(F.explode("prefix").alias("token"), "node", "n")
-    shared = entries.groupBy("token").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("token")
-    entries = persist_reliably(entries.join(shared, "token"))
-    # Entries with a possible partner in their list, by size and then by parity bits.
-    for tests in ([], ["n", "parity"]):
-        known = entries.join(nodes.select("node", *tests), "node") if tests else entries
-        entries, old = _with_partner(known, "node", percent), entries
-        release(old)
+    shared = persist_reliably(_shared_entries(sets, percent))
+    # Entries with a possible partner in their list, by place and parity bits.
+    entries = _with_partner(shared.join(nodes.select("node", "parity"), "node"), "node", percent)
+    release(shared)
     first_entries = entries
     # Only their full sets are written and moved.
     full = persist_reliably(_full_sets(docs, entries.select("node").distinct(), profile, owners, size))
     tested = placed = None
+    parts = components(links)
     for turn in range(PARTNER_ROUNDS + LEADER_ROUNDS + 1):
-        parts = components(links)
         every, old = persist_reliably(_with_component(entries, parts)), placed
         # What the last turn placed was read for the last time.
-        release(parts, old)
+        release(old)
         lists = every.groupBy("token").agg(F.min(F.struct("node", "component")).alias("lead"), F.min("component").alias("lo"), F.max("component").alias("hi"))
         placed = persist_reliably(every.join(lists.filter("lo <> hi").select("token", "lead"), "token"))
         release(every)
         apart = F.col("component") != F.col("lead.component")
         if turn < PARTNER_ROUNDS + LEADER_ROUNDS:
             # The leader of each list against all entries it is not linked with yet.
-            pairs = _possible(_ordered(placed.filter(apart).select(F.col("lead.node").alias("a"), F.col("node").alias("b"))), nodes, percent)
+            pairs = _ordered(placed.filter(apart).select(F.col("lead.node").alias("a"), F.col("node").alias("b")))
+            pairs = _possible(pairs, nodes, percent)
         else:
-            # What is left: entries outside the leader's component against their whole list; a pair comes from its first common list.
-            met = _with_partner(placed.join(nodes.select("node", "n", "parity"), "node"), "component", percent)
-            one, other = _facing(placed.join(met, ["token", "node"], "left_semi").join(nodes.select("node", "n", "parity", "prefix"), "node"), apart)
-            first = F.array_min(F.array_intersect("prefix_a", "prefix_b")) == F.col("token_a")
-            close = one.join(other, (F.col("token_a") == F.col("token_b")) & (F.col("component_a") != F.col("component_b")) & _could_link(percent) & first)
-            pairs = _ordered(close.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
+            # What is left: entries outside the leader's component against their whole list.
+            known = placed.join(nodes.select("node", "n", "parity"), "node")
+            met = _with_partner(known, "component", percent)
+            one, other = _facing(known.join(met.select("token", "node"), ["token", "node"], "left_semi"), apart)
+            pairs = _ordered(_met(one, other, "component", percent, "inner").select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = _resembling(pairs, nodes, percent)
         if turn < PARTNER_ROUNDS:
             # First one partner for each node: that already joins most of a group of near copies.
-            pairs = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+            every, pairs = pairs, persist_reliably(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+            release(every)
         elif turn < PARTNER_ROUNDS + LEADER_ROUNDS:
             # Then all; the leader's entry is done with.
-            entries = placed.filter(F.col("node") != F.col("lead.node")).select("token", "node")
-        pairs = persist_reliably(pairs)
-        links, old = persist_reliably(links.unionByName(_decide(pairs, full, percent))), links
-        release(old)
+            entries = placed.filter(F.col("node") != F.col("lead.node")).select("token", "node", "place")
+        links = persist_reliably(_decide(pairs, full, percent))
+        if not links.isEmpty():
+            # A component stands for the links that made it.
+            parts, old = components(links.unionByName(parts.select(F.col("node").alias("a"), F.col("component").alias("b")))), parts
+            release(old)
+        release(links)
         if tested is None:
             tested = pairs
         else:
             tested, old = persist_reliably(tested.unionByName(pairs)), tested
             release(old, pairs)
     release(first_entries, placed, full, tested)
-    return links
+    return parts
 
 
 def jaccard_components(docs: DataFrame, percent: int = PERCENT, size: int = SIZE) -> DataFrame:
@@ -377,14 +446,13 @@ def _components_of(docs: DataFrame, percent: int, size: int) -> tuple[DataFrame,
     # One profile for each distinct set.
     owners = profile.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.min("row").alias("row"))
     owners = persist_reliably(owners)
-    nodes = persist_reliably(profile.join(owners.select("row"), "row", "left_semi").select("node", "n", "prefix", "few", "parity"))
+    nodes = persist_reliably(profile.join(owners.select("row"), "row", "left_semi").select("node", "n", "prefix", "few", "parity", "sketch"))
     small = nodes.filter(F.col("n") <= LARGEST_ENUMERATED).groupBy("n").count().collect()
     lengths = nodes.select(F.explode("prefix").alias("token")).agg((F.count(F.lit(1)) / F.greatest(F.approx_count_distinct("token"), F.lit(1))).alias("mean")).first().mean
     boundary = choose_boundary({r["n"]: r["count"] for r in small}, float(lengths or 1.0), percent)
     light = persist_reliably(_light_links(nodes, boundary, percent).distinct())
-    links = _heavy_links(docs, profile, owners, nodes, boundary, percent, size, light)
-    parts = components(links)
-    release(links, nodes)
+    parts = _with_heavy_links(docs, profile, owners, nodes, boundary, percent, size, light)
+    release(light, nodes)
     placed = owners.join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "least")
     named = placed.groupBy("component").agg(F.min("least").alias("component_id"))
     classes = placed.join(named, "component").select("node", "component_id")

@@ -1,10 +1,11 @@
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from furrow.llm.components import components
-from furrow.llm.jaccard_join import choose_boundary, jaccard_components, keep_one
+from furrow.llm.jaccard_join import _differing, _sketch, choose_boundary, jaccard_components, keep_one
 from tests.llm.cases import SCHEMA, document_rows
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -63,3 +64,21 @@ def test_empty_tables_and_boundary(spark):
     assert choose_boundary({5: 100, 29: 100}, 2.0, 90) < 29
     links = spark.createDataFrame([(5, 4), (4, 9), (7, 7), (None, 3), (20, 21), (21, 22), (22, 23)], "a long, b long")
     assert {tuple(r) for r in components(links).collect()} == {(4, 4), (5, 4), (9, 4), (20, 20), (21, 20), (22, 20), (23, 20)}
+
+
+def test_sketches_tell_long_sets_apart_and_never_part_linked_ones():
+    rng = np.random.default_rng(4)
+
+    def differing(x, y):
+        return _differing(*(np.frombuffer(_sketch(np.unique(s)), "<u8") for s in (x, y)))
+
+    for n in (1, 40, 600, 5000, 20000):
+        x, other = rng.integers(0, 1 << 63, (2, n), np.uint64)
+        for gone in (0, n // 20, n // 5):
+            # A subset, so that widths may differ.
+            assert differing(x, x[gone:]) <= gone
+            y = np.concatenate([x[gone:], other[:gone]])
+            assert differing(x, y) <= 2 * gone
+        if n >= 40:
+            # Above what a similarity of 0.8 leaves, however long the sets are; 512 bits could not show that.
+            assert 180 * differing(x, other) > 20 * 2 * n
