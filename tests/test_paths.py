@@ -1,3 +1,4 @@
+import json
 import random
 import re
 from pathlib import PurePosixPath
@@ -124,3 +125,30 @@ def test_component_order(spark):
     values = ["a/b", "a-b", "a", "B"]
     out = texts(spark, values).orderBy(paths.components(F.col("text"))).collect()
     assert [r.text for r in out] == ["B", "a", "a/b", "a-b"]
+
+
+def test_marked_strings_are_rewritten_like_all_strings(spark):
+    rng = random.Random(11)
+    bits = ["/", "\\", "a", "b", "/a", "C:", '"', "\n", "é", "发", ".", ",", "]", " ", "\x01", "\x03", "😀"]
+    text = lambda most: "".join(rng.choice(bits if rng.random() < 0.3 else bits[:5]) for _ in range(rng.randrange(most)))
+
+    def value(depth=0):
+        kind = rng.randrange(7)
+        if kind < 4 or depth > 3:
+            return text(6)
+        if kind == 4:
+            return [value(depth + 1) for _ in range(rng.randrange(4))]
+        return {text(4) + str(i): value(depth + 1) for i in range(rng.randrange(4))} if kind == 5 else rng.choice([1, 1.5, None, True])
+
+    def document():
+        found = json.dumps(value(), ensure_ascii=rng.random() < 0.3, separators=rng.choice([None, (",", ":"), (" , ", "\t:\n")]))
+        return found.replace("/", "\\/") if rng.random() < 0.2 else found
+
+    rows = [(document(), [(text(4), text(4)) for _ in range(rng.randrange(4))]) for _ in range(3000)]
+    rows += [(None, [("a", "b")]), ('["a/b"]', None), ('["a/b", "a"]', [("a", None)]), ('["\\ud800/a", "a/b"]', [("a", "b")]), ('{"a/b": "a/b", "a" : ["a\\\\c"]}', [("a", "")])]
+    frame = spark.createDataFrame(rows, "document string, rules array<struct<old:string,new:string>>").withColumn("rules", paths.clean_rules(F.col("rules")))
+    whole = paths.map_json_strings(F.col("document"), lambda v: paths.rewrite_cleaned(v, F.col("rules")))
+    found = frame.select("document", whole.alias("whole"), paths.rewrite_json_strings(F.col("document"), F.col("rules")).alias("marked")).collect()
+    assert [r.marked for r in found] == [r.whole for r in found]
+    assert sum(r.whole != r.document for r in found if r.document) > 30
+    assert found[-1].marked == '{"a/b": "b", "a" : ["c"]}'
