@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from furrow.llm.blocks import mix, ranges, span_hashes, spread, text_blocks
+from furrow.llm.blocks import mix, ranges, span_hashes, text_blocks
 
 LENGTH = 50
 K = 14
@@ -56,13 +56,22 @@ def difference_cover(period: int) -> list[int]:
     return sorted(cover)
 
 
+def _k_sums(data: np.ndarray) -> np.ndarray:
+    """The polynomial value of each K-byte substring, from those of half its width and so on."""
+    single = data.astype(_U)
+    value, width = single, 1
+    for bit in bin(K)[3:]:
+        value = value[:-width] * _U(pow(int(_BASE), width, 1 << 64)) + value[width:]
+        width *= 2
+        if bit == "1":
+            value = value[:-1] * _BASE + single[width:]
+            width += 1
+    return value
+
+
 def _anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """The place of the anchor of each string of `length` bytes, and the hash of each K-byte substring."""
-    n = len(data)
-    k_hash = np.zeros(n - K + 1, _U)
-    for i in range(K):
-        k_hash = k_hash * _BASE + data[i : n - K + 1 + i]
-    k_hash = mix(k_hash)
+    k_hash = mix(_k_sums(data))
     # High bits of the hash, then the place: among equal substrings the first counts.
     best = ((k_hash >> _U(24)) << _U(24)) | np.arange(len(k_hash), dtype=_U)
     span, width = length - K + 1, 1
@@ -78,15 +87,20 @@ _NAMES = ("hash", "doc", "row", "place", "before", "size")
 _KINDS = (np.uint64, np.int64, np.int64, np.int32, np.uint8, np.uint8)
 
 
+_VIEW = np.dtype([("size", "<i4"), ("lead", "<u4"), ("buffer", "<i4"), ("start", "<i4")])
+# Bytes up to which a view holds its value itself.
+_INLINE = 12
+
+
 def _gather(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The bytes of many intervals end to end; in slices, so that the index stays small."""
-    out = np.empty(int(sizes.sum()), np.uint8)
-    at = 0
-    for a in range(0, len(sizes), 20_000):
-        part = data[spread(starts[a : a + 20_000], sizes[a : a + 20_000])]
-        out[at : at + len(part)] = part
-        at += len(part)
-    return out
+    """The bytes of many intervals end to end, each longer than _INLINE; copied interval by interval, as views that are laid out."""
+    total = int(sizes.sum())
+    if not total:
+        return np.zeros(0, np.uint8)
+    views = np.zeros(len(sizes), _VIEW)
+    views["size"], views["start"] = sizes, starts
+    held = pa.Array.from_buffers(pa.binary_view(), len(views), [None, pa.py_buffer(views), pa.py_buffer(np.ascontiguousarray(data))])
+    return np.frombuffer(held.cast(pa.large_binary()).buffers()[2], np.uint8)[:total]
 
 
 def _chunks(docs: np.ndarray, rows: np.ndarray, shift: np.ndarray, data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[dict[str, np.ndarray], np.ndarray]:
@@ -141,20 +155,23 @@ def _least_by(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _write(columns: dict[str, np.ndarray], data: np.ndarray) -> bytes:
-    # Ids as differences; anchors' hashes come back from the bytes.
+    # Ids and places as differences, first bytes of all numbers first; anchors' hashes come back from the bytes.
     head = np.array([len(columns["doc"])], "<i8").tobytes()
-    sent = {**columns, "doc": np.diff(columns["doc"], prepend=0)}
-    return zstandard.ZstdCompressor(level=7).compress(head + b"".join(sent[n].tobytes() for n in _NAMES[1:]) + data.tobytes())
+    sent = {**columns, "doc": np.diff(columns["doc"], prepend=np.int64(0)), "place": np.diff(columns["place"], prepend=np.int32(0))}
+    turned = [sent[n].view(np.uint8).reshape(-1, sent[n].itemsize).T.tobytes() for n in _NAMES[1:]]
+    return zstandard.ZstdCompressor(level=5).compress(head + b"".join(turned) + data.tobytes())
 
 
 def _read(blob: bytes) -> tuple[dict[str, np.ndarray], np.ndarray]:
     raw = zstandard.ZstdDecompressor().decompress(blob)
     n, at, columns = int(np.frombuffer(raw, "<i8", 1)[0]), 8, {}
     for name, kind in zip(_NAMES[1:], _KINDS[1:]):
-        columns[name] = np.frombuffer(raw, kind, n, at)
-        at += n * np.dtype(kind).itemsize
+        width = np.dtype(kind).itemsize
+        turned = np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n)
+        columns[name] = np.ascontiguousarray(turned.T).view(kind).reshape(n)
+        at += n * width
     data = np.frombuffer(raw, np.uint8, offset=at)
-    columns["doc"] = np.cumsum(columns["doc"])
+    columns["doc"], columns["place"] = np.cumsum(columns["doc"]), np.cumsum(columns["place"], dtype=np.int32)
     size = columns["size"].astype(np.int64)
     anchor = np.cumsum(size) - size + columns["before"]
     value = np.zeros(n, np.uint64)
@@ -263,11 +280,11 @@ def _dealer(length: int, buckets: int, doc_buckets: int, hot: np.ndarray) -> Cal
     Strings of hot anchors are dealt one by one, by a hash of their bytes.
     """
 
-    def rows_of(columns: dict[str, np.ndarray], data: np.ndarray, key: np.ndarray) -> list[tuple]:
+    def rows_of(columns: dict[str, np.ndarray], data: np.ndarray, chosen: np.ndarray, key: np.ndarray) -> list[tuple]:
         rows: list[tuple] = []
         bucket = (key % _U(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
-        columns, data = _pick(columns, data, order)
+        columns, data = _pick(columns, data, chosen[order])
         edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
         cuts = np.concatenate([[0], np.cumsum(columns["size"], dtype=np.int64)])[edges]
         for b in np.flatnonzero(np.diff(edges)):
@@ -284,11 +301,10 @@ def _dealer(length: int, buckets: int, doc_buckets: int, hot: np.ndarray) -> Cal
         for a in range(0, int(split.sum()), SPLIT_CHUNKS):
             single, bytes_ = _one_by_one(*_pick(columns, data, kept[split][a : a + SPLIT_CHUNKS]), length)
             alone, copies = _without_copies(single, bytes_)
-            single, bytes_ = _pick(single, bytes_, alone)
-            rows += rows_of(single, bytes_, _contents(single, bytes_))
+            rows += rows_of(single, bytes_, alone, _contents(single, bytes_)[alone])
             found.append(copies)
-        columns, data = _pick(columns, data, kept[~split])
-        rows += rows_of(columns, data, columns["hash"])
+        whole = kept[~split]
+        rows += rows_of(columns, data, whole, columns["hash"][whole])
         spans = np.concatenate(found)
         # What is decided already passes through some bucket.
         rows += [(d % buckets, None, d, blob) for d, blob in _span_blobs(spans, doc_buckets)]
@@ -301,10 +317,26 @@ def _dealer(length: int, buckets: int, doc_buckets: int, hot: np.ndarray) -> Cal
     return deal
 
 
+def _in_several(data: np.ndarray, at: np.ndarray, doc: np.ndarray, length: int) -> np.ndarray:
+    """Strings that may come in several documents: every string that does, and few others.
+
+    Equal strings have equal hashes, so a string whose slot knows one document has no equal elsewhere.
+    """
+    bits = max(16, len(at).bit_length() + 2)
+    slot = (span_hashes(data, at, at + length) >> _U(64 - bits)).astype(np.int64)
+    least, most = np.full(1 << bits, np.iinfo(np.int64).max), np.full(1 << bits, np.iinfo(np.int64).min)
+    np.minimum.at(least, slot, doc)
+    np.maximum.at(most, slot, doc)
+    return np.flatnonzero(least[slot] < most[slot])
+
+
 class Suffixes:
-    """The strings of some chunks, sorted one bucket (anchor and place of the anchor) at a time."""
+    """The strings of some chunks, sorted one bucket (anchor and place of the anchor) at a time.
+
+    With `several` only strings that may come in several documents are held; `index` is their number among all.
+    """
 
-    def __init__(self, columns: dict[str, np.ndarray], data: np.ndarray, group: np.ndarray, length: int):
+    def __init__(self, columns: dict[str, np.ndarray], data: np.ndarray, group: np.ndarray, length: int, several: bool = False):
         self.length = length
         size = columns["size"].astype(np.int64)
         first = np.cumsum(size) - size
@@ -312,6 +344,10 @@ class Suffixes:
         self.chunk = np.repeat(np.arange(len(size)), count)
         inner = ranges(count)
         self.at = first[self.chunk] + inner
+        self.index = np.arange(len(self.at))
+        if several:
+            self.index = _in_several(data, self.at, columns["doc"][self.chunk], length)
+            self.chunk, self.at, inner = self.chunk[self.index], self.at[self.index], inner[self.index]
         self.bucket = group[self.chunk] * (length - K + 2) + (columns["before"].astype(np.int64)[self.chunk] - inner)
         self.residue = (columns["place"].astype(np.int64)[self.chunk] + inner) % COVER
         # Eight bytes from every place as a big-endian number; zeros after the end.
@@ -321,11 +357,14 @@ class Suffixes:
             self.word = (self.word << _U(8)) | padded[i : i + len(self.word)]
         self.place_residue = np.repeat((columns["place"].astype(np.int64) - first) % COVER, size)
 
-    def sample_ranks(self) -> np.ndarray:
-        """Rank of the suffix at each place of the difference cover sample, by its first `length` bytes or a few more."""
+    def sample_ranks(self, at: np.ndarray) -> np.ndarray:
+        """Rank of the suffix at each place of the difference cover sample within COVER bytes from `at`, by its first `length` bytes or a few more."""
         cover = difference_cover(COVER)
-        places = np.arange(len(self.place_residue))
-        places = places[np.isin((places + self.place_residue) % COVER, cover)]
+        near = np.zeros(len(self.place_residue) + COVER, np.int32)
+        near[at] += 1
+        near[at + COVER] -= 1
+        places = np.flatnonzero(np.cumsum(near[: len(self.place_residue)]) > 0)
+        places = places[np.isin((places + self.place_residue[places]) % COVER, cover)]
         keys = [self.word[places + 8 * i] for i in range(-(-self.length // 8) - 1, -1, -1)]
         order = np.lexsort(keys)
         new = np.zeros(len(order), bool)
@@ -356,10 +395,10 @@ class Suffixes:
 
     def _resolve(self, order: np.ndarray, head: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Order within ties of the first COVER bytes: each tie is split around its first suffix by sample ranks, again and again."""
-        rank = self.sample_ranks()
+        tie = np.cumsum(head) - 1
+        rank = self.sample_ranks(self.at[order[np.bincount(tie)[tie] > 1]])
         cover = set(difference_cover(COVER))
         common = np.array([[next(d for d in range(COVER) if (i + d) % COVER in cover and (j + d) % COVER in cover) for j in range(COVER)] for i in range(COVER)])
-        tie = np.cumsum(head) - 1
         part = head.copy()  # heads of what is still to be split
         done = np.zeros(len(order), bool)
         while True:
@@ -409,23 +448,26 @@ def _sorter(length: int, doc_buckets: int) -> Callable:
             b = edges[max(np.searchsorted(edges, np.searchsorted(total, limit, "right"), "right") - 1, np.searchsorted(edges, a, "right"))]
             block = order[a:b]
             part, part_data = _pick(columns, data, first[block])
-            strings = Suffixes(part, part_data, group[block], length)
+            strings = Suffixes(part, part_data, group[block], length, several=True)
+            a = b
+            if not len(strings.at):
+                continue
             number = strings.classes()
             best = np.full(number.max() + 1, np.iinfo(np.int64).max)
             np.minimum.at(best, number, part["doc"][strings.chunk])
-            gone = np.flatnonzero(best[number] < part["doc"][strings.chunk])
+            found = np.flatnonzero(best[number] < part["doc"][strings.chunk])
+            gone, gone_chunk = strings.index[found], strings.chunk[found]
             # Runs of strings that go, as spans relative to their chunk.
-            head = np.append(True, (np.diff(gone) != 1) | (np.diff(strings.chunk[gone]) != 0)) if len(gone) else np.zeros(0, bool)
+            head = np.append(True, (np.diff(gone) != 1) | (np.diff(gone_chunk) != 0)) if len(gone) else np.zeros(0, bool)
             begin, end = gone[head], gone[np.append(head[1:], True)] if len(gone) else gone
             count = part["size"].astype(np.int64) - length + 1
             base = np.cumsum(count) - count
-            chunk = strings.chunk[begin]
+            chunk = gone_chunk[head]
             content = block[chunk]
             n = user_edges[content + 1] - user_edges[content]
             user = keep[users[np.repeat(user_edges[content], n) + ranges(n)]]
             start = columns["place"][user].astype(np.int64) + np.repeat(begin - base[chunk], n)
             yield _spans(columns["doc"][user], columns["row"][user], start, start + np.repeat(end - begin, n) + length)
-            a = b
 
     def sort(key: tuple, table: pa.Table) -> pa.Table:
         held = [_read(blob) for blob in table["chunks"].to_pylist() if blob is not None]

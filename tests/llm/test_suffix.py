@@ -106,3 +106,29 @@ def test_cover_and_empty_table(spark):
         cover = difference_cover(period)
         assert {(a - b) % period for a in cover for b in cover} == set(range(period))
     assert remove_repeats(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_strings_of_one_document_are_not_sorted(spark, monkeypatch):
+    rows = phrase_rows(300)
+    batch = pa.RecordBatch.from_pydict({"doc_id": [r[0] for r in rows], "row": [0] * len(rows), "text": [r[1] for r in rows]})
+    dealt = pa.Table.from_batches(suffix_dedup._dealer(50, 1, 1, np.zeros(0, np.uint64))([batch]))
+    held, classes = [], suffix_dedup.Suffixes.classes
+
+    def watched(self):
+        held.append(len(self.at))
+        return classes(self)
+
+    monkeypatch.setattr(suffix_dedup.Suffixes, "classes", watched)
+    found = suffix_dedup._sorter(50, 1)((0,), dealt)
+    # The phrase anchors 37 strings of every document; 20 pairs of documents share 20 of them or more.
+    assert 2 * 20 * 20 <= sum(held) < 0.3 * 37 * len(rows)
+    assert len(found)
+
+
+def test_chunks_come_back_as_they_were_written():
+    rng = np.random.default_rng(2)
+    texts = [bytes(rng.integers(97, 123, 300).astype(np.uint8)) for _ in range(30)]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.arange(31) * 300
+    columns, bytes_ = suffix_dedup._chunks(rng.integers(0, 1 << 60, 30), rng.integers(-(1 << 62), 1 << 62, 30), np.arange(30), data, offsets, 50)
+    back, back_bytes = suffix_dedup._read(suffix_dedup._write(columns, bytes_))
+    assert all(np.array_equal(columns[n], back[n]) and columns[n].dtype == back[n].dtype for n in columns) and np.array_equal(bytes_, back_bytes)
