@@ -16,9 +16,12 @@ from pyspark.sql import functions as F
 
 from furrow.functions import exact
 from furrow.functions.keys import join_with_nulls
+from furrow.operators import boosting
 from furrow.session import broadcast_if_small
 
 MEMBERS = ("trend", "last", "mean")
+# Spark's trainer of boosted trees keeps about 170 bytes a row in memory; from here on it would read spilled rows again and again.
+IN_MEMORY_ROWS = 2_000_000
 
 
 def _sums(over=None):
@@ -164,7 +167,13 @@ def train_global(features: DataFrame, inputs: Sequence[str], label: str, seed: i
     assembler = VectorAssembler(inputCols=list(inputs), outputCol="features", handleInvalid="keep")
     settings = {"maxIter": 20, "maxDepth": 5, "subsamplingRate": 1.0, **params}
     booster = GBTRegressor(featuresCol="features", labelCol=label, predictionCol="forecast", seed=seed, **settings)
-    return Pipeline(stages=[assembler, booster]).fit(features.dropna(subset=[*inputs, label]))
+    rows = features.dropna(subset=[*inputs, label])
+    # Beyond what Spark's trainer holds in memory the same trees are grown over blocks; other settings are left to it.
+    alike = set(settings) <= {"maxIter", "maxDepth", "maxBins", "stepSize", "subsamplingRate"} and settings["subsamplingRate"] == 1.0
+    n = rows.count() if alike and booster.getMaxBins() <= 255 else 0
+    if n <= IN_MEMORY_ROWS:
+        return Pipeline(stages=[assembler, booster]).fit(rows)
+    return PipelineModel([assembler, boosting.fit(rows, inputs, label, booster, n)])
 
 
 def _gram(rows: DataFrame, inputs: Sequence[str], label: str, by: Sequence[str]) -> DataFrame:

@@ -1,13 +1,16 @@
 import math
 import random
+import re
 from decimal import Decimal
 
 import numpy as np
 import pytest
+from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
 from furrow.functions import exact
-from furrow.operators import features, forecast
+from furrow.operators import boosting, features, forecast
+from furrow.session import persist_reliably
 
 
 @pytest.fixture(scope="module")
@@ -105,6 +108,32 @@ def test_boosting_learns_the_last_value(spark):
     assert worst < 15
 
 
+def test_boosting_over_blocks_grows_the_same_trees(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(rng.gauss(0, 1), rng.choice([0.0, 0.0, 1.0, 2.5]), float(rng.randrange(60)), 1.0) for _ in range(11_000)]
+    rows = [(*r, 3 * r[0] + r[1] * r[2] + rng.gauss(0, 0.3)) for r in rows] + [(None, 1.0, 2.0, 1.0, 3.0), (1.0, 1.0, 2.0, 1.0, None)]
+    frame = persist_reliably(spark.createDataFrame(rows, "a double, b double, c double, d double, y double").repartition(5))
+    spark_model = forecast.train_global(frame, ["a", "b", "c", "d"], "y", maxIter=4, maxDepth=4)
+    monkeypatch.setattr(forecast, "IN_MEMORY_ROWS", 0)
+    monkeypatch.setattr(boosting, "BLOCK_ROWS", 3_000)
+    fits = []
+    monkeypatch.setattr(Pipeline, "fit", lambda *_: fits.append(1))
+    model = forecast.train_global(frame, ["a", "b", "c", "d"], "y", maxIter=4, maxDepth=4)
+    assert not fits and model.stages[1].treeWeights == [1.0, 0.1, 0.1, 0.1]
+    shape = lambda m: [re.sub(r"uid=\S+", "", re.sub(r"(\d\.\d{4})\d*", r"\1", t.toDebugString)) for t in m.stages[1].trees]
+    assert shape(model) == shape(spark_model)
+    both = zip(*([r.forecast for r in m.transform(frame.filter("a is not null")).collect()] for m in (model, spark_model)))
+    assert all(x == pytest.approx(y, rel=1e-9) for x, y in both)
+
+
+def test_thresholds_count_missing_rows_as_zeros():
+    values = np.array([0.0, 0.0, 1.0, 2.0, 2.0, 5.0])
+    assert boosting.thresholds_of(values, 6, 31).tolist() == [0.5, 1.5, 3.5]
+    assert boosting.thresholds_of(values[2:], 6, 31).tolist() == [0.5, 1.5, 3.5]
+    assert boosting.thresholds_of(np.ones(4), 4, 31).tolist() == []
+    assert boosting.thresholds_of(np.arange(1.0, 101.0), 100, 3).tolist() == [25.5, 50.5, 75.5]
+
+
 def ridge_by_numpy(rows, penalty):
     x, y = np.array([r[1:-1] for r in rows], float), np.array([r[-1] for r in rows], float)
     middle = x.mean(0)
